@@ -60,6 +60,14 @@ def remove_repeated_lines(docs: DataFrame, size: int = SIZE) -> DataFrame:
     )
 
 
+def without_repeated_lines(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """The rows of `docs`, with all their columns, each text without its repeated lines; rows without any are as they were."""
+    covered = covered_lines(docs.where(F.col("doc_id").isNotNull()), size).select(F.col("doc_id").alias("covered_id"), "covered")
+    kept = F.expr("array_join(filter(split(text, '\\n', -1), (l, i) -> NOT array_contains(covered, i)), '\\n')")
+    joined = docs.join(covered, F.col("doc_id").cast("long") == F.col("covered_id"), "left")
+    return joined.select(*(F.when(F.col("covered").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns))
+
+
 #: The same in DuckDB, over whole lines instead of their hashes.
 ORACLE = """
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
