@@ -2,8 +2,10 @@
 
 Two zstandard dictionaries are made, of good and of bad labelled texts. A text costs fewer bytes with
 the dictionary of the kind that it is like. Texts are compressed in pieces, so that a long text cannot
-outgrow the dictionaries, and the difference of the two sums, as a share of both, is turned into a
-probability by a logistic curve fitted on labelled texts that the dictionaries have not seen.
+outgrow the dictionaries. Two normalised differences describe a text: that of its size with either
+dictionary, as a share of both, and that of its plain size and the smaller of these, which is large
+where a text repeats itself, whichever dictionary it is compressed with. A logistic curve over the
+two and their squares, fitted on labelled texts that the dictionaries have not seen, makes a probability of them.
 """
 
 from __future__ import annotations
@@ -31,14 +33,12 @@ FOLDS = 5
 class QualityModel:
     good: bytes
     bad: bytes
-    slope: float
+    slopes: tuple[float, ...]
     offset: float
 
-    def difference(self, text: str) -> float:
-        return difference(self.good, self.bad, text)
-
     def score(self, text: str) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * self.difference(text) + self.offset))))
+        x = self.offset + sum(s * f for s, f in zip(self.slopes, differences(self.good, self.bad, text), strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
 @functools.lru_cache(maxsize=4)
@@ -52,17 +52,18 @@ def _compressor(dictionary: bytes):
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_dict_id=False, write_checksum=False)
 
 
-def difference(good: bytes, bad: bytes, text: str) -> float:
-    """(bytes with the bad dictionary - bytes with the good one) / both; 0 for an empty text."""
+def differences(good: bytes, bad: bytes, text: str) -> tuple[float, float, float, float]:
+    """(with the bad dictionary - with the good one) / both, (plain size - smaller of the two) / both, and their squares; 0 for an empty text."""
     data = text.encode("utf-8", "replace")
     if not data:
-        return 0.0
+        return (0.0,) * 4
     n = max(1, round(len(data) / PIECE))
     edges = [len(data) * k // n for k in range(n + 1)]
     with_good, with_bad = _compressor(good), _compressor(bad)
     pieces = [data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
     g, b = sum(len(with_good.compress(p)) for p in pieces), sum(len(with_bad.compress(p)) for p in pieces)
-    return (b - g) / (b + g)
+    kind, saved = (b - g) / (b + g), (len(data) - min(b, g)) / (len(data) + min(b, g))
+    return kind, saved, kind * abs(kind), saved * abs(saved)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -70,19 +71,20 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset of the logistic curve by Newton's method, with a weak pull of the slope to 0."""
-    scale = float(np.std(x)) or 1.0
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[tuple[float, ...], float]:
+    """Slopes and offset of the logistic curve by Newton's method, with a weak pull of the slopes to 0."""
+    scale = np.std(x, axis=0)
+    scale[scale == 0] = 1.0
     z = np.column_stack((x / scale, np.ones(len(x))))
-    w = np.zeros(2)
-    pull = np.diag([1e-2, 1e-6])
+    w = np.zeros(z.shape[1])
+    pull = np.diag([1e-1] * x.shape[1] + [1e-6])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         step = np.linalg.solve((z.T * (p * (1 - p))) @ z + pull, z.T @ (y - p) - pull @ w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0]) / scale, float(w[1])
+    return tuple((w[:-1] / scale).tolist()), float(w[-1])
 
 
 def _dictionary(texts: list[str]) -> bytes:
@@ -114,22 +116,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMode
     texts = {q: [r["text"] for r in rows if r["quality"] == q] for q in (0, 1)}
     if not texts[0] or not texts[1]:
         good, bad = counts.get(1, 0), counts.get(0, 0)
-        return QualityModel(b"", b"", 0.0, math.log((good + 1) / (bad + 1)))
+        return QualityModel(b"", b"", (0.0,) * 4, math.log((good + 1) / (bad + 1)))
     train = {q: t[: -(-len(t) // 2)] for q, t in texts.items()}
     rest = {q: t[-(-len(t) // 2) :] or t for q, t in texts.items()}
     good, bad = _dictionary(train[1]), _dictionary(train[0])
-    x = np.array([difference(good, bad, t) for q in (1, 0) for t in rest[q]])
+    x = np.array([differences(good, bad, t) for q in (1, 0) for t in rest[q]])
     y = np.array([1.0] * len(rest[1]) + [0.0] * len(rest[0]))
-    slope, offset = logistic(x, y)
+    slopes, offset = logistic(x, y)
     # the sample's classes are not in the proportion of all labels
     shift = math.log(counts[1] / counts[0]) - math.log(len(rest[1]) / len(rest[0]))
-    return QualityModel(good, bad, slope, offset + shift)
+    return QualityModel(good, bad, slopes, offset + shift)
 
 
 def scored(docs: DataFrame, model: QualityModel, reject_below: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted: a row for each row of `docs`, from its text alone.
 
-    A null text is the empty text, whose difference is 0, so that its score is the curve's offset. Other
+    A null text is the empty text, whose differences are 0, so that its score is the curve's offset. Other
     columns are not read; an empty table gives an empty one. The model is two dictionaries of at most
     110 KiB, whatever the input.
     """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, decontaminate, line_windows, packing, pfor, quality, secret_scan, simhash, spotsigs
+from . import backoff, chunk_dedup, decontaminate, line_windows, packing, pfor, quality, secret_scan, simhash, spotsigs
 from .common import shared_dir, table
 
 
@@ -55,6 +55,10 @@ def op7_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.backoff_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_quality,
         op6_chunk_dedup,
         op7_line_windows,
+        op8_stupid_backoff,
         op9_secret_scan,
         op10_simhash,
     )
