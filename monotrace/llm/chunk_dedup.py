@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from .common import id_and_text
 
 #: Bytes of a chunk: at least, about on average, at most.
-LEAST, MEAN, MOST = 24, 64, 256
+LEAST, MEAN, MOST = 20, 52, 192
 #: Characters that a run of repeated chunks must cover.
-RUN = 120
+RUN = 64
 #: Bits of the hash that must be 0 at an end; the highest of them hangs on 20 bytes.
 _TOP_BIT = 19
 _WINDOW = 32

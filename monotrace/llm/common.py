@@ -41,3 +41,11 @@ def stored(df: DataFrame, name: str) -> str:
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and text alone (a null text is the empty text), whatever other columns there are."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have yet, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

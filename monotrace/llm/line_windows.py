@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import fresh, id_and_text
 
 SIZE = 3
 
@@ -62,10 +62,11 @@ def remove_repeated_lines(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 def without_repeated_lines(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """The rows of `docs`, with all their columns, each text without its repeated lines; rows without any are as they were."""
-    covered = covered_lines(docs.where(F.col("doc_id").isNotNull()), size).select(F.col("doc_id").alias("covered_id"), "covered")
-    kept = F.expr("array_join(filter(split(text, '\\n', -1), (l, i) -> NOT array_contains(covered, i)), '\\n')")
-    joined = docs.join(covered, F.col("doc_id").cast("long") == F.col("covered_id"), "left")
-    return joined.select(*(F.when(F.col("covered").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns))
+    own_id, gone = fresh(docs, "covered_id"), fresh(docs, "covered")
+    covered = covered_lines(docs.where(F.col("doc_id").isNotNull()), size).select(F.col("doc_id").alias(own_id), F.col("covered").alias(gone))
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(gone, i)), "\n")
+    joined = docs.join(covered, F.col("doc_id").cast("long") == F.col(own_id), "left")
+    return joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)).drop(own_id, gone)
 
 
 #: The same in DuckDB, over whole lines instead of their hashes.

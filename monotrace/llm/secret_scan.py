@@ -199,7 +199,7 @@ def oracle(rules: tuple[Rule, ...] = RULES) -> str:
     """The report in DuckDB, which searches every text with every rule."""
     parts = []
     for order, rule in enumerate(rules):
-        p = rule.pattern.replace("'", "''")
+        p = _scanned(rule).pattern.replace("'", "''")
         parts.append(
             f"SELECT doc_id, {order} AS rank, '{rule.kind}' AS kind, "
             "CAST(list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS start, length(ms[i]) AS n "

@@ -1,0 +1,240 @@
+import hashlib
+import random
+import re
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+import regex
+from monotrace.llm import chunk_dedup, line_windows, quality, secret_scan, spotsigs
+from pyspark.sql import functions as F
+
+
+def duck(sql: str, rows) -> list[tuple]:
+    import pyarrow as pa
+
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())}))
+    return con.sql(sql)
+
+
+def rows_of(result, columns):
+    return sorted((tuple(r[c] for c in columns) for r in result), key=str)
+
+
+# line windows
+
+
+def test_lines_against_sql(odd, odd_rows, small_docs, small, empty):
+    for docs, rows in ((odd, odd_rows), (small_docs, small)):
+        sql = duck(line_windows.ORACLE, rows)
+        got = line_windows.remove_repeated_lines(docs).select("doc_id", "n_lines", F.size("removed").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"), F.sha2("text", 256).alias("kept_sha256"))
+        assert rows_of(got.collect(), sql.columns) == sorted(sql.fetchall(), key=str)
+    assert line_windows.remove_repeated_lines(empty).count() == 0
+    whole = line_windows.without_repeated_lines(odd)
+    assert whole.columns == odd.columns and whole.schema["text"].dataType == odd.schema["text"].dataType
+    assert rows_of(whole.where("text IS NOT NULL").collect(), ["doc_id", "text"]) == rows_of(line_windows.remove_repeated_lines(odd.where("text IS NOT NULL")).collect(), ["doc_id", "text"])
+
+
+# chunks
+
+
+def plain_chunk_runs(rows, least):
+    """The same chunks by a byte-wise gear hash, and their runs by a walk over all texts."""
+    gear, runs, seen = chunk_dedup.gear_numbers().tolist(), {}, set()
+    bits = 5
+    mask = ((1 << bits) - 1) << (20 - bits)
+    for doc, text in sorted(rows):
+        raw, at, h, cuts = (text or "").encode(), 0, 0, []
+        if not raw:
+            runs[doc] = []
+            continue
+        for k, byte in enumerate(raw, 1):
+            h = ((h << 1) + gear[byte]) & 0xFFFFFFFF
+            inside = k < len(raw) and raw[k] & 0xC0 == 0x80
+            if k == len(raw) or (h & mask == 0 and not inside and k - at >= chunk_dedup.LEAST):
+                while k - at > chunk_dedup.MOST:
+                    at += chunk_dedup.MOST
+                    while raw[at] & 0xC0 == 0x80:
+                        at -= 1
+                    cuts.append(at)
+                if k == len(raw) or k - at >= chunk_dedup.LEAST:
+                    cuts.append(k)
+                    at = k
+        spans, last = [], None
+        for a, b in zip([0, *cuts[:-1]], cuts, strict=True):
+            piece = raw[a:b]
+            if piece in seen:
+                if last == a:
+                    spans[-1][1] = b
+                else:
+                    spans.append([a, b])
+                last = b
+            seen.add(piece)
+        chars = [(len(raw[:a].decode()), len(raw[:b].decode())) for a, b in spans]
+        runs[doc] = [(a, b) for a, b in chars if b - a >= least]
+    return runs
+
+
+def test_chunks_against_a_walk(spark, odd, odd_rows, small_docs, small, empty):
+    for docs, rows in ((odd, odd_rows), (small_docs, small)):
+        expected = plain_chunk_runs(rows, chunk_dedup.RUN)
+        texts = {i: t or "" for i, t in rows}
+        got = chunk_dedup.remove_repeated_chunks(docs).collect()
+        assert {r["doc_id"]: [tuple(x) for x in r["runs"]] for r in got} == expected
+        for r in got:
+            t, at = texts[r["doc_id"]], 0
+            kept = ""
+            for a, b in expected[r["doc_id"]]:
+                kept, at = kept + t[at:a], b
+            assert r["text"] == kept + t[at:]
+    assert chunk_dedup.remove_repeated_chunks(empty).count() == 0
+
+
+def test_passages_of_fifty_words_are_caught(spark, small):
+    seeded = random.Random(9)
+    long = [t for _, t in small if len(t) > 1500]
+    rows, planted = [], []
+    for k in range(60):
+        words = seeded.choice(long).split(" ")
+        start = seeded.randrange(max(1, len(words) - 60))
+        passage = " ".join([*words[start : start + 52], f"nonce{k}", f"unique{k}"])
+        for side in (0, 1):
+            host = " ".join(f"h{seeded.getrandbits(40)}" for _ in range(60)).split(" ")
+            cut = seeded.randrange(10, 50)
+            text = " ".join([*host[:cut], passage, *host[cut:]])
+            rows.append((2 * k + side, text))
+        planted.append((2 * k + 1, text.index(passage), text.index(passage) + len(passage)))
+    runs = {r["doc_id"]: [tuple(x) for x in r["runs"]] for r in chunk_dedup.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught = [any(a < end and b > begin for a, b in runs.get(doc, [])) for doc, begin, end in planted]
+    assert sum(caught) >= 58
+
+
+# secrets
+
+
+def plain_spans(text: str):
+    found = []
+    for order, rule in enumerate(secret_scan.RULES):
+        for m in re.finditer(rule.pattern, text):
+            if len(m[rule.group]) >= rule.least:
+                found.append((m.start(), order, rule.kind, m.end()))
+    return sorted(found)
+
+
+def test_secrets_against_every_rule_on_every_text(odd, odd_rows, small_docs, small, empty):
+    for docs, rows in ((odd, odd_rows), (small_docs, small)):
+        got = {r["doc_id"]: r for r in secret_scan.report(secret_scan.scan(docs)).collect()}
+        assert len(got) == len(rows)
+        for i, text in rows:
+            spans = plain_spans(text or "")
+            join = lambda s: ",".join(f"{k}:{a}:{b}" for a, _, k, b in s)
+            own = [s for s in spans if s[2] in ("assign", "access", "hex")]
+            assert got[i]["spans"] == join(spans)
+            assert got[i]["base_sha256"] == hashlib.sha256(join(own).encode()).hexdigest()
+            count = Counter(s[2] for s in own)
+            assert (got[i]["n_assign"], got[i]["n_access"], got[i]["n_hex"]) == (count["assign"], count["access"], count["hex"])
+    assert secret_scan.scan(empty).count() == 0
+
+
+def test_secrets_query_against_sql(spark, small):
+    from monotrace.llm.queries import op9_secret_scan
+
+    sql = duck(secret_scan.oracle(), small)
+    assert rows_of(op9_secret_scan(spark, "/root/testdata/sf0.01").collect(), sql.columns) == sorted(sql.fetchall(), key=str)
+
+
+def test_trigram_queries():
+    assert secret_scan.trigram_query(r"AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
+    assert secret_scan.trigram_query(r"[0-9a-f]+") == [frozenset()]
+    assert secret_scan.trigram_query(r"(abc|xyz)d?") == [frozenset({"abc"}), frozenset({"xyz"})] or len(secret_scan.trigram_query(r"(abc|xyz)d?")) >= 2
+    assert secret_scan.trigram_query(r"(abc)*x") == [frozenset()]
+
+
+# spot signatures
+
+
+def plain_signatures(text: str) -> set[str]:
+    words = regex.findall(r"[\p{L}\p{N}]+", text.lower())
+    anchors, out = set(spotsigs.anchor_words()), set()
+    for k, w in enumerate(words):
+        if w in anchors:
+            content = [x for x in words[k + 1 :] if x not in anchors][: spotsigs.CHAIN]
+            if len(content) == spotsigs.CHAIN:
+                out.add(" ".join([w, *content]))
+    return out or {" ".join(p) for p in zip(words, words[1:], strict=False)} or {" ".join(words)}
+
+
+def jaccard(a: set, b: set) -> float:
+    return len(a & b) / len(a | b)
+
+
+def test_fingerprints_against_plain_sets(spark, odd, odd_rows, small_docs, small, empty):
+    for docs, rows in ((odd, [r for r in odd_rows if len(r[1] or "") < 20_000]), (small_docs, small[:300])):
+        docs = docs.where(F.col("doc_id").isin([i for i, _ in rows]))
+        got = {r["doc_id"]: r for r in spotsigs.edited_fingerprints(docs, 3).collect()}
+        prints = {}
+        for k, (i, text) in enumerate(rows):
+            text, after = text or "", rows[(k + 1) % len(rows)][1] or ""
+            n = len(text) // 4
+            edited = text[: len(text) - n] + after[:n]
+            own, r = plain_signatures(text), got[i]
+            assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+            assert r["n_signatures"] == len(own)
+            assert r["near_edited"] == pytest.approx(jaccard(own, plain_signatures(edited)))
+            assert r["near_next"] == pytest.approx(jaccard(own, plain_signatures(after)))
+            assert prints.setdefault(r["fingerprint"], own) == own
+            assert (r["fingerprint"] == r["edited_fingerprint"]) == (own == plain_signatures(edited))
+        assert len(prints) == len({frozenset(s) for s in prints.values()})
+    assert spotsigs.edited_fingerprints(empty).count() == 0
+
+
+def test_near_pairs_against_every_pair(spark, small):
+    seeded = random.Random(5)
+    rows = [(i, t) for i, t in small[:150]]
+    for k in range(30):
+        words = rows[k][1].split(" ")
+        words[seeded.randrange(len(words))] = "changed"
+        rows.append((1000 + k, " ".join(words)))
+    rows += [(2000, rows[3][1]), (2001, rows[3][1]), (2002, ""), (2003, "")]
+    sets = {i: frozenset(plain_signatures(t)) for i, t in rows}
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    expected = {(a, b) for a in first.values() for b in first.values() if a < b and jaccard(sets[a], sets[b]) >= 0.8}
+    expected |= {(first[s], i) for i, s in sets.items() if first[s] != i}
+    got = [(r["a"], r["b"]) for r in spotsigs.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
+# quality
+
+
+def test_held_out_accuracy(spark):
+    from monotrace.llm.queries import op5_quality
+
+    rows = op5_quality(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").collect()
+    score, y = np.array([r["score"] for r in rows]), np.array([r["quality"] for r in rows])
+    good, bad = score[y == 1], score[y == 0]
+    assert (good[:, None] > bad).mean() > 0.99
+    assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.97
+    assert all(r["predicted"] == (r["score"] >= 0.3) for r in rows)
+
+
+def test_scores_hang_on_text_alone(spark, odd, odd_rows, empty):
+    import zlib
+
+    labels = spark.createDataFrame([(i, k % 2, 0, "x") for k, (i, _) in enumerate(odd_rows)] + [(None, 1, 0, "x"), (5, None, 0, "x")], "doc_id long, quality int, toxic int, text string")
+    model = quality.fit(odd, labels)
+    got = quality.scored(odd, model).collect()
+    assert len(got) == len(odd_rows)
+    texts = dict(odd_rows)
+    for r in got:
+        assert 0 <= r["score"] <= 1 and r["score"] == pytest.approx(model.score(texts[r["doc_id"]] or ""))
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+    kept = quality.accepted(odd, labels)
+    assert kept.columns == odd.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in got if r["predicted"])
+    assert quality.scored(empty, quality.fit(empty, labels.limit(0))).count() == 0
+    assert quality.scored(odd, quality.fit(odd, labels.where("quality = 1"))).where("predicted = 1").count() == len(odd_rows)
