@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import fresh, id_and_text
 
 # Common words that serve as anchors, by language.
 ANCHORS = {
@@ -32,21 +32,35 @@ def anchor_words() -> list[str]:
     return sorted({w for words in ANCHORS.values() for w in words.split()})
 
 
-def signatures(text: Column) -> Column:
-    """The distinct spot signatures of a text as sorted 64-bit hashes.
+def one_of(words: list[str]) -> str:
+    """A pattern of these words that reads each letter once: words that begin alike share their beginning."""
+    ends = "" in words
+    by_letter: dict[str, list[str]] = {}
+    for w in filter(None, words):
+        by_letter.setdefault(w[0], []).append(w[1:])
+    if not by_letter:
+        return ""
+    return "(?:" + "|".join(letter + one_of(rest) for letter, rest in sorted(by_letter.items())) + ")" + "?" * ends
+
+
+def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with the distinct spot signatures of a text column as sorted 64-bit hashes, in a column of that name.
 
     Words are runs of letters and digits, in lower case. Where no chain is found (no anchor, or too few
     words after it), each word serves as anchor of the word after it; a text of one word has that word
     as its only signature, and a text without words the signature of the empty text, so that equal
-    texts have equal sets and no set is empty.
+    texts have equal sets and no set is empty. Words and chains are columns of their own on the way, for
+    an expression that several others hold would be computed anew for each.
     """
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    anchor = "(?:" + "|".join(anchor_words()) + ")"
+    words, found = fresh(df, "words"), fresh(df, "found")
+    anchor = one_of(anchor_words())
     chain = rf"(?<= )(?={anchor} )(?=({anchor}(?: {anchor}(?= ))*+" + rf"(?: [^ ]+(?: {anchor}(?= ))*+)" * (CHAIN - 1) + r" [^ ]+) )"
-    found = F.regexp_extract_all(words, F.lit(chain), F.lit(1))
+    out = df.withColumn(words, F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" ")))
+    out = out.withColumn(found, F.regexp_extract_all(F.col(words), F.lit(chain), F.lit(1)))
     chains = F.transform(found, lambda c: F.xxhash64(F.regexp_replace(c, f" {anchor}(?= )", "")))
-    pairs = F.transform(F.regexp_extract_all(words, F.lit(r"(?<= )(?=([^ ]+ [^ ]+) )"), F.lit(1)), lambda c: F.xxhash64(c))
-    return F.array_sort(F.array_distinct(F.when(F.size(found) > 0, chains).when(F.instr(F.trim(words), " ") > 0, pairs).otherwise(F.array(F.xxhash64(F.trim(words))))))
+    pairs = F.transform(F.regexp_extract_all(F.col(words), F.lit(r"(?<= )(?=([^ ]+ [^ ]+) )"), F.lit(1)), lambda c: F.xxhash64(c))
+    sigs = F.when(F.size(found) > 0, chains).when(F.instr(F.trim(words), " ") > 0, pairs).otherwise(F.array(F.xxhash64(F.trim(words))))
+    return out.withColumn(name, F.array_sort(F.array_distinct(sigs))).drop(words, found)
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -75,7 +89,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     that the other set's leading ones hold too, and only sets in neighbouring length classes are
     compared. Rows with a null doc_id are left out.
     """
-    known = id_and_text(docs).where("doc_id IS NOT NULL").select("doc_id", signatures(F.col("text")).alias("sigs"))
+    known = with_signatures(id_and_text(docs).where("doc_id IS NOT NULL"), "text", "sigs").drop("text")
     keyed = known.withColumn("fp", fingerprint(F.col("sigs")))
     sets = keyed.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("sigs").alias("sigs"))
     copies = keyed.join(sets.select("fp", F.col("doc_id").alias("a")), "fp").where("doc_id > a").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("likeness"))
@@ -106,13 +120,13 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     for start in range(0, len(bounds), 64):  # a sum of short comparisons stays within compiled code
         cell = cell + F.size(F.filter(F.lit([int(b) for b in bounds[start : start + 64]]), lambda b: b < F.col("doc_id")))
     ranged = known.withColumn("cell", F.coalesce(cell, F.lit(0))).repartition(parts, "cell")
-    signed = ranged.withColumn("sigs", signatures(F.col("text")))
+    signed = with_signatures(ranged, "text", "sigs")
     order = Window.partitionBy("cell").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     follower = signed.withColumn("next", F.lead(F.struct("text", "sigs")).over(order))
     # the first row of each range, at the range before it
     heads = known.withColumn("cell", F.coalesce(cell, F.lit(0))).groupBy("cell").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("k"), F.col("text"))).alias("head"))
     heads = heads.select(F.lag("cell").over(Window.orderBy("cell")).alias("before"), F.max("cell").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("last"), "head")
-    heads = heads.select(F.coalesce("before", "last").alias("cell"), F.col("head.text").alias("head_text"))
+    heads = with_signatures(heads.select(F.coalesce("before", "last").alias("cell"), F.col("head.text").alias("head_text")), "head_text", "head_sigs")
     joined = follower.join(heads, "cell", "left")
     at_end = F.col("next").isNull()
     return joined.select(
@@ -120,7 +134,7 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
         "text",
         "sigs",
         F.when(at_end, F.col("head_text")).otherwise(F.col("next.text")).alias("next_text"),
-        F.when(at_end, signatures(F.coalesce("head_text", F.lit("")))).otherwise(F.col("next.sigs")).alias("next_sigs"),
+        F.when(at_end, F.col("head_sigs")).otherwise(F.col("next.sigs")).alias("next_sigs"),
     )
 
 
@@ -134,7 +148,7 @@ def edited_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     parts = parts or max(8, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     quarter = F.expr("length(text) div 4").cast("int")
     rows = with_next(docs, parts).withColumn("edited", F.concat(F.expr("left(text, length(text) - length(text) div 4)"), F.substring(F.col("next_text"), F.lit(1), quarter)))
-    rows = rows.withColumn("edited_sigs", signatures(F.col("edited")))
+    rows = with_signatures(rows, "edited", "edited_sigs")
     return rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
