@@ -114,9 +114,10 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
 
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """doc_id, text_hash, trigram: a row for each of the given trigrams that a text holds, in lower case."""
-    low = F.lower("text")
-    held = F.filter(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams)), lambda t: t.isNotNull())
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(held).alias("trigram"))
+    # lower case once a text: within the array each trigram would ask for it anew
+    low = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lower("text").alias("low"))
+    held = F.filter(F.array(*(F.when(F.contains(F.col("low"), F.lit(t)), F.lit(t)) for t in trigrams)), lambda t: t.isNotNull())
+    return low.select("doc_id", "text_hash", F.explode(held).alias("trigram"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
