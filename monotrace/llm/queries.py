@@ -64,7 +64,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = simhash.near_groups(table(spark, sf_dir, "documents"), shingle=4, most=4)
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"), shingle=4, most=4, most_wide=None)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -4,7 +4,7 @@ from monotrace.llm.queries import tokenizer_path
 from pyspark.sql import functions as F
 
 from .test_decontaminate import plain_matches
-from .test_simhash import plain_fingerprint, plain_groups
+from .test_simhash import plain_fingerprint, plain_groups, plain_wide
 from .test_tokens_and_packing import check_pieces
 
 SF = "/root/testdata/sf0.001"
@@ -31,7 +31,8 @@ def test_run_against_plain_stages(spark):
     kept = [(i, t) for i, t in rows if model.score(t) >= 0.3]
     assert len(kept) < len(rows)
     kept = plain_lines(kept)
-    groups = plain_groups({i: plain_fingerprint(t, 5) for i, t in kept}, 4)
+    fps, wides = ({i: f(t, 5) for i, t in kept} for f in (plain_fingerprint, plain_wide))
+    groups = plain_groups(fps, simhash.NEAR_BITS, wides, simhash.NEAR_WIDE_BITS)
     assert len(set(groups.values())) < len(kept)
     kept = [(i, t) for i, t in kept if groups[i] == i]
     leaks = {d for d, _ in plain_matches(kept, items)}

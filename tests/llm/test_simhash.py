@@ -16,7 +16,20 @@ def plain_fingerprint(text: str, shingle: int) -> int:
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def plain_groups(fps: dict[int, int], most: int) -> dict[int, int]:
+def plain_wide(text: str, shingle: int) -> int:
+    """The three further words of a wide fingerprint, bit by bit."""
+    words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text).translate({c: " " for c in range(9, 14)}).split(" ") if w]
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + shingle]).encode(), 42) for i in range(max(1, len(words) - shingle + 1))] if words else []
+    out = 0
+    for k, factor in enumerate(simhash.FACTORS):
+        other = [h * factor % 2**64 for h in hashes]
+        other = [(h ^ h >> 32) * factor % 2**64 for h in other]
+        other = [h ^ h >> 29 for h in other]
+        out |= sum(1 << 64 * k + b for b in range(64) if 2 * sum(h >> b & 1 for h in other) > len(other))
+    return out
+
+
+def plain_groups(fps: dict[int, int], most: int, wides: dict[int, int] | None = None, most_wide: int = 0) -> dict[int, int]:
     ids = sorted(fps)
     root = {i: i for i in ids}
 
@@ -27,7 +40,8 @@ def plain_groups(fps: dict[int, int], most: int) -> dict[int, int]:
 
     for k, i in enumerate(ids):
         for j in ids[k + 1 :]:
-            if (fps[i] ^ fps[j]).bit_count() <= most:
+            n = (fps[i] ^ fps[j]).bit_count()
+            if n <= most and (n == 0 or wides is None or n + (wides[i] ^ wides[j]).bit_count() <= most_wide):
                 a, b = sorted((top(i), top(j)))
                 root[b] = a
     return {i: top(i) for i in ids}
@@ -44,12 +58,14 @@ def test_query_against_every_pair(spark, small):
 
 def test_odd_texts(odd, odd_rows, empty):
     fps = {i: plain_fingerprint(t or "", 5) for i, t in odd_rows}
+    wides = {i: plain_wide(t or "", 5) for i, t in odd_rows}
+    groups = plain_groups(fps, simhash.NEAR_BITS, wides, simhash.NEAR_WIDE_BITS)
     got = {r["doc_id"]: (r["fp"] % 2**64, r["component_id"]) for r in simhash.near_groups(odd).collect()}
-    assert got == {i: (fps[i], c) for i, c in plain_groups(fps, 4).items()}
+    assert got == {i: (fps[i], c) for i, c in groups.items()}
     assert simhash.near_groups(empty).count() == 0
     kept = simhash.first_of_each(odd)
     assert kept.columns == odd.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(plain_groups(fps, 4).values()))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(groups.values()))
 
 
 @pytest.mark.parametrize(("most", "aim", "block"), [(4, 4, 8), (3, 16, 2048), (9, 8, 16), (0, 2, 3)])
