@@ -1,3 +1,4 @@
+import functools
 import zlib
 
 import numpy as np
@@ -6,12 +7,17 @@ from monotrace.llm import packing, pfor
 from monotrace.llm.queries import tokenizer_path
 
 
-def whole_ids(name: str, text: str, end: int) -> np.ndarray:
+@functools.cache
+def whole_tokenizer(name: str):
     from tokenizers import Tokenizer
 
-    t = whole_ids.__dict__.setdefault(name, Tokenizer.from_file(tokenizer_path(name)))
+    t = Tokenizer.from_file(tokenizer_path(name))
     t.encode_special_tokens = True
-    return np.array([*t.encode(text, add_special_tokens=False).ids, end], "<u4")
+    return t
+
+
+def whole_ids(name: str, text: str, end: int) -> np.ndarray:
+    return np.array([*whole_tokenizer(name).encode(text, add_special_tokens=False).ids, end], "<u4")
 
 
 def crc(ids) -> int:
