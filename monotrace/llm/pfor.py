@@ -33,6 +33,37 @@ MAGIC, VERSION, BLOCK = b"PFOR", 1, 128
 SEGMENTS = "part long, segment long, first_id long, n_docs long, n_ids long, data binary"
 
 
+def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """The low `width` bits of each value, one after the other from the lowest bit of the first byte; a row for each row."""
+    if width > 16:
+        bits = ((values[:, :, None] >> np.arange(width, dtype=np.uint32)) & 1).astype(np.uint8)
+        return np.packbits(bits.reshape(len(values), -1), axis=1, bitorder="little")
+    # eight values are `width` bytes: four make a word of at most 64 bits, two such words the bytes
+    w = np.uint64(width)
+    eight = (values & np.uint32((1 << width) - 1)).astype(np.uint64).reshape(-1, 2, 4)
+    four = eight[:, :, 0] | eight[:, :, 1] << w | eight[:, :, 2] << w * np.uint64(2) | eight[:, :, 3] << w * np.uint64(3)
+    if width < 16:
+        low, high = four[:, 0], four[:, 1]
+        four = np.stack((low | high << np.uint64(4 * width), high >> np.uint64(64 - 4 * width)), axis=1)
+    return four.astype("<u8").view(np.uint8).reshape(-1, 16)[:, :width].reshape(len(values), -1)
+
+
+def unpack_bits(packed: np.ndarray, width: int) -> np.ndarray:
+    """The values that pack_bits packed, a row for each row."""
+    if width > 16:
+        flat = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(packed), -1, width)
+        whole = np.zeros((*flat.shape[:2], 32), np.uint8)
+        whole[:, :, :width] = flat
+        return np.packbits(whole, axis=2, bitorder="little").view("<u4")[:, :, 0]
+    eight = np.zeros((packed.size // width, 16), np.uint8)
+    eight[:, :width] = packed.reshape(-1, width)
+    four = eight.view("<u8")
+    if width < 16:
+        four[:, 1] = four[:, 0] >> np.uint64(4 * width) | four[:, 1] << np.uint64(64 - 4 * width)
+    shifts = np.arange(4, dtype=np.uint64) * np.uint64(width)
+    return ((four[:, :, None] >> shifts) & np.uint64((1 << width) - 1)).astype(np.uint32).reshape(len(packed), -1)
+
+
 def encode_segment(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, percentile: float = 0.9) -> bytes:
     n = len(ids)
     blocks = -(-n // BLOCK)
@@ -50,8 +81,7 @@ def encode_segment(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarr
     for w in np.unique(width).tolist():
         if w:
             rows = np.flatnonzero(width == w)
-            flat = ((above[rows, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8).reshape(len(rows), -1)
-            packed[(starts[rows, None] + np.arange(w * BLOCK // 8)).ravel()] = np.packbits(flat, axis=1, bitorder="little").ravel()
+            packed[(starts[rows, None] + np.arange(w * BLOCK // 8)).ravel()] = pack_bits(above[rows], w).ravel()
     row, col = np.nonzero(bits > width[:, None]) if blocks else (np.zeros(0, int), np.zeros(0, int))
     high = above[row, col] >> width[row].astype(np.uint32)
     body = b"".join(
@@ -96,11 +126,7 @@ def decode_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
     for w in np.unique(width).tolist():
         if w:
             rows = np.flatnonzero(width == w)
-            some = packed[(starts[rows, None] + np.arange(w * block // 8)).ravel()].reshape(len(rows), -1)
-            flat = np.unpackbits(some, axis=1, bitorder="little").reshape(len(rows), block, w)
-            whole = np.zeros((len(rows), block, 32), np.uint8)
-            whole[:, :, :w] = flat
-            out[rows] = np.packbits(whole, axis=2, bitorder="little").view("<u4")[:, :, 0]
+            out[rows] = unpack_bits(packed[(starts[rows, None] + np.arange(w * block // 8)).ravel()].reshape(len(rows), -1), w)
     row = np.repeat(np.arange(blocks), counts)
     out[row, col] |= high << width[row].astype(np.uint32)
     out += low[:, None]

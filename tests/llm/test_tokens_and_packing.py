@@ -112,3 +112,13 @@ def test_segments():
             assert len(data) < 2 * n
             with pytest.raises(ValueError):
                 pfor.decode_segment(data[:-9] + b"X" + data[-8:])
+
+
+@pytest.mark.parametrize("width", range(1, 33))
+def test_packed_bits_are_the_low_bits_in_order(width):
+    values = np.random.default_rng(width).integers(0, 2**32, (3, 128), dtype=np.uint64).astype(np.uint32)
+    low = values & np.uint32((1 << width) - 1)
+    plain = [sum(int(v) << (k * width) for k, v in enumerate(row)).to_bytes(16 * width, "little") for row in low]
+    packed = pfor.pack_bits(values, width)
+    assert [row.tobytes() for row in packed] == plain
+    assert (pfor.unpack_bits(packed, width) == low).all()
