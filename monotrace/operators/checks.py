@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import checked_columns, keyed, sort_key, supported_columns
+from .neighbours import neighbour_counts
 
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -50,20 +51,9 @@ def _sides(df: DataFrame, x: Sequence[str], y: Sequence[str]) -> DataFrame:
 
 
 def od_violations(df: DataFrame, x: Sequence[str], y: Sequence[str]) -> DataFrame:
-    """One row (splits, swaps), counted over neighbours of the distinct (X, Y) in order of X, then Y.
-
-    The windows have one partition, for neighbours are counted over the whole order; what goes there are
-    the distinct pairs alone. check_od answers whether the dependency holds without that.
-    """
-    x, y = checked_columns(df, x), checked_columns(df, y)
-    xs, ys = [f"x{i}" for i in range(len(x))], [f"y{i}" for i in range(len(y))]
-    pairs = _sides(df, x, y).distinct().select(F.struct(*xs).alias("x"), F.struct(*ys).alias("y"))
-    order = Window.orderBy("x", "y")
-    near = pairs.select("x", "y", F.lag("x").over(order).alias("px"), F.lag("y").over(order).alias("py"))
-    return near.agg(
-        F.coalesce(F.sum(((F.col("px") == F.col("x")) & (F.col("py") != F.col("y"))).cast("long")), F.lit(0)).alias("splits"),
-        F.coalesce(F.sum((F.col("py") > F.col("y")).cast("long")), F.lit(0)).alias("swaps"),
-    )
+    """One row (splits, swaps), counted over neighbours of the distinct (X, Y) in order of X, then Y."""
+    counts = neighbour_counts(df, [(checked_columns(df, x), checked_columns(df, y))])
+    return counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("splits", "swaps")))
 
 
 def _holds(df: DataFrame, x: list[str], y: list[str], splits_matter: bool) -> bool:
@@ -108,23 +98,17 @@ def check_equivalent(df: DataFrame, a: str, b: str) -> bool:
 def pair_verdicts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """a, b, ocd, od_ab, od_ba, equivalent for all pairs of columns, a before b, as one query: nothing is collected.
 
-    With P distinct pairs of values, A distinct left and B distinct right ones, and no swap: a orders b iff
-    P = A, b orders a iff P = B.
+    All of them hold in a table without rows.
     """
-    names = checked_columns(df, columns)
-    keys = keyed(df, names).distinct()
-    out = None
-    for i, j in combinations(range(len(names)), 2):
-        pairs = keys.select(F.struct(f"k{i}").alias("x"), F.struct(f"k{j}").alias("y")).distinct()
-        order = Window.orderBy("x", "y")
-        near = pairs.select("x", "y", F.lag("x").over(order).alias("px"), F.lag("y").over(order).alias("py"))
-        one = near.agg(F.count("*").alias("p"), F.coalesce(F.sum((F.col("px").isNull() | (F.col("px") != F.col("x"))).cast("long")), F.lit(0)).alias("na"), F.count_distinct("y").alias("nb"), F.coalesce(F.sum((F.col("py") > F.col("y")).cast("long")), F.lit(0)).alias("swaps"))
-        row = one.select(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), "p", "na", "nb", "swaps")
-        out = row if out is None else out.unionByName(row)
-    if out is None:
+    pairs = list(combinations(checked_columns(df, columns), 2))
+    if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, ocd boolean, od_ab boolean, od_ba boolean, equivalent boolean")
-    ok: Column = F.col("swaps") == 0
-    return out.select("a", "b", ok.alias("ocd"), (ok & (F.col("p") == F.col("na"))).alias("od_ab"), (ok & (F.col("p") == F.col("nb"))).alias("od_ba"), (ok & (F.col("p") == F.col("na")) & (F.col("p") == F.col("nb"))).alias("equivalent"))
+    counts = neighbour_counts(df, [([a], [b]) for a, b in pairs])
+    names = df.sparkSession.createDataFrame([(n, a, b) for n, (a, b) in enumerate(pairs)], "n int, a string, b string")
+    # the names are the small side, a row a pair of columns
+    none = {c: F.coalesce(c, F.lit(0)) == 0 for c in ("splits", "swaps", "back_splits")}
+    ab, ba = none["swaps"] & none["splits"], none["swaps"] & none["back_splits"]
+    return names.join(counts, "n", "left").select("a", "b", none["swaps"].alias("ocd"), ab.alias("od_ab"), ba.alias("od_ba"), (ab & ba).alias("equivalent"))
 
 
 def order_compatible_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
