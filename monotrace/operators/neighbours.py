@@ -1,27 +1,28 @@
-"""Splits and swaps of many pairs of column lists, counted in one pass over a table.
+"""Splits and swaps of many pairs of column lists, counted together.
 
-Each row gives one (x, y) a pair of lists, all pairs meet in one shuffle, and what is left of them after
+Each row gives one (x, y) a pair of lists, pairs of the same types meet in one shuffle, and what is left of them after
 partial deduplication is put in order by ranges. A range is a task; ranges of a pair meet by one row each.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.keys import sort_key
 
 Lists = tuple[Sequence[str], Sequence[str]]
 
 
-def _typed_keys(df: DataFrame, names: Sequence[str]) -> dict[str, Column]:
-    """The sort keys of columns as structs of one type: a field for each type that occurs, null but for the column's own."""
-    own = {f"k{i}": n for i, n in enumerate(names)}
-    kinds = {own[f.name]: f.dataType for f in df.select(*(sort_key(df, n).alias(k) for k, n in own.items())).schema.fields}
-    fields = list(dict.fromkeys(kinds.values()))
-    return {n: F.struct(*((sort_key(df, n) if kinds[n] == t else F.lit(None).cast(t)).alias(f"t{i}") for i, t in enumerate(fields))) for n in names}
+def _whole_numbers_alike(df: DataFrame, name: str) -> Column:
+    """The sort key of a column; whole numbers of any width as long, which leaves fewer types apart."""
+    key = sort_key(df, name)
+    return key.cast("long") if isinstance(df.schema[name].dataType, IntegralType) else key
 
 
 def neighbour_counts(df: DataFrame, lists: Sequence[Lists]) -> DataFrame:
@@ -29,9 +30,24 @@ def neighbour_counts(df: DataFrame, lists: Sequence[Lists]) -> DataFrame:
 
     A split has equal x and different y, a swap a y below the one before, a back split equal y and different x;
     the last says that y does not order x where there are no swaps. Pairs of an empty table have no row.
+    Pairs whose columns have the same types share a pass, so that keys are plain structs.
     """
-    keys = _typed_keys(df, list(dict.fromkeys(c for x, y in lists for c in (*x, *y))))
-    each = [F.struct(F.lit(n).alias("n"), F.array(*(keys[c] for c in x)).alias("x"), F.array(*(keys[c] for c in y)).alias("y")) for n, (x, y) in enumerate(lists)]
+    names = list(dict.fromkeys(c for x, y in lists for c in (*x, *y)))
+    fields = df.select(*(_whole_numbers_alike(df, c).alias(f"k{i}") for i, c in enumerate(names))).schema.fields
+    kinds = {c: f.dataType.simpleString() for c, f in zip(names, fields, strict=True)}
+    alike: dict[tuple, list[int]] = defaultdict(list)
+    for n, sides in enumerate(lists):
+        alike[tuple(tuple(kinds[c] for c in side) for side in sides)].append(n)
+    return reduce(DataFrame.unionByName, (_counts(df, [(n, *lists[n]) for n in same]) for same in alike.values()))
+
+
+def _counts(df: DataFrame, numbered: Sequence[tuple[int, Sequence[str], Sequence[str]]]) -> DataFrame:
+    """neighbour_counts of lists whose columns have the same types."""
+
+    def side(columns: Sequence[str]) -> Column:
+        return F.struct(*(_whole_numbers_alike(df, c).alias(f"c{i}") for i, c in enumerate(columns)))
+
+    each = [F.struct(F.lit(n).alias("n"), side(x).alias("x"), side(y).alias("y")) for n, x, y in numbered]
     pairs = df.select(F.inline(F.array(*each))).distinct()
     ranged = pairs.repartitionByRange("n", "x", "y").withColumn("part", F.spark_partition_id())
     order = Window.partitionBy("n", "part").orderBy("x", "y")
