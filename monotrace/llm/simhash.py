@@ -11,8 +11,9 @@ pairs early. Nodes of the upper levels are rows: blocks of sorted fingerprints w
 joined with the blocks of every prefix within the budget. Below, a task walks the two subtrees.
 
 A wider radius finds texts with a few changed words, but chance pairs too. There, each fingerprint carries
-three more words of 64 bits from other hashes of the same shingles, and a pair that the trie finds is
-linked only if few enough of all 256 bits differ.
+three more words of 64 bits from other hashes of the same shingles, and a pair is linked if few enough of
+all 256 bits differ. Each of the four words has its tries: of at most 46 differing bits, some word holds
+at most 11, so no pair is lost.
 """
 
 from __future__ import annotations
@@ -32,9 +33,11 @@ from .components import components
 ARCS = 4
 #: Fingerprints of a block at most, and what the number of prefix bits aims at.
 BLOCK, AIM = 2048, 1024
+#: The same aim for four words, whose blocks are more and larger: fewer prefixes to send each to.
+AIM_WIDE = 8192
 #: Further words of a wide fingerprint: odd factors that make other hashes of a shingle's hash.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-#: Bits of a near copy of similarity 0.8: cos = 0.89 makes 15 % of the bits differ, 10 of 64 and 39 of 256 on average.
+#: Bits of a near copy of similarity 0.8: cos = 0.89 makes 15 % of the bits differ, 10 of 64 and 39 of 256 on average. 46 < 4 * (11 + 1).
 NEAR_BITS, NEAR_WIDE_BITS = 11, 46
 
 
@@ -154,14 +157,30 @@ def spanning(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     return [x for x, _ in kept], [y for _, y in kept]
 
 
+def by_word(fps: DataFrame) -> DataFrame:
+    """word, fp, wide, id: four rows for each of `fps`, each with another word as fp and the other three as wide."""
+
+    def run(batches):
+        for batch in batches:
+            n = len(batch)
+            words = np.column_stack((batch.column("fp").to_numpy(), np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.int64).reshape(n, len(FACTORS))))
+            for k in range(words.shape[1]):
+                others = [row.tobytes() for row in np.delete(words, k, axis=1)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), pa.array(words[:, k]), pa.array(others, pa.binary()), batch.column("id")], names=["word", "fp", "wide", "id"])
+
+    return fps.select("fp", "wide", "id").mapInArrow(run, "word int, fp long, wide binary, id long")
+
+
 def blocks(fps: DataFrame, bits: int) -> DataFrame:
-    """arc, prefix, block, fps, ids, wides: the sorted fingerprints of each prefix of `bits` bits, in runs of at most BLOCK, for the trie from each arc."""
+    """arc, prefix, block, fps, ids, wides: the sorted fingerprints of each prefix of `bits` bits, in runs of at most BLOCK, for the trie from each arc (of each word, if there is a column word)."""
     wide = F.col("wide") if "wide" in fps.columns else F.lit(b"")
-    turned = fps.select("fp", "id", wide.alias("wide"), F.explode(F.array(*map(F.lit, range(ARCS)))).alias("arc"))
+    several = "word" in fps.columns
+    turned = fps.select("fp", "id", wide.alias("wide"), *["word"] * several, F.explode(F.array(*map(F.lit, range(ARCS)))).alias("arc"))
     step = 64 // ARCS
     turn = F.expr(f"CASE arc WHEN 0 THEN fp {' '.join(f'WHEN {k} THEN shiftleft(fp, {k * step}) | shiftrightunsigned(fp, {64 - k * step})' for k in range(1, ARCS))} END")
     # signed order is unsigned order once the top bit is flipped
-    placed = turned.select("arc", turn.alias("turned"), "id", "wide").withColumn("place", F.col("turned").bitwiseXOR(F.lit(-(2**63)).cast("long")))
+    arc = F.expr(f"word * {ARCS} + arc").alias("arc") if several else "arc"
+    placed = turned.select(arc, turn.alias("turned"), "id", "wide").withColumn("place", F.col("turned").bitwiseXOR(F.lit(-(2**63)).cast("long")))
     by_range = placed.repartitionByRange("arc", "place").sortWithinPartitions("arc", "place")
 
     def run(batches):
@@ -201,16 +220,18 @@ def blocks(fps: DataFrame, bits: int) -> DataFrame:
 def near_links(fps: DataFrame, most: int = 4, most_wide: int | None = None) -> DataFrame:
     """a, b: ids of distinct fingerprints (columns fp, id) within `most` bits; enough of them to connect all that are linked.
 
-    With `most_wide`, at most so many bits of fp and the column wide together may differ as well.
+    With `most_wide`, fp and the column wide (24 bytes) are four words, and ids are of distinct words: at most
+    so many bits of all four may differ, and at most `most` in at least one of them, which every pair
+    meets where most_wide < 4 * (most + 1).
 
-    Where a pair of blocks holds more links than fingerprints, only those that connect them anew are
-    given, which leaves every component whole.
+    Where a pair of blocks holds more links than fingerprints (with `most_wide`, always), only those that
+    connect them anew are given, which leaves every component whole.
     """
     if not 0 <= most < 64:
         raise ValueError("most must lie in 0..63")
     n = fps.count()
-    bits = min(2 * (64 // ARCS), max(0, math.ceil(math.log2(max(n, 1) / AIM))))
-    found = cut_lineage(blocks(fps, bits))
+    bits = min(2 * (64 // ARCS), max(0, math.ceil(math.log2(max(n, 1) / (AIM if most_wide is None else AIM_WIDE)))))
+    found = cut_lineage(blocks(fps if most_wide is None else by_word(fps), bits))
     near = F.explode(F.lit(masks(bits, most)).cast("array<bigint>"))
     right = found.select("arc", F.col("prefix").alias("own"), F.col("block").alias("block_b"), F.col("fps").alias("fps_b"), F.col("ids").alias("ids_b"), F.col("wides").alias("wides_b"), near.alias("mask"))
     right = right.withColumn("prefix", F.col("own").bitwiseXOR(F.col("mask"))).where("prefix <= own").drop("mask")
@@ -229,10 +250,12 @@ def near_links(fps: DataFrame, most: int = 4, most_wide: int | None = None) -> D
                 a, b = np.frombuffer(i, np.int64)[at], np.frombuffer(j, np.int64)[bt]
                 other = a != b
                 a, b = a[other].tolist(), b[other].tolist()
-                if len(a) > len(x) + len(y):
+                if len(a) > len(x) + len(y) or most_wide is not None:
                     a, b = spanning(a, b)
                 out_a += a
                 out_b += b
+            if most_wide is not None:  # one pair of rows is met by up to 16 tries
+                out_a, out_b = spanning(out_a, out_b)
             yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     return pairs.mapInArrow(run, "a long, b long")
@@ -241,18 +264,18 @@ def near_links(fps: DataFrame, most: int = 4, most_wide: int | None = None) -> D
 def near_groups(docs: DataFrame, shingle: int = 5, most: int = NEAR_BITS, most_wide: int | None = NEAR_WIDE_BITS) -> DataFrame:
     """doc_id, fp, component_id: a row for each row of `docs`, with the smallest doc_id that links reach from its fingerprint.
 
-    Equal fingerprints are one vertex, named by their smallest doc_id, so copies make no links of their own.
+    Equal fingerprints (of 256 bits with `most_wide`) are one vertex, named by their smallest doc_id, so copies make no links of their own.
     Null and blank texts share the fingerprint 0. Rows without a doc_id take the component of their
     fingerprint, or null where no numbered row has that fingerprint; they do not connect others. Rows
     may repeat; other columns are not read; an empty table gives an empty one. Without `most_wide`, `most`
-    bits of 64 alone decide.
+    bits of 64 alone decide; with it, `most` is the radius of the search in each of the four words.
     """
     known = cut_lineage(fingerprints(docs, shingle, most_wide is not None))
-    wide = [F.min("wide").alias("wide")] if most_wide is not None else []
-    vertices = cut_lineage(known.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id"), *wide))
+    key = ["fp"] if most_wide is None else ["fp", "wide"]
+    vertices = cut_lineage(known.where("doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("id")))
     roots = components(near_links(vertices, most, most_wide))
-    named = vertices.join(roots, F.col("id") == F.col("vertex"), "left").select("fp", F.coalesce("root", "id").alias("component_id"))
-    return known.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    named = vertices.join(roots, F.col("id") == F.col("vertex"), "left").select(*key, F.coalesce("root", "id").alias("component_id"))
+    return known.join(named, key, "left").select("doc_id", "fp", "component_id")
 
 
 def first_of_each(docs: DataFrame, shingle: int = 5, most: int = NEAR_BITS, most_wide: int | None = NEAR_WIDE_BITS) -> DataFrame:

@@ -114,3 +114,30 @@ def test_rows_without_id_do_not_connect(spark):
     rows = [(None, "alone here in a text"), (None, "shared words of this one text"), (4, "shared words of this one text"), (4, "shared words of this one text")]
     got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(-1, -1), (-1, 4), (4, 4), (4, 4)]
+
+
+def test_wide_fingerprints_link_as_every_pair_does(spark, monkeypatch):
+    """Pairs of at most 46 of 256 bits, however the bits are dealt over the four words."""
+    monkeypatch.setattr(simhash, "AIM_WIDE", 8, raising=False)
+    seeded = random.Random(5)
+    rows = []
+    for _ in range(40):
+        centre = seeded.getrandbits(256)
+        rows.append(centre)
+        for first in (0, 11, 12, 20, 46):
+            total = seeded.choice((44, 46, 47))
+            flips = seeded.sample(range(64), min(first, total)) + seeded.sample(range(64, 256), total - min(first, total))
+            rows.append(centre ^ sum(1 << b for b in flips))
+    table = [(int(np.uint64(x % 2**64).view(np.int64)), (x >> 64).to_bytes(24, "little"), i) for i, x in enumerate(rows)]
+    links = simhash.near_links(spark.createDataFrame(table, "fp long, wide binary, id long").repartition(5), simhash.NEAR_BITS, simhash.NEAR_WIDE_BITS)
+    got = {(r["a"], r["b"]) for r in links.collect()}
+    assert all((rows[a] ^ rows[b]).bit_count() <= 46 for a, b in got)
+    expected = plain_groups(dict(enumerate(rows)), 46)
+    assert any(((rows[i] ^ rows[j]) % 2**64).bit_count() > 11 for i, j in expected.items())
+    roots = {r["vertex"]: r["root"] for r in components(spark.createDataFrame(sorted(got), "a long, b long")).collect()}
+    assert {i: roots.get(i, i) for i in range(len(rows))} == expected
+
+
+def test_equal_first_words_alone_do_not_link(spark):
+    table = [(5, bytes(24), 1), (5, b"\xff" * 24, 2)]
+    assert simhash.near_links(spark.createDataFrame(table, "fp long, wide binary, id long"), simhash.NEAR_BITS, simhash.NEAR_WIDE_BITS).count() == 0
