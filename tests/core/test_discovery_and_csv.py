@@ -116,3 +116,40 @@ def test_the_library_does_without_the_training_data_part():
     import __spark_entry__
 
     assert "discover_fixture" in __spark_entry__.queries() and "discover_fixture" in __spark_entry__.oracle_sql()
+
+
+def test_whole_search_of_a_view_against_brute_force(spark, tmp_path):
+    """All levels over all columns; constants and later members of a class are put aside."""
+    import __spark_entry__
+    from monotrace.queries import WHOLE
+
+    duckdb.sql("SELECT * FROM '/root/testdata/sf0.001/orders.parquet' ORDER BY o_orderkey LIMIT 60").write_parquet(str(tmp_path / "orders.parquet"))
+    df = view(spark, str(tmp_path), "orders_cal")
+    columns, table = df.columns, [tuple(r) for r in df.collect()]
+
+    def orders(x, y):
+        pick = lambda r, cols: tuple(r[columns.index(c)] for c in cols)
+        pairs = sorted((pick(r, x), pick(r, y)) for r in table)
+        return all(b[1] == a[1] or (a[0] < b[0] and a[1] < b[1]) for a, b in zip(pairs, pairs[1:], strict=False))
+
+    left = [c for c in columns if len({r[columns.index(c)] for r in table}) > 1]
+    left = [c for i, c in enumerate(left) if not any(orders([c], [k]) and orders([k], [c]) for k in left[:i])]
+    assert 3 < len(left) < len(columns)
+    todo = {((a,), (b,)) for i, a in enumerate(left) for b in left[i + 1 :]}
+    expected = set()
+    while todo:
+        longer = set()
+        for x, y in todo:
+            if not orders([*x, *y], [*y, *x]):
+                continue
+            xy, yx = orders(x, y), orders(y, x)
+            expected |= {("OD", x, y)} if xy else set()
+            expected |= {("OD", y, x)} if yx else set()
+            expected |= {("OCD", x, y)} if not xy and not yx else set()
+            rest = [c for c in left if c not in x + y]
+            longer |= set() if xy else {((*x, c), y) for c in rest}
+            longer |= set() if yx else {(x, (*y, c)) for c in rest}
+        todo = longer
+    assert max(len(x) + len(y) for _, x, y in expected) > 3
+    assert {(r["kind"], tuple(r["lhs"].split(",")), tuple(r["rhs"].split(","))) for r in WHOLE["discover_whole_orders_cal"](spark, str(tmp_path)).collect()} == expected
+    assert set(WHOLE) <= set(__spark_entry__.queries())
