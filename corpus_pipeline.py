@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monotrace.llm import decontaminate, line_windows, packing, quality, simhash
-from monotrace.llm.common import shared_dir, table
+from monotrace.llm.common import delete, new_path, table
 from monotrace.llm.queries import tokenizer_path
 
 
@@ -50,10 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages, one after the other over all documents, each written to the shared folder and read again."""
-    docs, place = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        path = f"{place}/{k}"
+    """The stages, one after the other over all documents, each written to the shared folder and read again. A stage's rows are deleted once the next one is written, the last ones when the session's JVM ends."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        path = new_path(spark, "corpus")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            delete(spark, before)
+        before = path
     return docs
