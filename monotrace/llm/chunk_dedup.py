@@ -20,8 +20,8 @@ from .common import id_and_text
 
 #: Bytes of a chunk: at least, about on average, at most.
 LEAST, MEAN, MOST = 20, 52, 192
-#: Characters that a run of repeated chunks must cover.
-RUN = 64
+#: Characters that a run of repeated chunks must cover: more than a line that documents share, less than what is left of 50 words once both ends lie within chunks.
+RUN = 100
 #: Bits of the hash that must be 0 at an end; the highest of them hangs on 20 bytes.
 _TOP_BIT = 19
 _WINDOW = 32
@@ -68,18 +68,18 @@ def cuts_of(data: np.ndarray, hashes: np.ndarray, least: int = LEAST, mean: int
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, at (number of the chunk in its text), begin, end (code points), d1, d2 (the digest)."""
+    """doc_id, text_hash, begin, end (code points), d1, d2 (the digest)."""
 
     def run(batches):
         import xxhash
 
         digest = xxhash.xxh3_128_digest
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            ids, hashes, texts = batch.column("doc_id"), batch.column("text_hash"), batch.column("text").to_pylist()
             k = 0
-            while k < len(ids):
-                doc, begin, end, number, digests, held = [], [], [], [], [], 0
-                while k < len(ids) and held < 1 << 21:
+            while k < len(texts):
+                doc, begin, end, digests, held = [], [], [], [], 0
+                while k < len(texts) and held < 1 << 21:
                     raw = texts[k].encode("utf-8", "replace")
                     if raw:
                         data = np.frombuffer(raw, np.uint8)
@@ -90,58 +90,66 @@ def chunks(docs: DataFrame) -> DataFrame:
                         if len(raw) != len(texts[k]):
                             places = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[places]
                         doc.append(np.full(len(cuts), k))
-                        number.append(np.arange(len(cuts)))
                         begin.append(places[:-1])
                         end.append(places[1:])
                         held += len(raw)
                     k += 1
                 if doc:
                     both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                    row = pa.array(np.concatenate(doc))
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(ids, pa.int64()).take(pa.array(np.concatenate(doc))),
-                            *(pa.array(np.concatenate(x).astype(np.int32)) for x in (number, begin, end)),
-                            pa.array(both[:, 0].copy()),
-                            pa.array(both[:, 1].copy()),
-                        ],
-                        names=["doc_id", "at", "begin", "end", "d1", "d2"],
+                        [ids.take(row), hashes.take(row), *(pa.array(np.concatenate(x).astype(np.int32)) for x in (begin, end)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())],
+                        names=["doc_id", "text_hash", "begin", "end", "d1", "d2"],
                     )
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, at int, begin int, end int, d1 long, d2 long")
+    return _keyed(docs).mapInArrow(run, "doc_id long, text_hash int, begin int, end int, d1 long, d2 long")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and 32 bits of a hash of the text, which keep rows apart that share a doc_id."""
+    return id_and_text(docs).withColumn("text_hash", F.shiftright(F.xxhash64("text"), 32).cast("int"))
 
 
 def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """doc_id, runs: array of (begin, end), the stretches of consecutive later chunks that cover `run` characters or more.
+    """doc_id, text_hash, begins, ends: the stretches of consecutive later chunks that cover `run` characters or more.
 
     Partial counts meet a digest once a task, and the join with the repeated ones is one that Spark can
     split where a digest is hot. Rows with a null doc_id are left out.
     """
     every = chunks(docs.where("doc_id IS NOT NULL"))
-    first = every.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).where("n > 1").drop("n")
-    later = every.join(first, ["d1", "d2"]).where(F.struct("doc_id", "at") != F.col("first")).select("doc_id", F.struct("at", "begin", "end").alias("c"))
-    by_doc = later.groupBy("doc_id").agg(F.array_sort(F.collect_set("c")).alias("c"))
-    joined = F.expr(
-        """aggregate(c, array(struct(-2 AS at, 0 AS begin, 0 AS end)), (out, x) ->
-             IF(element_at(out, -1).at + 1 = x.at,
-                concat(slice(out, 1, size(out) - 1), array(struct(x.at AS at, element_at(out, -1).begin AS begin, x.end AS end))),
-                concat(out, array(x))))"""
-    )
-    runs = by_doc.select("doc_id", F.filter(joined, lambda r: r["end"] - r["begin"] >= run).alias("r")).where(F.size("r") > 0)
-    return runs.select("doc_id", F.transform("r", lambda r: F.struct(r["begin"].alias("begin"), r["end"].alias("end"))).alias("runs"))
+    place = F.struct("doc_id", "text_hash", "begin")
+    first = every.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
+    later = every.join(first, ["d1", "d2"]).where(place != F.col("first")).select("doc_id", "text_hash", F.struct("begin", "end").alias("c"))
+    by_doc = later.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("c")).alias("c"))
+    # a run begins at a chunk that does not follow on the one before, and ends where the next one does not follow
+    c = F.col("c")
+    begins = F.transform(F.filter(c, lambda x, i: (i == 0) | (F.get(c, i - 1)["end"] != x["begin"])), lambda x: x["begin"])
+    ends = F.transform(F.filter(c, lambda x, i: (i == F.size(c) - 1) | (F.get(c, i + 1)["begin"] != x["end"])), lambda x: x["end"])
+    runs = by_doc.select("doc_id", "text_hash", F.arrays_zip(begins.alias("begin"), ends.alias("end")).alias("r"))
+    return runs.select("doc_id", "text_hash", F.filter("r", lambda r: r["end"] - r["begin"] >= run).alias("runs")).where(F.size("runs") > 0)
 
 
 def remove_repeated_chunks(docs: DataFrame, run: int = RUN) -> DataFrame:
     """doc_id, text without later copies of passages, runs (what was removed, as code points); a row for each row of `docs`.
 
     A null text is the empty text; a text of fewer than `run` characters stays as it is, and so do rows
-    without a doc_id. Rows that share a doc_id must be equal in text: doc_id is the key. Other columns are
-    not read; an empty table gives an empty one.
+    without a doc_id. Rows with equal doc_id and text are one document and are cut alike; rows that share
+    a doc_id alone are documents of their own, which follow each other by a hash of their texts. Other
+    columns are not read; an empty table gives an empty one.
     """
-    joined = id_and_text(docs).join(repeated_runs(docs, run), "doc_id", "left")
-    kept = F.expr(
-        """array_join(transform(sequence(0, size(runs)), i -> substring(text,
-             IF(i = 0, 0, runs[i - 1].end) + 1,
-             IF(i = size(runs), length(text), runs[i].begin) - IF(i = 0, 0, runs[i - 1].end))), '')"""
-    )
+    joined = _keyed(docs).join(repeated_runs(docs, run), ["doc_id", "text_hash"], "left").select("doc_id", "text", "runs")
+
+    def cut(batches):
+        for batch in batches:
+            kept = []
+            for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+                at, pieces = 0, []
+                for r in runs or ():
+                    pieces.append(text[at : r["begin"]])
+                    at = r["end"]
+                kept.append("".join([*pieces, text[at:]]) if runs else text)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.string()), batch.column("runs")], names=["doc_id", "text", "runs"])
+
     none = F.array().cast("array<struct<begin:int,end:int>>")
-    return joined.select("doc_id", F.when(F.col("runs").isNull(), F.col("text")).otherwise(kept).alias("text"), F.coalesce("runs", none).alias("runs"))
+    out = joined.withColumn("runs", F.coalesce("runs", none).cast("array<struct<begin:int,end:int>>"))
+    return out.mapInArrow(cut, "doc_id long, text string, runs array<struct<begin:int,end:int>>")

@@ -2,42 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut_lineage, delete, new_path, shared_dir, stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which every executor can reach; one of our own only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return folder or current.get()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="spark-checkpoints-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The same rows, stored in the shared folder, so that a lost executor takes nothing with it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame, name: str) -> str:
-    """Writes df as Parquet under the shared folder and returns the path."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return path
-
-
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and text alone (a null text is the empty text), whatever other columns there are."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -49,3 +23,14 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def runs_of(numbers: str) -> tuple[Column, Column]:
+    """First and last of each run of consecutive numbers, as two arrays, of a column that holds a sorted array of them."""
+    n = F.col(numbers)
+    begin = F.filter(n, lambda x, i: (i == 0) | (F.get(n, i - 1) != x - 1))
+    end = F.filter(n, lambda x, i: (i == F.size(n) - 1) | (F.get(n, i + 1) != x + 1))
+    return begin, end
+
+
+__all__ = ["cut_lineage", "delete", "fresh", "id_and_text", "new_path", "runs_of", "shared_dir", "stored", "table"]

@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import fresh, id_and_text, stored
 
 K1, B = 1.2, 0.75
 POSTING_BLOCK = 16
-#: Bytes of item text that one index holds at most; more items make more indexes, searched one after the other.
-INDEX_BYTES = 4 << 20
+#: Bytes of item text that one index holds, about; more items make more indexes, built, searched and dropped one after the other.
+INDEX_BYTES = 8 << 20
 _WORD = re.compile(r"\w+")
-MATCHES = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+MATCHES = "doc_id long, lone long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
 def words_of(text: str) -> list[str]:
@@ -58,16 +58,14 @@ def overlap(part: list[str], passage: list[str]) -> float:
 class ItemIndex:
     """Postings of items in blocks, with what a search needs to bound them."""
 
-    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_words: float, threshold: float):
-        self.threshold = threshold
+    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_words: float, longest: int, threshold: float):
+        self.threshold, self.longest = threshold, longest
         self.items = [(i, *question_and_answer(t)) for i, t in items]
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        self.longest = 1
         essential: set[str] = set()
         rest = np.zeros(len(items))
         for k, (_, q, a) in enumerate(self.items):
             words = q + a
-            self.longest = max(self.longest, len(words))
             tf: dict[str, int] = defaultdict(int)
             for w in words:
                 tf[w] += 1
@@ -177,9 +175,10 @@ class ItemIndex:
 
 
 def item_indexes(items: DataFrame, threshold: float):
-    """The items' indexes, one after the other; each is built from at most about INDEX_BYTES of text.
+    """The items' indexes, one after the other; each is built from about INDEX_BYTES of text.
 
-    Word counts over all items are made by Spark, so that a score is the same however many indexes there are.
+    Word counts, mean and greatest length are those of all items, so that passages and scores are the same
+    however many indexes there are.
     """
     known = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item_id IS NOT NULL")
 
@@ -200,14 +199,14 @@ def item_indexes(items: DataFrame, threshold: float):
     shards = 1 + size // INDEX_BYTES
     terms = known.mapInArrow(split, "item_id long, word string, n long")
     df = terms.groupBy("word").agg(F.count("*").alias("df"))
-    n_items, mean = terms.groupBy("item_id").agg(F.max("n").alias("n")).agg(F.count("*"), F.avg("n")).first()
+    n_items, mean, longest = terms.groupBy("item_id").agg(F.max("n").alias("n")).agg(F.count("*"), F.avg("n"), F.max("n")).first()
     for shard in range(shards):
         own = known.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard)
         texts = [(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()]
         texts = [x for x in texts if words_of(x[1])]
         if texts:
             held = own.mapInArrow(split, "item_id long, word string, n long").select("word").distinct().join(df, "word")
-            yield ItemIndex(texts, {r["word"]: r["df"] for r in held.collect()}, n_items, mean or 1.0, threshold)
+            yield ItemIndex(texts, {r["word"]: r["df"] for r in held.collect()}, n_items, mean or 1.0, longest or 1, threshold), shards
 
 
 def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.6, least_overlap: float = 0.5) -> DataFrame:
@@ -215,18 +214,33 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.6, least_ove
 
     Passages are windows of twice the longest item's words, half overlapping, so that every occurrence
     of an item lies in one. Null and empty texts, on either side, match nothing; rows that share a doc_id
-    are taken as one document; other columns are not read; empty tables give no rows.
+    are taken as one document, rows without one as a document for each text; other columns are not read;
+    empty tables give no rows.
     """
-    spark, known = docs.sparkSession, id_and_text(docs)
+    return _matches(docs, items, threshold, least_overlap).drop("lone")
+
+
+def _with_key(docs: DataFrame) -> DataFrame:
+    """doc_id, text and, for rows without a doc_id, a hash of the text in their stead."""
+    known = id_and_text(docs)
+    return known.withColumn("lone", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+
+
+def _matches(docs: DataFrame, items: DataFrame, threshold: float, least_overlap: float) -> DataFrame:
+    """Matches with the key of _with_key. Of several indexes, the driver holds one at a time, and what it finds is stored."""
+    spark, known = docs.sparkSession, _with_key(docs)
     out = None
-    for index in item_indexes(items, threshold):
+    for index, indexes in item_indexes(items, threshold):
         shared = spark.sparkContext.broadcast(index)
         got = known.mapInArrow(_searcher(shared, least_overlap), MATCHES)
+        if indexes > 1:
+            got = stored(got, "matches")
+            shared.unpersist()
         out = got if out is None else out.unionByName(got)
     if out is None:
         return spark.createDataFrame([], MATCHES)
     best = F.max(F.struct("score", "question_overlap", "answer_overlap"))
-    return out.groupBy("doc_id", "item_id").agg(best.alias("m")).select("doc_id", "item_id", "m.score", "m.question_overlap", "m.answer_overlap")
+    return out.groupBy("doc_id", "lone", "item_id").agg(best.alias("m")).select("doc_id", "lone", "item_id", "m.score", "m.question_overlap", "m.answer_overlap")
 
 
 def _searcher(shared, least_overlap: float):
@@ -235,7 +249,7 @@ def _searcher(shared, least_overlap: float):
         step = max(16, index.longest)
         get = index.terms.get
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            ids, texts = list(zip(batch.column("doc_id").to_pylist(), batch.column("lone").to_pylist(), strict=True)), batch.column("text").to_pylist()
             at = 0
             rows = []
             while at < len(ids):
@@ -264,15 +278,20 @@ def _searcher(shared, least_overlap: float):
                         item_id, question, answer = index.items[item]
                         q, a = overlap(question, passage), overlap(answer, passage)
                         if q >= least_overlap and a >= least_overlap:
-                            rows.append((taken[d], item_id, min(1.0, score), q, a))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                            rows.append((*taken[d], item_id, min(1.0, score), q, a))
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "lone", "item_id", "score", "question_overlap", "answer_overlap"])
 
     return run
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, threshold: float = 0.6, least_overlap: float = 0.5) -> DataFrame:
-    """The rows of `docs`, with all their columns, that match no item."""
-    found = matches(docs, items, threshold, least_overlap).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """The rows of `docs`, with all their columns, that match no item. Rows without a doc_id go by their own text."""
+    found = _matches(docs, items, threshold, least_overlap).select(F.col("doc_id").alias("m_id"), F.col("lone").alias("m_lone")).distinct()
+    doc_id, lone = fresh(docs, "m_doc"), fresh(docs, "m_lone")
+    number = F.col("doc_id").cast("long")
+    keyed = docs.withColumn(doc_id, F.coalesce(number, F.lit(0))).withColumn(lone, F.when(number.isNull(), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    found = found.select(F.coalesce("m_id", F.lit(0)).alias(doc_id), F.col("m_lone").alias(lone))
+    same = (keyed[doc_id] == found[doc_id]) & keyed[lone].eqNullSafe(found[lone])
+    return keyed.join(found, same, "left_anti").drop(doc_id, lone)

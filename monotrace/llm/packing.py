@@ -35,7 +35,11 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def plan_cuts(places: np.ndarray, penalties: np.ndarray, width: int, exact: tuple[int, ...] = ()) -> list[int]:
     """The places of least total cost, first and last included; neighbours in `places` are at most `width` apart."""
     p, pen = places.tolist(), penalties.tolist()
-    at = {x: i for i, x in enumerate(p)} if exact else {}
+    without_padding: dict[int, list[int]] = {}
+    for length in exact:
+        i = np.searchsorted(places, places - length)
+        for j in np.flatnonzero(places[i] == places - length).tolist():
+            without_padding.setdefault(j, []).append(int(i[j]))
     cost, back = [0.0] * len(p), [0] * len(p)
     queue = deque([0])
     keys = [0.0] * len(p)
@@ -46,9 +50,8 @@ def plan_cuts(places: np.ndarray, penalties: np.ndarray, width: int, exact: tupl
             queue.popleft()
         i = queue[0]
         least = keys[i] + width - end
-        for length in exact:
-            k = at.get(end - length)
-            if k is not None and cost[k] < least:
+        for k in without_padding.get(j, ()):
+            if cost[k] < least:
                 i, least = k, cost[k]
         back[j] = i
         cost[j] = least = least + pen[j]
@@ -102,7 +105,7 @@ def pack_documents(
     sentence_penalty: float = 1.0,
     split_penalty: float = 3.0,
     stride: int = 32,
-    exact: tuple[int, ...] = (512,),
+    exact: tuple[int, ...] | None = None,
     segment: int = 1 << 20,
 ) -> DataFrame:
     """One row a piece: doc_id, start (its document's ids before it), length, ids_crc32, doc_tokens, sequence_id, offset.
@@ -110,8 +113,10 @@ def pack_documents(
     Every id of every document, and `end_id` after it, lies in exactly one piece. A null text is the
     empty text (a piece of one id); rows that share a doc_id are documents of their own, next to each
     other; null ids come first; an empty table gives no pieces. Other columns are not read.
-    sequence_id is unique and ascends with the documents, but leaves gaps between ranges of doc_id.
+    sequence_id is unique and ascends with the documents, but leaves gaps between ranges of doc_id. Windows
+    of `exact` lengths need no padding: every power of two below `width`, unless others are given.
     """
+    exact = tuple(1 << k for k in range((width - 1).bit_length())) if exact is None else exact
     sorted_docs = id_and_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):

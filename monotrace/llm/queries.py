@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import backoff, chunk_dedup, decontaminate, line_windows, packing, pfor, quality, secret_scan, simhash, spotsigs
-from .common import shared_dir, table
+from .common import new_path, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -22,9 +22,7 @@ def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    path = new_path(spark, "token-files")
     pfor.write_ids(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), path)
     return pfor.digest(pfor.read_ids(spark, path))
 
@@ -56,7 +54,9 @@ def op7_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff.backoff_scores(table(spark, sf_dir, "documents"))
+    """doc_id, n_tokens, log_score and mean_log_score, rounded to 4 and 6 places."""
+    out = backoff.backoff_scores(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,5 +86,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op7_line_windows": line_windows.ORACLE,
+    "op8_stupid_backoff": backoff.ORACLE,
     "op9_secret_scan": secret_scan.oracle(),
 }

@@ -1,19 +1,21 @@
 """Secret scans through a trigram inverted index.
 
-From each rule's regular expression a Boolean trigram query is derived: the trigrams that any match
-must hold. The postings of those trigrams are intersected over the whole table, and only documents
-that fulfil a rule's query are searched with its expression. Rules without mandatory trigrams (runs of
-hex digits, say) search every document.
+From each rule's regular expression a Boolean trigram query is derived: alternatives, each a set of
+trigrams that a match must hold. The index has a posting (trigram, document) for each of these trigrams
+that a text holds; postings meet the alternatives by trigram, and a document is in the intersection
+of an alternative's lists if it brings all of its trigrams. Only such documents are searched with the
+rule's expression. Rules without mandatory trigrams (runs of hex digits, say) search every document.
+
+Matches become rows, whose places are running sums over the stretches between them, so work is in
+proportion to a text and its matches.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from re import _constants as C
-from re import _parser as parser
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text
@@ -43,118 +45,126 @@ RULES = (
 _MOST = 32
 
 
-def trigram_query(pattern: str) -> list[frozenset[str]]:
-    """Alternatives, each a set of lower-case trigrams that must all occur; [frozenset()] where none is mandatory.
+#: Pieces of a regular expression: escapes, classes, group openings, ends, bars, quantifiers, any other character.
+_PIECE = re.compile(r"\\x(?P<hex>[0-9a-fA-F]{2})|\\(?P<escape>.)|\[(?P<set>\^?(?:\\x[0-9a-fA-F]{2}|\\.|[^\]\\])+)\]|(?P<open>\((?:\?[aimsux]*:|\?<?[=!])?)|(?P<close>\))|(?P<bar>\|)|(?P<times>[*+?]|\{\d+(?:,\d*)?\})[?+]?|(?P<other>.)", re.S)
+#: What an expression may be: the few strings that it can match (None: too many), and trigram sets of which a match holds one in full.
+Need = tuple[set[str] | None, list[frozenset[str]]]
+_ANYTHING: Need = (None, [frozenset()])
 
-    The expression is read as a sequence of sets of strings. Sets multiply while they stay small; where
-    a part can be anything, what was gathered so far must hold in full, and gathering starts anew.
-    """
 
-    def need(strings: set[str]) -> list[frozenset[str]]:
-        found = [frozenset(s[i : i + 3].lower() for i in range(len(s) - 2)) for s in strings]
-        return [frozenset()] if not all(found) else list(dict.fromkeys(found))
-
-    def both(a: list[frozenset[str]], b: list[frozenset[str]]) -> list[frozenset[str]]:
-        if len(a) * len(b) > _MOST:
-            return min(a, b, key=len)
-        return list(dict.fromkeys(x | y for x in a for y in b))
-
-    def sequence(items) -> tuple[set[str] | None, list[frozenset[str]]]:
-        """The strings that it can be, if they are few, and else what it needs."""
-        so_far, query, whole = {""}, [frozenset()], True
-        for op, arg in items:
-            strings, inner = item(op, arg)
-            if strings is not None and len(so_far) * len(strings) <= _MOST:
-                so_far = {a + b for a in so_far for b in strings}
-                continue
-            whole = False
-            query = both(both(query, need(so_far)), inner if strings is None else need(strings))
-            so_far = {""}
-        return (so_far, query) if whole else (None, both(query, need(so_far)))
-
-    def item(op, arg) -> tuple[set[str] | None, list[frozenset[str]]]:
-        if op is C.LITERAL:
-            return {chr(arg).lower()}, [frozenset()]
-        if op is C.IN:
-            chars: set[str] = set()
-            for kind, value in arg:
-                if kind is C.LITERAL:
-                    chars.add(chr(value).lower())
-                elif kind is C.RANGE and value[1] - value[0] < 8:
-                    chars |= {chr(c).lower() for c in range(value[0], value[1] + 1)}
-                else:
-                    return None, [frozenset()]
-            return (chars, [frozenset()]) if len(chars) <= 8 else (None, [frozenset()])
-        if op is C.SUBPATTERN:
-            return sequence(arg[3])
-        if op is C.BRANCH:
-            parts = [sequence(p) for p in arg[1]]
-            if all(s is not None for s, _ in parts):
-                return set().union(*(s for s, _ in parts)), [frozenset()]
-            return None, [x for s, q in parts for x in (q if s is None else need(s))]
-        if op in (C.MAX_REPEAT, C.MIN_REPEAT):
-            low, high, inner = arg
-            strings, query = sequence(inner)
-            if (low, high) == (0, 1) and strings is not None:
-                return strings | {""}, [frozenset()]
-            if low == high and low <= 8 and strings is not None and len(strings) ** low <= _MOST:
-                out = {""}
-                for _ in range(low):
-                    out = {a + b for a in out for b in strings}
-                return out, [frozenset()]
-            return None, [frozenset()] if low == 0 else query if strings is None else need(strings)
-        if op is C.AT:
-            return {""}, [frozenset()]
-        return None, [frozenset()]
-
-    strings, query = sequence(parser.parse(pattern))
-    query = query if strings is None else need(strings)
+def _of_set(inside: str) -> set[str] | None:
+    """The lower-case characters of a class, if they are at most eight."""
+    if inside[0] == "^" or re.search(r"\\[dDwWsS]", inside):
+        return None
+    chars: set[str] = set()
+    for m in re.finditer(r"(\\x..|\\.|.)(?:-(\\x..|\\.|.))?", inside, re.S):
+        first, last = (None if c is None else ord(c) if len(c) == 1 else int(c[2:], 16) if len(c) == 4 else ord(c[1]) for c in m.groups())
+        chars |= {chr(k).lower() for k in range(first, (first if last is None else last) + 1)}
+    return chars if len(chars) <= 8 else None
+
+
+def _trigrams(strings: set[str]) -> list[frozenset[str]]:
+    found = [frozenset(s[i : i + 3].lower() for i in range(len(s) - 2)) for s in strings]
+    return [frozenset()] if not all(found) else list(dict.fromkeys(found))
+
+
+def _both(a: list[frozenset[str]], b: list[frozenset[str]]) -> list[frozenset[str]]:
+    return min(a, b, key=len) if len(a) * len(b) > _MOST else list(dict.fromkeys(x | y for x in a for y in b))
+
+
+def _joined(parts: list[Need]) -> Need:
+    """Parts in sequence: strings multiply while they are few; where a part can be anything, what was gathered must hold in full, and gathering starts anew."""
+    so_far, query, whole = {""}, [frozenset()], True
+    for strings, inner in parts:
+        if strings is not None and len(so_far) * len(strings) <= _MOST:
+            so_far = {a + b for a in so_far for b in strings}
+            continue
+        whole = False
+        query = _both(_both(query, _trigrams(so_far)), inner if strings is None else _trigrams(strings))
+        so_far = {""}
+    return (so_far, query) if whole else (None, _both(query, _trigrams(so_far)))
+
+
+def _either(branches: list[Need]) -> Need:
+    if all(s is not None for s, _ in branches):
+        return set().union(*(s for s, _ in branches)), [frozenset()]
+    return None, [x for s, q in branches for x in (q if s is None else _trigrams(s))]
+
+
+def _repeated(part: Need, times: str) -> Need:
+    strings, query = part
+    bounds = {"?": "0,1", "*": "0,", "+": "1,"}.get(times, times.strip("{}"))
+    low, _, high = bounds.partition(",")
+    low, high = int(low), high if "," in bounds else low
+    if low == 0:
+        return (strings | {""}, [frozenset()]) if high == "1" and strings is not None else _ANYTHING
+    if str(low) == high and low <= 8 and strings is not None and len(strings) ** low <= _MOST:
+        return _joined([part] * low)
+    return None, query if strings is None else _trigrams(strings)
+
+
+def trigram_query(pattern: str) -> list[frozenset[str]]:
+    """Alternatives, each a set of lower-case trigrams that must all occur; [frozenset()] where none is mandatory."""
+    # a group is its branches, a branch its parts; look-arounds take no room and bring no strings
+    open_groups: list[tuple[list[list[Need]], bool]] = [([[]], False)]
+    for m in _PIECE.finditer(pattern):
+        kind, text = m.lastgroup, m[m.lastgroup]
+        branches = open_groups[-1][0]
+        if kind == "open":
+            open_groups.append(([[]], text.endswith(("=", "!"))))
+        elif kind == "close":
+            inner, looks = open_groups.pop()
+            open_groups[-1][0][-1].append(({""}, [frozenset()]) if looks else _either([_joined(b) for b in inner]))
+        elif kind == "bar":
+            branches.append([])
+        elif kind == "times":
+            branches[-1][-1] = _repeated(branches[-1][-1], text)
+        elif kind == "set":
+            chars = _of_set(text)
+            branches[-1].append(_ANYTHING if chars is None else (chars, [frozenset()]))
+        elif kind == "hex":
+            branches[-1].append(({chr(int(text, 16)).lower()}, [frozenset()]))
+        elif kind == "escape" and text in "bBAZ" or kind == "other" and text in "^$":
+            branches[-1].append(({""}, [frozenset()]))
+        elif kind == "escape" and text in "dDwWsS" or kind == "other" and text == ".":
+            branches[-1].append(_ANYTHING)
+        else:
+            branches[-1].append(({{"n": "\n", "t": "\t", "r": "\r"}.get(text, text).lower() if kind == "escape" else text.lower()}, [frozenset()]))
+    strings, query = _either([_joined(b) for b in open_groups[0][0]])
+    query = query if strings is None else _trigrams(strings)
     return [frozenset()] if frozenset() in query else query
 
 
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """doc_id, text_hash, trigram: a row for each of the given trigrams that a text holds, in lower case."""
+    """trigram, doc_id, text_hash: a row for each of the given trigrams that a text holds, in lower case."""
     # lower case once a text: within the array each trigram would ask for it anew
-    low = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lower("text").alias("low"))
+    low = docs.select("doc_id", "text_hash", F.lower("text").alias("low"))
     held = F.filter(F.array(*(F.when(F.contains(F.col("low"), F.lit(t)), F.lit(t)) for t in trigrams)), lambda t: t.isNotNull())
-    return low.select("doc_id", "text_hash", F.explode(held).alias("trigram"))
+    return low.select(F.explode(held).alias("trigram"), "doc_id", "text_hash")
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, text_hash, kinds: documents that fulfil the trigram query of a rule, and of which ones."""
-    queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) != [frozenset()]}
-    trigrams = sorted({t for q in queries.values() for alternative in q for t in alternative})
-    if not trigrams:
-        return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.array().cast("array<string>").alias("kinds")).limit(0)
-    by_doc = postings(docs, trigrams).groupBy("doc_id", "text_hash").agg(F.collect_set("trigram").alias("held"))
-    kinds = F.filter(
-        F.array(
-            *(
-                F.when(F.greatest(*(F.size(F.array_intersect("held", F.array(*map(F.lit, sorted(a))))) == len(a) for a in q), F.lit(False)), F.lit(kind))
-                for kind, q in queries.items()
-            )
-        ),
-        lambda k: k.isNotNull(),
-    )
-    return by_doc.select("doc_id", "text_hash", kinds.alias("kinds")).where(F.size("kinds") > 0)
-
-
-def found_spans(text: Column, rule: Rule, order: int) -> Column:
-    """The rule's leftmost matches that do not overlap and are long enough: start, order, kind, end, in code points."""
+    queries = [(r.kind, sorted(a)) for r in rules if (q := trigram_query(r.pattern)) != [frozenset()] for a in q]
+    wanted = [(n, kind, t, 1 << k, (1 << len(a)) - 1) for n, (kind, a) in enumerate(queries) for k, t in enumerate(a)]
+    if not wanted:
+        return docs.select("doc_id", "text_hash", F.array().cast("array<string>").alias("kinds")).limit(0)
+    # as many rows as the rules' alternatives have trigrams
+    table = F.broadcast(docs.sparkSession.createDataFrame(wanted, "alternative int, kind string, trigram string, bit long, every long"))
+    met = postings(docs, sorted({t for _, _, t, _, _ in wanted})).join(table, "trigram")
+    whole = met.groupBy("doc_id", "text_hash", "alternative", "kind", "every").agg(F.bit_or("bit").alias("bits")).where("bits = every")
+    return whole.groupBy("doc_id", "text_hash").agg(F.collect_set("kind").alias("kinds"))
+
+
+def found_matches(text: Column, rule: Rule, order: int) -> Column:
+    """The rule's leftmost matches that do not overlap: rank, number, code points between it and the one before, its own, and those that count."""
     pattern = F.lit(rule.pattern)
-    between, whole = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    counted = whole if not rule.group else F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    steps = F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("gap"), whole.alias("whole"), counted.alias("counted"))
-    kind = "struct<start:bigint,rank:int,kind:string,end:bigint>"
-    start = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast(f"array<{kind}>").alias("out"))
-
-    def step(acc, x):
-        begin = acc["pos"] + F.length(x["gap"])
-        end = begin + F.length(x["whole"])
-        span = F.struct(begin.alias("start"), F.lit(order).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end")).cast(kind)
-        return F.struct(end.cast("bigint").alias("pos"), F.when(F.length(x["counted"]) >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    lengths = lambda texts: F.transform(texts, lambda t: F.length(t))
+    whole = lengths(F.regexp_extract_all(text, pattern, F.lit(0)))
+    counted = whole if not rule.group else lengths(F.regexp_extract_all(text, pattern, F.lit(rule.group)))
+    # after the last match comes one more gap, without a match
+    every = F.arrays_zip(lengths(F.split(text, rule.pattern, -1)).alias("gap"), whole.alias("whole"), counted.alias("counted"))
+    return F.transform(F.filter(every, lambda x: x["whole"].isNotNull()), lambda x, i: F.struct(F.lit(order).alias("rank"), i.alias("number"), x["gap"].alias("gap"), x["whole"].alias("whole"), x["counted"].alias("counted")))
 
 
 def _scanned(rule: Rule) -> Rule:
@@ -170,21 +180,28 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     A null text is the empty text and has none. Rows may share a doc_id or lack one: the index knows a
     document by its doc_id and the hash of its text.
     """
-    known = id_and_text(docs)
-    scans = [r for r in rules if trigram_query(r.pattern) == [frozenset()]]
+    known = id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
+    scans = {r.kind for r in rules if trigram_query(r.pattern) == [frozenset()]}
     picked = candidates(known, rules)
-    right = picked.select(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash"), "kinds")
-    joined = known.withColumn("text_hash", F.xxhash64("text")).join(right, F.col("text_hash").eqNullSafe(F.col("c_hash")) & F.col("doc_id").eqNullSafe(F.col("c_id")), "left")
-    none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
-    spans = []
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash"))
+    named = lambda df: df.withColumnsRenamed({"doc_id": "own_id", "text_hash": "own_hash"})
+    joined = known.join(named(picked), same, "left").select("doc_id", "text_hash", "text", "kinds")
+    none = F.array().cast("array<struct<rank:int,number:int,gap:int,whole:int,counted:int>>")
+    each = []
     for order, rule in enumerate(rules):
-        if rule in scans:
-            run = _scanned(rule)
-            when = F.regexp_like("text", F.lit(run.pattern))
-        else:
-            run, when = rule, F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False))
-        spans.append(F.when(when, found_spans(F.col("text"), run, order)).otherwise(none))
-    return joined.select("doc_id", F.array_sort(F.concat(*spans)).alias("spans"))
+        run = _scanned(rule) if rule.kind in scans else rule
+        when = F.regexp_like("text", F.lit(run.pattern)) if rule.kind in scans else F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False))
+        each.append(F.when(when, found_matches(F.col("text"), run, order)).otherwise(none))
+    matches = joined.select("doc_id", "text_hash", F.inline(F.concat(*each)))
+    # one exchange by document for the sums and the lists; repeated rows bring the same matches
+    matches = matches.repartition("doc_id", "text_hash").dropDuplicates(["doc_id", "text_hash", "rank", "number"])
+    before = Window.partitionBy("doc_id", "text_hash", "rank").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("gap").cast("long") + F.col("whole")).over(before)
+    kind, least = (F.element_at(F.array(*map(F.lit, x)), F.col("rank") + 1) for x in ([r.kind for r in rules], [r.least for r in rules]))
+    spans = matches.select("doc_id", "text_hash", end.alias("end"), "whole", "counted", "rank", kind.alias("kind"), least.alias("least")).where("counted >= least")
+    span = F.struct((F.col("end") - F.col("whole")).alias("start"), "rank", "kind", "end")
+    lists = spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    return known.select("doc_id", "text_hash").join(named(lists), same, "left").select("doc_id", F.coalesce("spans", F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")).alias("spans"))
 
 
 def report(scanned: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

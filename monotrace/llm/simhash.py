@@ -7,8 +7,9 @@ The trie of all fingerprints is met with itself from the root: a pair of nodes c
 their paths differ and is dropped once that exceeds its budget. Of `most` differing bits on a ring of
 four equal arcs, there is always an arc from which on no stretch of j arcs holds more than j * most / 4
 of them; so four tries, one from each arc, need only that rising budget, which drops nearly all
-pairs early. Nodes of the upper levels are rows: blocks of sorted fingerprints with a common prefix,
-joined with the blocks of every prefix within the budget. Below, a task walks the two subtrees.
+pairs early. Nodes of the upper levels are rows: blocks of sorted fingerprints with a common prefix, whose
+numbers are joined with those of every prefix within the budget. Each such pair fetches its two blocks,
+and a task walks the two subtrees.
 
 A wider radius finds texts with a few changed words, but chance pairs too. There, each fingerprint carries
 three more words of 64 bits from other hashes of the same shingles, and a pair is linked if few enough of
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,10 @@ from .components import components
 ARCS = 4
 #: Fingerprints of a block at most, and what the number of prefix bits aims at.
 BLOCK, AIM = 2048, 1024
-#: The same aim for four words, whose blocks are more and larger: fewer prefixes to send each to.
-AIM_WIDE = 8192
+#: The same for four words, whose fingerprints are longer and sent to more prefixes: fewer of these, so that each is sent less often.
+BLOCK_WIDE, AIM_WIDE = 8192, 32_768
+#: Pairs of fingerprints that a task compares at once.
+ROOM = 1 << 21
 #: Further words of a wide fingerprint: odd factors that make other hashes of a shingle's hash.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Bits of a near copy of similarity 0.8: cos = 0.89 makes 15 % of the bits differ, 10 of 64 and 39 of 256 on average. 46 < 4 * (11 + 1).
@@ -110,9 +114,9 @@ def masks(bits: int, most: int) -> list[int]:
     return [mask for mask, _ in found]
 
 
-def meet(a: np.ndarray, b: np.ndarray, depth: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the sorted arrays a and b whose fingerprints differ in at most `most` bits, found by walking both subtries below `depth`."""
-    found_a, found_b = [], []
+def meet(a: np.ndarray, b: np.ndarray, depth: int, most: int, room: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in the sorted arrays a and b whose fingerprints differ in at most `most` bits, found by walking both subtries below `depth`; about `room` comparisons at a time."""
+    room = room or ROOM
     zero = np.zeros(1, np.int64)
     al, ah, bl, bh = zero, zero + len(a), zero, zero + len(b)
     one = np.uint64(1)
@@ -121,13 +125,17 @@ def meet(a: np.ndarray, b: np.ndarray, depth: int, most: int) -> tuple[np.ndarra
         size = (ah - al) * (bh - bl)
         ready = size <= 32 if depth < 64 else np.ones(len(al), bool)
         if ready.any():
-            n, width = size[ready], (bh - bl)[ready]
-            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            width = np.repeat(width, n)
-            i, j = np.repeat(al[ready], n) + k // width, np.repeat(bl[ready], n) + k % width
-            near = np.bitwise_count(a[i] ^ b[j]) <= most
-            found_a.append(i[near])
-            found_b.append(j[near])
+            done = np.cumsum(size[ready])
+            start = 0
+            while start < len(done):
+                stop = max(start + 1, int(np.searchsorted(done, (done[start - 1] if start else 0) + room, "right")))
+                x, width, y, n = (v[ready][start:stop] for v in (al, bh - bl, bl, size))
+                k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                width = np.repeat(width, n)
+                i, j = np.repeat(x, n) + k // width, np.repeat(y, n) + k % width
+                near = np.bitwise_count(a[i] ^ b[j]) <= most
+                yield i[near], j[near]
+                start = stop
             al, ah, bl, bh, errors = (x[~ready] for x in (al, ah, bl, bh, errors))
         if depth == 64 or not len(al):
             break
@@ -140,21 +148,31 @@ def meet(a: np.ndarray, b: np.ndarray, depth: int, most: int) -> tuple[np.ndarra
         errors = np.concatenate((errors, errors + 1, errors + 1, errors))
         on = (al < ah) & (bl < bh) & (errors <= budget(depth, most))
         al, ah, bl, bh, errors = (x[on] for x in (al, ah, bl, bh, errors))
-    empty = [np.zeros(0, np.int64)]
-    return np.concatenate(found_a or empty), np.concatenate(found_b or empty)
 
 
-def spanning(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """Of these links, as many as connect the same vertices."""
-    parent: dict[int, int] = {}
+class Forest:
+    """Vertices 0..n-1 and the links that connect them: of all that come, as many as are needed."""
 
-    def top(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[p] if p in parent else p
-        return x
+    def __init__(self, n: int):
+        self.root = np.arange(n)
 
-    kept = [(x, y) for x, y in zip(a, b, strict=True) if (p := top(x)) != (q := top(y)) and not parent.update({p: q})]
-    return [x for x, _ in kept], [y for _, y in kept]
+    def added(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of these links connect anew. In each round, every root that links to lower ones takes the lowest."""
+        taken, left = [], np.arange(len(a))
+        while len(left):
+            x, y = self.root[a[left]], self.root[b[left]]
+            apart = x != y
+            left, x, y = left[apart], x[apart], y[apart]
+            if not len(left):
+                break
+            low, high = np.minimum(x, y), np.maximum(x, y)
+            order = np.lexsort((low, high))
+            first = order[np.concatenate(([True], np.diff(high[order]) != 0))]
+            taken.append(left[first])
+            self.root[high[first]] = low[first]
+            while (above := self.root[self.root]) is not None and (above != self.root).any():
+                self.root = above
+        return np.concatenate(taken or [np.zeros(0, np.int64)])
 
 
 def by_word(fps: DataFrame) -> DataFrame:
@@ -171,8 +189,8 @@ def by_word(fps: DataFrame) -> DataFrame:
     return fps.select("fp", "wide", "id").mapInArrow(run, "word int, fp long, wide binary, id long")
 
 
-def blocks(fps: DataFrame, bits: int) -> DataFrame:
-    """arc, prefix, block, fps, ids, wides: the sorted fingerprints of each prefix of `bits` bits, in runs of at most BLOCK, for the trie from each arc (of each word, if there is a column word)."""
+def blocks(fps: DataFrame, bits: int, most: int) -> DataFrame:
+    """arc, prefix, block, fps, ids, wides: the sorted fingerprints of each prefix of `bits` bits, in runs of at most `most`, for the trie from each arc (of each word, if there is a column word)."""
     wide = F.col("wide") if "wide" in fps.columns else F.lit(b"")
     several = "word" in fps.columns
     turned = fps.select("fp", "id", wide.alias("wide"), *["word"] * several, F.explode(F.array(*map(F.lit, range(ARCS)))).alias("arc"))
@@ -196,8 +214,8 @@ def blocks(fps: DataFrame, bits: int) -> DataFrame:
                 edges = edges[:-1] if len(edges) > 2 else [0, len(held)]
             rows = []
             for x, y in zip(edges[:-1], edges[1:], strict=True):
-                for k in range(x, y, BLOCK):
-                    part = slice(k, min(y, k + BLOCK))
+                for k in range(x, y, most):
+                    part = slice(k, min(y, k + most))
                     rows.append((int(arc[k]), int(prefix[k]), number, held[part].tobytes(), ids[part].tobytes(), b"".join(wides[part])))
                     number += 1
             arc, held, ids, wides = arc[edges[-1] :], held[edges[-1] :], ids[edges[-1] :], wides[edges[-1] :]
@@ -209,7 +227,7 @@ def blocks(fps: DataFrame, bits: int) -> DataFrame:
             held = np.concatenate((held, batch.column("turned").to_numpy().view(np.uint64)))
             ids = np.concatenate((ids, batch.column("id").to_numpy()))
             wides += batch.column("wide").to_pylist()
-            if len(held) >= 16 * BLOCK:
+            if len(held) >= 16 * most:
                 yield cut(False)
         if len(held):
             yield cut(True)
@@ -224,41 +242,45 @@ def near_links(fps: DataFrame, most: int = 4, most_wide: int | None = None) -> D
     so many bits of all four may differ, and at most `most` in at least one of them, which every pair
     meets where most_wide < 4 * (most + 1).
 
-    Where a pair of blocks holds more links than fingerprints (with `most_wide`, always), only those that
-    connect them anew are given, which leaves every component whole.
+    Of a pair of blocks, and of a batch of such pairs, only links that connect anew are given, which
+    leaves every component whole.
     """
     if not 0 <= most < 64:
         raise ValueError("most must lie in 0..63")
-    n = fps.count()
-    bits = min(2 * (64 // ARCS), max(0, math.ceil(math.log2(max(n, 1) / (AIM if most_wide is None else AIM_WIDE)))))
-    found = cut_lineage(blocks(fps if most_wide is None else by_word(fps), bits))
+    n, aim, size = fps.count(), *((AIM, BLOCK) if most_wide is None else (AIM_WIDE, BLOCK_WIDE))
+    # up to one arc's bits a prefix has few others within the budget, so what a block is sent to stays bounded; beyond that, prefixes hold more blocks
+    bits = min(64 // ARCS, max(0, math.ceil(math.log2(max(n, 1) / aim))))
+    found = cut_lineage(blocks(fps if most_wide is None else by_word(fps), bits, size))
     near = F.explode(F.lit(masks(bits, most)).cast("array<bigint>"))
-    right = found.select("arc", F.col("prefix").alias("own"), F.col("block").alias("block_b"), F.col("fps").alias("fps_b"), F.col("ids").alias("ids_b"), F.col("wides").alias("wides_b"), near.alias("mask"))
-    right = right.withColumn("prefix", F.col("own").bitwiseXOR(F.col("mask"))).where("prefix <= own").drop("mask")
-    pairs = found.join(right, ["arc", "prefix"]).where("prefix < own OR block <= block_b").select("fps", "ids", "wides", "fps_b", "ids_b", "wides_b")
+    # pairs of blocks are found by their numbers alone; what they hold is fetched once for each pair
+    nodes = found.select("arc", "prefix", "block")
+    other = nodes.select("arc", F.col("prefix").alias("own"), F.col("block").alias("block_b"), near.alias("mask")).withColumn("prefix", F.col("own").bitwiseXOR(F.col("mask"))).where("prefix <= own")
+    pairs = nodes.join(other, ["arc", "prefix"]).where("prefix < own OR block <= block_b").select("block", "block_b")
+    held = lambda end: found.select(*(F.col(c).alias(c + end) for c in ("block", "fps", "ids", "wides")))
+    met = pairs.join(held(""), "block").join(held("_b"), "block_b").select("fps", "ids", "wides", "fps_b", "ids_b", "wides_b")
 
     def run(batches):
         for batch in batches:
-            out_a, out_b = [], []
+            out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for x, i, v, y, j, w in zip(*(batch.column(c).to_pylist() for c in ("fps", "ids", "wides", "fps_b", "ids_b", "wides_b")), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at, bt = meet(x, y, bits, most)
-                if most_wide is not None and len(at):
-                    v, w = np.frombuffer(v, np.uint64).reshape(len(x), -1), np.frombuffer(w, np.uint64).reshape(len(y), -1)
-                    differ = np.bitwise_count(x[at] ^ y[bt]).astype(np.int64) + np.bitwise_count(v[at] ^ w[bt]).sum(axis=1, dtype=np.int64)
-                    at, bt = at[differ <= most_wide], bt[differ <= most_wide]
-                a, b = np.frombuffer(i, np.int64)[at], np.frombuffer(j, np.int64)[bt]
-                other = a != b
-                a, b = a[other].tolist(), b[other].tolist()
-                if len(a) > len(x) + len(y) or most_wide is not None:
-                    a, b = spanning(a, b)
-                out_a += a
-                out_b += b
-            if most_wide is not None:  # one pair of rows is met by up to 16 tries
-                out_a, out_b = spanning(out_a, out_b)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    return pairs.mapInArrow(run, "a long, b long")
+                x, y, i, j = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), np.frombuffer(i, np.int64), np.frombuffer(j, np.int64)
+                v, w = np.frombuffer(v, np.uint64).reshape(len(x), -1), np.frombuffer(w, np.uint64).reshape(len(y), -1)
+                # a row that stands on both sides, as in a block that meets itself, is one vertex
+                vertex = np.unique(np.concatenate((i, j)), return_inverse=True)[1]
+                forest = Forest(int(vertex.max()) + 1)
+                for at, bt in meet(x, y, bits, most):
+                    if most_wide is not None:
+                        differ = np.bitwise_count(x[at] ^ y[bt]).astype(np.int64) + np.bitwise_count(v[at] ^ w[bt]).sum(axis=1, dtype=np.int64)
+                        at, bt = at[differ <= most_wide], bt[differ <= most_wide]
+                    new = forest.added(vertex[at], vertex[len(i) + bt])
+                    out_a.append(i[at[new]])
+                    out_b.append(j[bt[new]])
+            a, b = np.concatenate(out_a), np.concatenate(out_b)
+            vertex = np.unique(np.concatenate((a, b)), return_inverse=True)[1]
+            new = Forest(int(vertex.max(initial=0)) + 1).added(vertex[: len(a)], vertex[len(a) :])  # the tries of other words and arcs meet the same pairs
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a[new]), "b": pa.array(b[new])})
+
+    return met.mapInArrow(run, "a long, b long")
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, most: int = NEAR_BITS, most_wide: int | None = NEAR_WIDE_BITS) -> DataFrame:

@@ -44,28 +44,49 @@ def one_of(words: list[str]) -> str:
 
 
 def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with the distinct spot signatures of a text column as sorted 64-bit hashes, in a column of that name.
+    """df with the distinct spot signatures of a text column as ascending 48-bit hashes, in a column of that name.
 
     Words are runs of letters and digits, in lower case. Where no chain is found (no anchor, or too few
     words after it), each word serves as anchor of the word after it; a text of one word has that word
     as its only signature, and a text without words the signature of the empty text, so that equal
-    texts have equal sets and no set is empty. Words and chains are columns of their own on the way, for
-    an expression that several others hold would be computed anew for each.
+    texts have equal sets and no set is empty.
+
+    A text is read as runs of anchors, each with the next one or two content words; all anchors of a
+    run share these. Where an anchor stands between the two, the second is the first one of the next
+    run. A full stop stands after the last word, so that every run has a word after it: each is taken at
+    once and never searched again, and work is in proportion to the text. Words and runs are columns of their own on the way, for an expression that several others hold would be
+    computed anew for each.
     """
-    words, found = fresh(df, "words"), fresh(df, "found")
+    words, runs, first, second = (fresh(df, n) for n in ("words_", "runs_", "first_", "second_"))
     anchor = one_of(anchor_words())
-    chain = rf"(?<= )(?={anchor} )(?=({anchor}(?: {anchor}(?= ))*+" + rf"(?: [^ ]+(?: {anchor}(?= ))*+)" * (CHAIN - 1) + r" [^ ]+) )"
-    out = df.withColumn(words, F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" ")))
-    out = out.withColumn(found, F.regexp_extract_all(F.col(words), F.lit(chain), F.lit(1)))
-    chains = F.transform(found, lambda c: F.xxhash64(F.regexp_replace(c, f" {anchor}(?= )", "")))
-    pairs = F.transform(F.regexp_extract_all(F.col(words), F.lit(r"(?<= )(?=([^ ]+ [^ ]+) )"), F.lit(1)), lambda c: F.xxhash64(c))
-    sigs = F.when(F.size(found) > 0, chains).when(F.instr(F.trim(words), " ") > 0, pairs).otherwise(F.array(F.xxhash64(F.trim(words))))
-    return out.withColumn(name, F.array_sort(F.array_distinct(sigs))).drop(words, found)
+    run = rf"(?<![^ ])((?:{anchor} )++)([^ ]++) (?:(?!{anchor} )([^ ]++) )?+"
+    out = df.withColumn(words, F.concat(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" . ")))
+    for column, group in ((runs, 1), (first, 2), (second, 3)):
+        out = out.withColumn(column, F.regexp_extract_all(F.col(words), F.lit(run), F.lit(group)))
+    hashed = lambda *parts: F.shiftrightunsigned(F.xxhash64(*parts), 16)
+
+    def chains(anchors: Column, i: Column) -> Column:
+        one, two = F.get(F.col(first), i), F.get(F.col(second), i)
+        two = F.when(two == "", F.get(F.col(first), i + 1)).otherwise(two)
+        each = F.transform(F.array_distinct(F.split(F.rtrim(anchors), " ")), lambda a: hashed(a, one, two))
+        return F.when((one != ".") & (two != "."), each).otherwise(F.array().cast("array<bigint>"))
+
+    apart, found = fresh(df, "apart_"), fresh(df, "found_")
+    out = out.withColumn(found, F.flatten(F.transform(runs, chains))).withColumn(apart, F.when(F.size(found) == 0, F.split(F.expr(f"left({words}, length({words}) - 3)"), " ")))
+    pairs = F.transform(F.slice(apart, 1, F.size(apart) - 1), lambda w, i: hashed(w, F.get(F.col(apart), i + 1)))
+    sigs = F.when(F.size(found) > 0, F.col(found)).when(F.size(apart) > 1, pairs).otherwise(F.array(hashed(F.get(apart, F.lit(0)))))
+    return out.withColumn(name, F.array_sort(F.array_distinct(sigs))).drop(words, runs, first, second, apart, found)
 
 
 def fingerprint(sigs: Column) -> Column:
-    """The set as a string: its size and a 128-bit digest of its members; equal sets alone have equal strings."""
-    return F.concat(F.size(sigs).cast("string"), F.lit(":"), F.md5(F.array_join(F.transform(sigs, lambda s: F.hex(s)), "").cast("binary")))
+    """The set itself as a string: its members ascending, 12 hexadecimal digits each. Equal sets alone have equal strings, and any two can be compared later."""
+    return F.array_join(F.transform(sigs, lambda s: F.lpad(F.lower(F.hex(s)), 12, "0")), "")
+
+
+def members(print_: Column) -> Column:
+    """The set that a fingerprint holds."""
+    digits = F.regexp_extract_all(print_, F.lit("[0-9a-f]{12}"), F.lit(0))
+    return F.transform(digits, lambda d: F.conv(d, 16, 10).cast("long"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -108,23 +129,28 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     return near.unionByName(copies)
 
 
+def _cell(bounds: list[int], number: Column, per: int = 256) -> Column:
+    """How many of these ascending bounds lie below a number: first among every `per`-th of them, then among those between two such."""
+    coarse, fine = bounds[per - 1 :: per], [bounds[k : k + per] for k in range(0, len(bounds), per)] or [[]]
+    below = lambda known: F.size(F.filter(known, lambda b: b < number))
+    group = below(F.lit(coarse).cast("array<bigint>"))
+    return F.coalesce(group * per + below(F.get(F.lit([*fine, []]).cast("array<array<bigint>>"), group)), F.lit(0))
+
+
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """doc_id, text, sigs, next_text, next_sigs: each document beside the next by doc_id, the last beside the first.
 
-    Quantiles of doc_id cut the table into ranges, each a window of its own; the last row of a range
-    finds the first of the following range in a table of one row a range.
+    Quantiles of doc_id cut the table into ranges, each a window of its own and all dealt out by range;
+    the last row of a range finds the first of the following range in a table of one row a range.
     """
     known = id_and_text(docs)
-    bounds = sorted(set(known.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.25 / parts)))
-    cell = F.lit(0)
-    for start in range(0, len(bounds), 64):  # a sum of short comparisons stays within compiled code
-        cell = cell + F.size(F.filter(F.lit([int(b) for b in bounds[start : start + 64]]), lambda b: b < F.col("doc_id")))
-    ranged = known.withColumn("cell", F.coalesce(cell, F.lit(0))).repartition(parts, "cell")
-    signed = with_signatures(ranged, "text", "sigs")
+    bounds = sorted({int(b) for b in known.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.25 / parts)})
+    placed = known.withColumn("cell", _cell(bounds, F.col("doc_id")))
+    signed = with_signatures(placed.repartitionByRange(parts, "cell"), "text", "sigs")
     order = Window.partitionBy("cell").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     follower = signed.withColumn("next", F.lead(F.struct("text", "sigs")).over(order))
     # the first row of each range, at the range before it
-    heads = known.withColumn("cell", F.coalesce(cell, F.lit(0))).groupBy("cell").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("k"), F.col("text"))).alias("head"))
+    heads = placed.groupBy("cell").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("k"), F.col("text"))).alias("head"))
     heads = heads.select(F.lag("cell").over(Window.orderBy("cell")).alias("before"), F.max("cell").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("last"), "head")
     heads = with_signatures(heads.select(F.coalesce("before", "last").alias("cell"), F.col("head.text").alias("head_text")), "head_text", "head_sigs")
     joined = follower.join(heads, "cell", "left")

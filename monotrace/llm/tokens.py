@@ -2,7 +2,8 @@
 
 BPE merges never cross a border that the file's own pre-tokenizer draws, so the ids of a text are
 those of its words, one after the other. Each Python worker keeps the ids of words it has met and
-asks the library only for new ones; texts that do not split safely go to the library whole.
+asks the library only for new ones; texts that do not split safely, or that hold one of the file's added
+tokens (<|endoftext|> and the like, which the library reads as that token), go to the library whole.
 """
 
 from __future__ import annotations
@@ -37,7 +38,10 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        #: Texts that hold an added token as it is written go to the library whole; of one that is matched after normalizing, in any case of letters.
+        added = self.whole.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added if not t.normalized]
+        self.added_in_any_case = [t.content.lower() for t in added if t.normalized]
         kind = type(self.whole.pre_tokenizer).__name__
         #: "byte": a word's ids hold the space before it; "word": white space leaves no ids; "text": no known word border.
         self.kind = {"ByteLevel": "byte", "Sequence": "word"}.get(kind, "text")
@@ -91,6 +95,8 @@ class WordIds(dict):
     def encode(self, text: str) -> bytes:
         """The ids of a text, as little-endian uint32 bytes."""
         get = self.__getitem__
+        if any(t in text for t in self.added) or self.added_in_any_case and any(t in text.lower() for t in self.added_in_any_case):
+            return self.ids(text)
         if self.kind == "word":
             return b"".join(map(get, text.replace("\n", " ").split(" ")))
         if self.kind == "text" or not text:

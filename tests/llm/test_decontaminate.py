@@ -85,10 +85,7 @@ def test_index_against_every_pair(spark, monkeypatch, bytes_of_index):
     expected = plain_matches(docs, items)
     got = as_dict(dc.matches(table, tests))
     assert len(got) > 20
-    if bytes_of_index > 1000:
-        same(got, expected)
-    else:  # windows follow the longest item of an index, so other passages score lower at most
-        assert {k for k, v in expected.items() if v[0] > 0.999} <= set(got)
+    same(got, expected)
     clean = dc.clean_documents(table, tests)
     assert clean.columns == table.columns
     assert {r["doc_id"] for r in clean.collect()} == {i for i, _ in docs} - {i for i, _ in got}
@@ -101,3 +98,11 @@ def test_odd_and_empty_tables(spark, odd, odd_rows, empty):
     assert dc.matches(empty, tests).count() == 0
     assert dc.matches(odd, tests.limit(0)).count() == 0
     assert dc.clean_documents(odd, tests.limit(0)).count() == odd.count()
+
+
+def test_rows_without_doc_id_go_by_their_text(spark):
+    items = spark.createDataFrame([(1, "which river is the longest of all these. it is the amber one.")], "item_id long, text string")
+    held = "a start Which river is the longest of all these? It is the amber one, they say"
+    docs = spark.createDataFrame([(None, held, 1), (None, "clean words only here", 2), (0, "clean as well", 3), (4, held, 4), (None, None, 5)], "doc_id long, text string, n int")
+    assert sorted(r["n"] for r in dc.clean_documents(docs, items).collect()) == [2, 3, 5]
+    assert sorted((r["doc_id"] or -1) for r in dc.matches(docs, items).collect()) == [-1, 4]

@@ -32,7 +32,7 @@ def test_run_against_plain_stages(spark):
     assert len(kept) < len(rows)
     kept = plain_lines(kept)
     fps, wides = ({i: f(t, 5) for i, t in kept} for f in (plain_fingerprint, plain_wide))
-    groups = plain_groups(fps, simhash.NEAR_BITS, wides, simhash.NEAR_WIDE_BITS)
+    groups = plain_groups({i: fps[i] | wides[i] << 64 for i in fps}, simhash.NEAR_WIDE_BITS)
     assert len(set(groups.values())) < len(kept)
     kept = [(i, t) for i, t in kept if groups[i] == i]
     leaks = {d for d, _ in plain_matches(kept, items)}

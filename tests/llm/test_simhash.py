@@ -29,7 +29,8 @@ def plain_wide(text: str, shingle: int) -> int:
     return out
 
 
-def plain_groups(fps: dict[int, int], most: int, wides: dict[int, int] | None = None, most_wide: int = 0) -> dict[int, int]:
+def plain_groups(fps: dict[int, int], most: int) -> dict[int, int]:
+    """Components of all pairs within `most` bits, whatever the length of the fingerprints."""
     ids = sorted(fps)
     root = {i: i for i in ids}
 
@@ -40,8 +41,7 @@ def plain_groups(fps: dict[int, int], most: int, wides: dict[int, int] | None =
 
     for k, i in enumerate(ids):
         for j in ids[k + 1 :]:
-            n = (fps[i] ^ fps[j]).bit_count()
-            if n <= most and (n == 0 or wides is None or n + (wides[i] ^ wides[j]).bit_count() <= most_wide):
+            if (fps[i] ^ fps[j]).bit_count() <= most:
                 a, b = sorted((top(i), top(j)))
                 root[b] = a
     return {i: top(i) for i in ids}
@@ -59,7 +59,7 @@ def test_query_against_every_pair(spark, small):
 def test_odd_texts(odd, odd_rows, empty):
     fps = {i: plain_fingerprint(t or "", 5) for i, t in odd_rows}
     wides = {i: plain_wide(t or "", 5) for i, t in odd_rows}
-    groups = plain_groups(fps, simhash.NEAR_BITS, wides, simhash.NEAR_WIDE_BITS)
+    groups = plain_groups({i: fps[i] | wides[i] << 64 for i in fps}, simhash.NEAR_WIDE_BITS)
     got = {r["doc_id"]: (r["fp"] % 2**64, r["component_id"]) for r in simhash.near_groups(odd).collect()}
     assert got == {i: (fps[i], c) for i, c in groups.items()}
     assert simhash.near_groups(empty).count() == 0
@@ -138,6 +138,18 @@ def test_wide_fingerprints_link_as_every_pair_does(spark, monkeypatch):
     assert {i: roots.get(i, i) for i in range(len(rows))} == expected
 
 
+def test_links_within_one_dense_block(spark, monkeypatch):
+    """Many texts around one centre, compared a few at a time: a few links connect them all."""
+    monkeypatch.setattr(simhash, "ROOM", 50)
+    seeded = random.Random(8)
+    fps = sorted({seeded.getrandbits(64) & 0xFF0F0000000F00FF for _ in range(700)})
+    table = spark.createDataFrame([(int(np.uint64(fp).view(np.int64)), i) for i, fp in enumerate(fps)], "fp long, id long").repartition(3)
+    links = [(r["a"], r["b"]) for r in simhash.near_links(table, 6).collect()]
+    assert all((fps[a] ^ fps[b]).bit_count() <= 6 for a, b in links) and len(links) < 5 * len(fps)
+    roots = {r["vertex"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert {i: roots.get(i, i) for i in range(len(fps))} == plain_groups(dict(enumerate(fps)), 6)
+
+
 def test_equal_first_words_alone_do_not_link(spark):
     table = [(5, bytes(24), 1), (5, b"\xff" * 24, 2)]
     assert simhash.near_links(spark.createDataFrame(table, "fp long, wide binary, id long"), simhash.NEAR_BITS, simhash.NEAR_WIDE_BITS).count() == 0

@@ -11,9 +11,7 @@ from monotrace.llm.queries import tokenizer_path
 def whole_tokenizer(name: str):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path(name))
 
 
 def whole_ids(name: str, text: str, end: int) -> np.ndarray:
@@ -77,6 +75,25 @@ def test_cuts_have_the_least_cost(seed):
     assert sum(price(b - a, at[b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)) == pytest.approx(cost[-1])
 
 
+def test_lengths_without_padding():
+    """Every power of two is known: documents of such lengths need no more than a sequence each."""
+    ends = np.cumsum([256, 1024, 64, 512, 1])
+    places = np.unique(np.concatenate(([0], ends, np.arange(0, ends[-1], 32))))
+    penalties = np.where(np.isin(places, ends), 0.0, 3.0)
+    exact = tuple(1 << k for k in range(10))
+    assert packing.plan_cuts(places, penalties, 1024, exact) == [0, *ends.tolist()]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_in_texts(name):
+    from monotrace.llm.tokens import word_ids
+
+    for text in ("one <|endoftext|> two", "<|startoftext|>x", "a<|ENDOFTEXT|>b <|endoftext|", "two  spaces <|endoftext|>\n\n<|endoftext|>end"):
+        ids = whole_tokenizer(name).encode(text, add_special_tokens=False).ids
+        assert word_ids(tokenizer_path(name)).encode(text) == np.array(ids, "<u4").tobytes()
+    assert 50256 in whole_tokenizer("byte_bpe_50k.json").encode("one <|endoftext|> two", add_special_tokens=False).ids
+
+
 def test_files_round_trip(spark, odd, odd_rows, empty, tmp_path):
     pfor.write_ids(odd, tokenizer_path("word_bpe_49k.json"), str(tmp_path / "ids"), segment=3000)
     got = pfor.digest(pfor.read_ids(spark, str(tmp_path / "ids"))).collect()
