@@ -226,7 +226,7 @@ def test_rows_that_share_a_doc_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = line_windows.remove_repeated_lines(docs).collect()
     assert len(got) == len(rows)
-    assert sorted(r["text"] for r in got if r["doc_id"] == 1) in ([lines, lines, "before"], ["", "", "before\n" + lines])
+    assert sorted(r["text"] for r in got if r["doc_id"] == 1) in (sorted(x) for x in ([lines, lines, "before"], ["", "", "before\n" + lines]))
     assert [r["text"] for r in got if r["doc_id"] is None] == [lines]
     same = line_windows.without_repeated_lines(docs)
     assert sorted(map(str, (r["text"] for r in same.collect()))) == sorted(r["text"] for r in got)
