@@ -7,9 +7,10 @@ The trie of all fingerprints is met with itself from the root: a pair of nodes c
 their paths differ and is dropped once that exceeds its budget. Of `most` differing bits on a ring of
 four equal arcs, there is always an arc from which on no stretch of j arcs holds more than j * most / 4
 of them; so four tries, one from each arc, need only that rising budget, which drops nearly all
-pairs early. Nodes of the upper levels are rows: blocks of sorted fingerprints with a common prefix, whose
-numbers are joined with those of every prefix within the budget. Each such pair fetches its two blocks,
-and a task walks the two subtrees.
+pairs early. Nodes of the upper levels are rows: blocks of sorted fingerprints with a common prefix, joined
+with the blocks of every prefix within the budget. Below, a task walks the two subtrees. Prefixes are no
+longer than an arc, so with a radius of 11 a block is sent to 68 others at most (at n bits of prefix, to half
+of the prefixes that differ in two bits), whatever the number of documents.
 
 A wider radius finds texts with a few changed words, but chance pairs too. There, each fingerprint carries
 three more words of 64 bits from other hashes of the same shingles, and a pair is linked if few enough of
@@ -35,10 +36,10 @@ from .components import components
 ARCS = 4
 #: Fingerprints of a block at most, and what the number of prefix bits aims at.
 BLOCK, AIM = 2048, 1024
-#: The same for four words, whose fingerprints are longer and sent to more prefixes: fewer of these, so that each is sent less often.
-BLOCK_WIDE, AIM_WIDE = 8192, 32_768
-#: Pairs of fingerprints that a task compares at once.
-ROOM = 1 << 21
+#: The same for four words, whose fingerprints are longer and sent to more prefixes: larger and fewer blocks, so that each is sent less often.
+BLOCK_WIDE, AIM_WIDE = 32_768, 32_768
+#: Pairs of fingerprints, and pairs of nodes, that a task has in hand at once.
+ROOM, NODES = 1 << 18, 1 << 15
 #: Further words of a wide fingerprint: odd factors that make other hashes of a shingle's hash.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Bits of a near copy of similarity 0.8: cos = 0.89 makes 15 % of the bits differ, 10 of 64 and 39 of 256 on average. 46 < 4 * (11 + 1).
@@ -115,13 +116,17 @@ def masks(bits: int, most: int) -> list[int]:
 
 
 def meet(a: np.ndarray, b: np.ndarray, depth: int, most: int, room: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places in the sorted arrays a and b whose fingerprints differ in at most `most` bits, found by walking both subtries below `depth`; about `room` comparisons at a time."""
-    room = room or ROOM
-    zero = np.zeros(1, np.int64)
-    al, ah, bl, bh = zero, zero + len(a), zero, zero + len(b)
-    one = np.uint64(1)
+    """Places in the sorted arrays a and b whose fingerprints differ in at most `most` bits, found by walking both subtries below `depth`.
+
+    About `room` comparisons are made at a time, and of the pairs of nodes NODES at most go down together, so
+    memory is bounded however many meet. An array that meets itself gives each pair of places once.
+    """
+    room, itself = room or ROOM, a is b
+    zero, one = np.zeros(1, np.int64), np.uint64(1)
     errors = np.bitwise_count((a[:1] ^ b[:1]) >> np.uint64(64 - depth)).astype(np.int64) if depth else zero
-    while len(al):
+    waiting = [(depth, zero, zero + len(a), zero, zero + len(b), errors)] if len(a) and len(b) else []
+    while waiting:
+        depth, al, ah, bl, bh, errors = waiting.pop()
         size = (ah - al) * (bh - bl)
         ready = size <= 32 if depth < 64 else np.ones(len(al), bool)
         if ready.any():
@@ -138,7 +143,7 @@ def meet(a: np.ndarray, b: np.ndarray, depth: int, most: int, room: int = 0) ->
                 start = stop
             al, ah, bl, bh, errors = (x[~ready] for x in (al, ah, bl, bh, errors))
         if depth == 64 or not len(al):
-            break
+            continue
         shift, bit = np.uint64(63 - depth), one << np.uint64(63 - depth)
         am = np.clip(np.searchsorted(a, (a[al] >> shift | one) << shift), al, ah) if depth < 63 else np.clip(np.searchsorted(a, a[al] | bit), al, ah)
         bm = np.clip(np.searchsorted(b, (b[bl] >> shift | one) << shift), bl, bh) if depth < 63 else np.clip(np.searchsorted(b, b[bl] | bit), bl, bh)
@@ -147,7 +152,10 @@ def meet(a: np.ndarray, b: np.ndarray, depth: int, most: int, room: int = 0) ->
         bl, bh = np.concatenate((bl, bm, bl, bm)), np.concatenate((bm, bh, bm, bh))
         errors = np.concatenate((errors, errors + 1, errors + 1, errors))
         on = (al < ah) & (bl < bh) & (errors <= budget(depth, most))
-        al, ah, bl, bh, errors = (x[on] for x in (al, ah, bl, bh, errors))
+        if itself:
+            on &= al <= bl
+        nodes = [x[on] for x in (al, ah, bl, bh, errors)]
+        waiting += [(depth, *(x[k : k + NODES] for x in nodes)) for k in range(0, len(nodes[0]), NODES)]
 
 
 class Forest:
@@ -252,23 +260,23 @@ def near_links(fps: DataFrame, most: int = 4, most_wide: int | None = None) -> D
     bits = min(64 // ARCS, max(0, math.ceil(math.log2(max(n, 1) / aim))))
     found = cut_lineage(blocks(fps if most_wide is None else by_word(fps), bits, size))
     near = F.explode(F.lit(masks(bits, most)).cast("array<bigint>"))
-    # pairs of blocks are found by their numbers alone; what they hold is fetched once for each pair
-    nodes = found.select("arc", "prefix", "block")
-    other = nodes.select("arc", F.col("prefix").alias("own"), F.col("block").alias("block_b"), near.alias("mask")).withColumn("prefix", F.col("own").bitwiseXOR(F.col("mask"))).where("prefix <= own")
-    pairs = nodes.join(other, ["arc", "prefix"]).where("prefix < own OR block <= block_b").select("block", "block_b")
-    held = lambda end: found.select(*(F.col(c).alias(c + end) for c in ("block", "fps", "ids", "wides")))
-    met = pairs.join(held(""), "block").join(held("_b"), "block_b").select("fps", "ids", "wides", "fps_b", "ids_b", "wides_b")
+    right = found.select("arc", F.col("prefix").alias("own"), *(F.col(c).alias(f"{c}_b") for c in ("block", "fps", "ids", "wides")), near.alias("mask"))
+    right = right.withColumn("prefix", F.col("own").bitwiseXOR(F.col("mask"))).where("prefix <= own").drop("mask")
+    met = found.join(right, ["arc", "prefix"]).where("prefix < own OR block <= block_b").select("fps", "ids", "wides", "fps_b", "ids_b", "wides_b", (F.col("block") == F.col("block_b")).alias("itself"))
 
     def run(batches):
         for batch in batches:
             out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for x, i, v, y, j, w in zip(*(batch.column(c).to_pylist() for c in ("fps", "ids", "wides", "fps_b", "ids_b", "wides_b")), strict=True):
+            for k in range(len(batch)):
+                x, i, v, y, j, w, itself = (batch.column(c)[k].as_py() for c in ("fps", "ids", "wides", "fps_b", "ids_b", "wides_b", "itself"))
                 x, y, i, j = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), np.frombuffer(i, np.int64), np.frombuffer(j, np.int64)
                 v, w = np.frombuffer(v, np.uint64).reshape(len(x), -1), np.frombuffer(w, np.uint64).reshape(len(y), -1)
                 # a row that stands on both sides, as in a block that meets itself, is one vertex
                 vertex = np.unique(np.concatenate((i, j)), return_inverse=True)[1]
                 forest = Forest(int(vertex.max()) + 1)
-                for at, bt in meet(x, y, bits, most):
+                for at, bt in meet(x, x if itself else y, bits, most):
+                    apart = forest.root[vertex[at]] != forest.root[vertex[len(i) + bt]]
+                    at, bt = at[apart], bt[apart]
                     if most_wide is not None:
                         differ = np.bitwise_count(x[at] ^ y[bt]).astype(np.int64) + np.bitwise_count(v[at] ^ w[bt]).sum(axis=1, dtype=np.int64)
                         at, bt = at[differ <= most_wide], bt[differ <= most_wide]
