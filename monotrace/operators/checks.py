@@ -8,26 +8,32 @@ swap. X and Y are order compatible if there is no swap.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import checked_columns, keyed, sort_key, supported_columns
 from .neighbours import neighbour_counts
+from .ranks import refuted
 
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """column, n_rows, n_distinct (null counts as a value; full precision), is_constant; one aggregate over the table.
+    """column, n_rows, n_distinct (null counts as a value; full precision), is_constant.
 
-    A column is constant if it has exactly one value, null or not, or the null type. A table without rows has no
-    constant columns but those of the null type.
+    Each column is read and counted by itself, so that rows stay as narrow as a value. A column is constant if
+    it has exactly one value, null or not, or the null type. A table without rows has no constant columns
+    but those of the null type.
     """
     names = supported_columns(df) if columns is None else checked_columns(df, columns)
-    counts = [(F.count_distinct(f"`{n}`") + F.coalesce(F.max(F.col(f"`{n}`").isNull().cast("long")), F.lit(0))).alias(f"d{i}") for i, n in enumerate(names)]
-    one = df.agg(F.count("*").alias("n"), *counts)
-    rows = F.array(*(F.struct(F.lit(n).alias("column"), F.col("n").alias("n_rows"), F.col(f"d{i}").alias("n_distinct"), (F.lit(df.schema[n].dataType.typeName() == "void") | (F.col(f"d{i}") == 1)).alias("is_constant")) for i, n in enumerate(names)))
-    return one.select(F.inline(rows))
+
+    def one(name: str) -> DataFrame:
+        void = df.schema[name].dataType.typeName() == "void"
+        value = F.col(f"`{name}`").cast("string") if void else F.col(f"`{name}`")
+        counts = df.groupBy(value.alias("value")).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_distinct"))
+        return counts.select(F.lit(name).alias("column"), "n_rows", "n_distinct", (F.lit(void) | (F.col("n_distinct") == 1)).alias("is_constant"))
+
+    return reduce(DataFrame.unionByName, map(one, names))
 
 
 def constant_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -73,8 +79,9 @@ def _holds(df: DataFrame, x: list[str], y: list[str], splits_matter: bool) -> bo
 
 
 def check_od(df: DataFrame, x: Sequence[str], y: Sequence[str]) -> bool:
-    """Whether X orders Y; true for tables of no or one row. Any size: rows with equal X meet partly aggregated, and ranges of X are tasks."""
-    return _holds(df, checked_columns(df, x), checked_columns(df, y), splits_matter=True)
+    """Whether X orders Y; true for tables of no or one row. A few rows may refute it; else, for any size: rows with equal X meet partly aggregated, and ranges of X are tasks."""
+    x, y = checked_columns(df, x), checked_columns(df, y)
+    return not refuted(df, x, y, splits_matter=True) and _holds(df, x, y, splits_matter=True)
 
 
 def check_ocd(df: DataFrame, x: Sequence[str], y: Sequence[str]) -> bool:
@@ -82,7 +89,7 @@ def check_ocd(df: DataFrame, x: Sequence[str], y: Sequence[str]) -> bool:
     x, y = checked_columns(df, x), checked_columns(df, y)
     both = list(dict.fromkeys([*x, *y]))
     # equal XY means equal YX, so there are no splits
-    return _holds(df, both, list(dict.fromkeys([*y, *x])), splits_matter=False)
+    return not refuted(df, x, y, splits_matter=False) and _holds(df, both, list(dict.fromkeys([*y, *x])), splits_matter=False)
 
 
 def check_equivalent(df: DataFrame, a: str, b: str) -> bool:
@@ -96,19 +103,15 @@ def check_equivalent(df: DataFrame, a: str, b: str) -> bool:
 
 
 def pair_verdicts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """a, b, ocd, od_ab, od_ba, equivalent for all pairs of columns, a before b, as one query: nothing is collected.
+    """a, b, ocd, od_ab, od_ba, equivalent for all pairs of columns, a before b. All of them hold in a table without rows."""
+    from ..plans.verdicts import Checker
+    from .candidates import first_candidates, named
 
-    All of them hold in a table without rows.
-    """
-    pairs = list(combinations(checked_columns(df, columns), 2))
-    if not pairs:
+    names = checked_columns(df, columns)
+    if len(names) < 2:
         return df.sparkSession.createDataFrame([], "a string, b string, ocd boolean, od_ab boolean, od_ba boolean, equivalent boolean")
-    counts = neighbour_counts(df, [([a], [b]) for a, b in pairs])
-    names = df.sparkSession.createDataFrame([(n, a, b) for n, (a, b) in enumerate(pairs)], "n int, a string, b string")
-    # the names are the small side, a row a pair of columns
-    none = {c: F.coalesce(c, F.lit(0)) == 0 for c in ("splits", "swaps", "back_splits")}
-    ab, ba = none["swaps"] & none["splits"], none["swaps"] & none["back_splits"]
-    return names.join(counts, "n", "left").select("a", "b", none["swaps"].alias("ocd"), ab.alias("od_ab"), ba.alias("od_ba"), (ab & ba).alias("equivalent"))
+    told = named(Checker(df, names).verdicts(first_candidates(df.sparkSession, range(len(names)))), names)
+    return told.select(F.get("lhs", F.lit(0)).alias("a"), F.get("rhs", F.lit(0)).alias("b"), "ocd", F.col("od_xy").alias("od_ab"), F.col("od_yx").alias("od_ba"), (F.col("od_xy") & F.col("od_yx")).alias("equivalent"))
 
 
 def order_compatible_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -8,16 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import checked_columns, sort_key
-
-
-def _by(df: DataFrame, columns: Sequence[str], index: str):
-    return [*(sort_key(df, c).asc_nulls_first() for c in columns), F.col(index).asc()]
+from ..storage import stored
 
 
 def sorted_with_indices(df: DataFrame, column: str, index: str) -> DataFrame:
-    """The column's values in ascending order, nulls first, each with its row's index; ties in order of the index."""
+    """position (from 0), value, index: the column in ascending order, nulls first, each value with its row's index; ties in order of the index."""
     checked_columns(df, [column])
-    return df.orderBy(*_by(df, [column], index)).select(F.col(f"`{column}`"), index)
+    return ordered_indices(df, [column], index).join(df.select(F.col(f"`{index}`").alias("index"), F.col(f"`{column}`").alias("value")), "index").select("position", "value", "index")
 
 
 def sorted_column(df: DataFrame, column: str) -> DataFrame:
@@ -26,18 +23,23 @@ def sorted_column(df: DataFrame, column: str) -> DataFrame:
     return df.select(f"`{column}`").orderBy(F.col(f"`{column}`").asc_nulls_first())
 
 
+def ordered_by_all(df: DataFrame, index: str) -> DataFrame:
+    """ordered_indices by all columns but the index, from left to right."""
+    return ordered_indices(df, [c for c in df.columns if c != index], index)
+
+
 def ordered_indices(df: DataFrame, columns: Sequence[str], index: str) -> DataFrame:
     """position (from 0), index: the rows in lexicographic order of the columns; no columns give no rows.
 
     Positions are counted range by range: a global sort makes the ranges, each numbers its rows, and one row a
-    range tells how many came before.
+    range tells how many came before. The ranges are stored, so that both counts see the same ones.
     """
     names = checked_columns(df, columns, allow_empty=True)
     rows = df.select(*(sort_key(df, c).alias(f"o{i}") for i, c in enumerate(names)), F.col(index).alias("index"))
     if not names:
         return rows.where(F.lit(False)).select(F.lit(0).cast("long").alias("position"), "index")
     order = [*(F.col(f"o{i}").asc_nulls_first() for i in range(len(names))), F.col("index").asc()]
-    ranged = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    ranged = stored(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
     numbered = ranged.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))

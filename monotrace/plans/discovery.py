@@ -7,7 +7,6 @@ the other is reported and not made longer; a side that does not gets every unuse
 
 from __future__ import annotations
 
-import tempfile
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -18,19 +17,12 @@ from pyspark.sql import functions as F
 from ..functions.keys import checked_columns, supported_columns
 from ..operators.candidates import SCHEMA, expanded, first_candidates, named
 from ..operators.checks import constant_columns
+from ..storage import cut_lineage
 from .verdicts import MOST_RANKS, VERDICT_SCHEMA, Checker
 
 RESULT_SCHEMA = "kind string, lhs array<string>, rhs array<string>"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The same rows, stored in the folder that spark.checkpoint.dir names (one of our own only where none is set)."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    return df.checkpoint(eager=True)
-
-
 @dataclass
 class Discovery:
     """What was found; `results` has a row (kind OD or OCD, lhs, rhs) a dependency."""
@@ -102,17 +94,22 @@ def search(df: DataFrame, columns: Sequence[str], comparability: bool = True, ma
     return named(forward.unionByName(backward).unionByName(alike), names).select("kind", "lhs", "rhs")
 
 
-def discover(df: DataFrame, columns: Sequence[str] | None = None, comparability: bool = True, max_level: int | None = None, most_ranks: int = MOST_RANKS) -> Discovery:
-    """All of it: constants, equivalence classes, reduced columns and the dependencies among these. Columns that have no order are left out."""
-    began = time.time()
+def reduction(df: DataFrame, columns: Sequence[str] | None = None, most_ranks: int = MOST_RANKS) -> tuple[list[str], dict[str, list[str]]]:
+    """Constant columns, and the others by classes of equivalent ones: the class's first column -> all members."""
     names = supported_columns(df) if columns is None else checked_columns(df, columns)
     gone = {r["column"] for r in constant_columns(df, names).collect()} if names else set()
     varied = [n for n in names if n not in gone]
     pairs = Checker(df, varied, most_ranks).equivalent_pairs() if len(varied) > 1 else []
-    classes = {varied[r]: [varied[i] for i in m] for r, m in equivalence_classes(len(varied), pairs).items()}
+    return [n for n in names if n in gone], {varied[r]: [varied[i] for i in m] for r, m in equivalence_classes(len(varied), pairs).items()}
+
+
+def discover(df: DataFrame, columns: Sequence[str] | None = None, comparability: bool = True, max_level: int | None = None, most_ranks: int = MOST_RANKS) -> Discovery:
+    """All of it: constants, equivalence classes, reduced columns and the dependencies among these. Columns that have no order are left out."""
+    began = time.time()
+    constants, classes = reduction(df, columns, most_ranks)
     reduced, pruned, levels = list(classes), time.time(), []
     results = search(df, reduced, comparability, max_level, most_ranks, levels)
-    return Discovery([n for n in names if n in gone], classes, reduced, results, levels, {"START": began, "PRUNING_START": began, "PRUNING_END": pruned, "END": time.time()})
+    return Discovery(constants, classes, reduced, results, levels, {"START": began, "PRUNING_START": began, "PRUNING_END": pruned, "RECEIVED_REDUCED_COLUMNS": pruned, "END": time.time()})
 
 
-__all__ = ["SCHEMA", "Discovery", "cut_lineage", "discover", "equivalence_classes", "search"]
+__all__ = ["SCHEMA", "Discovery", "discover", "equivalence_classes", "reduction", "search"]

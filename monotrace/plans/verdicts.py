@@ -1,76 +1,34 @@
 """Verdicts on candidates: many checks over one table, as a table of candidates.
 
-Small tables are encoded once, each column as dense ranks, and given to every task; the candidates are the
-rows that Spark deals out. The encoded size is known before anything is collected. Larger tables are
-refuted on a bounded sample first, whose violations are violations of the whole; what the sample does
-not refute is checked on the whole table by ranges, many candidates in one pass.
+A bounded sample refutes most candidates: its violations are violations of the whole. What it leaves is
+checked over all rows. Where these are few enough, in rows and in bytes measured before anything is
+collected, they are encoded once, each column as dense ranks, and given to every task; the candidates
+are the rows that Spark deals out. Larger tables are checked by ranges, many candidates in one pass,
+and each pass adds its verdicts to a table in the shared folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import islice
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import sort_key
+from ..operators.candidates import first_candidates
 from ..operators.neighbours import neighbour_counts
+from ..operators.ranks import SAMPLE_ROWS, Ranked, encode, row_bytes, sampled
+from ..storage import cut_lineage, new_path
 
-#: Ranks (rows x columns, 4 bytes each) that are given to every task at most.
-MOST_RANKS = 16_000_000
+#: Ranks (rows x columns, 4 bytes each) that are given to every task at most, and bytes of values that are collected to make them.
+MOST_RANKS, MOST_BYTES = 16_000_000, 128 << 20
 #: Candidates that one pass over a larger table checks.
 BATCH = 32
 VERDICT_SCHEMA = "x array<int>, y array<int>, ocd boolean, od_xy boolean, od_yx boolean"
 
 
-def dense_ranks(values) -> np.ndarray:
-    """Ranks of an Arrow column from 0 in Spark's order: null, numbers or texts, NaN; equal values share one."""
-    nulls = values.is_null().to_numpy(zero_copy_only=False) if hasattr(values, "combine_chunks") else np.asarray(values.is_null())
-    out = np.zeros(len(nulls), np.int32)
-    known = values.drop_null()
-    if len(known):
-        array = known.to_numpy(zero_copy_only=False) if not str(known.type).startswith("string") else np.array([s.encode() for s in known.to_pylist()], object)
-        _, codes = np.unique(array, return_inverse=True)
-        out[~nulls] = codes + bool(nulls.any())
-    return out
-
-
-def encode(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """Ranks of the columns, one row a column; the caller has checked the size."""
-    table = df.select(*(sort_key(df, c).alias(f"k{i}") for i, c in enumerate(columns))).toArrow()
-    return np.array([dense_ranks(table.column(i).combine_chunks()) for i in range(len(columns))], np.int32).reshape(len(columns), -1)
-
-
-class Ranked:
-    """Verdicts from ranks. Ranks of column lists are kept while a batch is worked on."""
-
-    def __init__(self, ranks: np.ndarray):
-        self.ranks, self.lists = ranks, {}
-
-    def of(self, columns: tuple[int, ...]) -> tuple[np.ndarray, int]:
-        """Dense ranks of the rows by a list of columns, and how many there are."""
-        if columns not in self.lists:
-            if len(self.lists) > 64:
-                self.lists.clear()
-            last = self.ranks[columns[-1]].astype(np.int64)
-            key = last if len(columns) == 1 else self.of(columns[:-1])[0] * (int(last.max(initial=0)) + 1) + last
-            values, codes = np.unique(key, return_inverse=True)
-            self.lists[columns] = codes.astype(np.int64), len(values)
-        return self.lists[columns]
-
-    def verdict(self, x: tuple[int, ...], y: tuple[int, ...]) -> tuple[bool, bool, bool]:
-        """Order compatible, x orders y, y orders x: no swap among the distinct pairs; and as many pairs as values of the side that orders."""
-        (a, na), (b, nb) = self.of(x), self.of(y)
-        pairs = np.unique(a * max(nb, 1) + b)
-        right = pairs % max(nb, 1)
-        if (right[1:] < right[:-1]).any():
-            return False, False, False
-        return True, len(pairs) == na, len(pairs) == nb
-
-
 def with_verdicts(candidates: DataFrame, shared) -> DataFrame:
     """The candidates with ocd, od_xy, od_yx, by ranks that a broadcast variable holds."""
 
@@ -88,31 +46,37 @@ class Checker:
 
     def __init__(self, df: DataFrame, columns: list[str], most_ranks: int = MOST_RANKS):
         self.df, self.columns, self.spark = df, columns, df.sparkSession
-        self.rows = df.count()
-        self.whole = self.rows * max(1, len(columns)) <= most_ranks
-        part = df
-        if not self.whole:
-            share = most_ranks / max(1, len(columns)) / self.rows
-            # half the room, so that chance cannot make the sample larger than it; limit makes that certain
-            part = df.sample(fraction=min(1.0, share / 2), seed=7).limit(most_ranks // max(1, len(columns)))
-        self.shared = self.spark.sparkContext.broadcast(encode(part, columns))
+        self.rows, size = df.agg(F.count("*"), F.coalesce(F.sum(row_bytes(df, columns)), F.lit(0))).first()
+        self.whole = self.rows * max(1, len(columns)) <= most_ranks and size <= MOST_BYTES
+        self.small = self.whole and self.rows <= SAMPLE_ROWS
+        self.head = self.spark.sparkContext.broadcast(encode(df if self.small else sampled(df, columns, self.rows), columns))
+
+    @cached_property
+    def every(self):
+        return self.spark.sparkContext.broadcast(encode(self.df, self.columns))
 
     def verdicts(self, candidates: DataFrame) -> DataFrame:
         tasks = self.spark.sparkContext.defaultParallelism
-        first = with_verdicts(candidates.repartition(tasks), self.shared)
-        if self.whole:
+        first = with_verdicts(candidates.repartition(tasks), self.head)
+        if self.small:
             return first
-        left = first.where("ocd").select("x", "y").toLocalIterator()
-        rows = []
-        while batch := list(islice(left, BATCH)):  # column numbers alone; the table is read once a batch
+        first = cut_lineage(first)
+        refuted, left = first.where("NOT ocd"), first.where("ocd").select("x", "y")
+        if left.isEmpty():
+            return refuted
+        if self.whole:
+            return refuted.unionByName(with_verdicts(left.repartition(tasks), self.every))
+        path = new_path(self.spark, "verdicts")
+        candidates_left = left.toLocalIterator()  # column numbers alone
+        while batch := list(islice(candidates_left, BATCH)):
             named = [([self.columns[i] for i in r["x"]], [self.columns[i] for i in r["y"]]) for r in batch]
-            for r in neighbour_counts(self.df, named).where("swaps = 0").collect():
-                rows.append((batch[r["n"]]["x"], batch[r["n"]]["y"], True, r["splits"] == 0, r["back_splits"] == 0))
-        return self.spark.createDataFrame(rows, VERDICT_SCHEMA)
+            numbers = self.spark.createDataFrame([(n, r["x"], r["y"]) for n, r in enumerate(batch)], "n int, x array<int>, y array<int>")
+            no = {c: F.coalesce(c, F.lit(0)) == 0 for c in ("splits", "swaps", "back_splits")}
+            told = numbers.join(neighbour_counts(self.df, named), "n", "left").select("x", "y", no["swaps"].alias("ocd"), (no["swaps"] & no["splits"]).alias("od_xy"), (no["swaps"] & no["back_splits"]).alias("od_yx"))
+            told.write.mode("append").parquet(path)
+        return refuted.unionByName(self.spark.read.schema(VERDICT_SCHEMA).parquet(path))
 
     def equivalent_pairs(self) -> list[tuple[int, int]]:
         """Pairs of columns that order each other; the number of columns bounds what is collected."""
-        from ..operators.candidates import first_candidates
-
         found = self.verdicts(first_candidates(self.spark, range(len(self.columns)))).where("od_xy AND od_yx")
         return [(r["x"][0], r["y"][0]) for r in found.select("x", "y").collect()]

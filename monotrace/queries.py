@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +10,13 @@ from pyspark.sql import functions as F
 from .functions.inference import RANKS, inferred, is_null_token, type_name
 from .functions.keys import supported_columns
 from .operators import candidates as cand
-from .operators.checks import check_ocd, check_od, column_profile, constant_columns, od_violations, pair_verdicts
-from .operators.ordering import ordered_indices
-from .plans.discovery import discover, search
+from .operators.checks import check_equivalent, check_ocd, check_od, column_profile, constant_columns, od_violations, pair_verdicts
+from .operators.ordering import ordered_by_all, ordered_indices, sorted_column, sorted_with_indices
+from .plans.discovery import discover, reduction
+from .search_sql import counts_sql, kind_sql, lines_sql, results_sql, search_tables
+from .sources.csv import from_texts, infer_types, lost_values, read_csv
 from .sources.results import metrics, result_lines
+from .storage import new_path
 
 # The nine rows of the end-to-end fixture, and texts of every type.
 FIXTURE = [
@@ -27,6 +29,10 @@ TYPED_TEXTS = {
     "01/28/1997": "date", "some string": "string", "Monday, 2011/03/12": "string", "null": "null", "": "null", "?": "null", "NULL": "null", "2011-12-03 10:15:30": "string",
 }
 
+MIXED = {
+    "number": ["1", "2.5", "x", None, "?"], "whole": ["1", "word", "-7", "null", ""], "word": ["a", "", "b c", "NULL", "d"], "day": ["5", "2011-12-03", "01/28/1997", "2012-02-30", "2012-02-29"],
+}
+
 #: Views over the driver's tables: select list and table, in SQL that both engines read.
 VIEWS = {
     "fixture": ("A, B, C, D, E, F", "(VALUES " + ", ".join("(" + ", ".join(map(str, r)) + ")" for r in FIXTURE) + ") AS v(A, B, C, D, E, F)"),
@@ -99,26 +105,8 @@ def verdict_sql(view_name: str, x, y) -> str:
     )
 
 
-def search_sql(view_name: str, columns, max_level: int, comparability: bool = True) -> str:
-    """The search rule as a recursion over verdicts on all pairs of lists of up to max_level + 1 columns."""
-    verdicts = []
-    for n in range(2, max_level + 2):
-        for cols in permutations(columns, n):
-            for cut in range(1, n):
-                x, y = cols[:cut], cols[cut:]
-                verdicts.append(verdict_sql(view_name, x, y))
-    names = ", ".join(f"'{c}'" for c in columns)
-    first = " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, 1 AS level" for i, a in enumerate(columns) for b in columns[i + 1 :])
-    lacks = "NOT list_contains(string_split(s.x, ','), k.c) AND NOT list_contains(string_split(s.y, ','), k.c)"
-    return (
-        f"WITH RECURSIVE v AS MATERIALIZED ({' UNION ALL '.join(verdicts)}), k AS (SELECT unnest([{names}]) AS c), "
-        f"s AS ({first} UNION SELECT CASE WHEN side = 0 THEN s.x || ',' || k.c ELSE s.x END, CASE WHEN side = 1 THEN s.y || ',' || k.c ELSE s.y END, s.level + 1 "
-        f"FROM s JOIN v ON v.x = s.x AND v.y = s.y, k, (SELECT unnest([0, 1]) AS side) AS sides WHERE v.ocd AND s.level < {max_level} AND {lacks} "
-        "AND ((side = 0 AND NOT v.od_xy) OR (side = 1 AND NOT v.od_yx))), "
-        "f AS (SELECT DISTINCT v.* FROM s JOIN v ON v.x = s.x AND v.y = s.y WHERE v.ocd) "
-        "SELECT 'OD' AS kind, x AS lhs, y AS rhs FROM f WHERE od_xy UNION ALL SELECT 'OD', y, x FROM f WHERE od_yx "
-        f"UNION ALL SELECT 'OCD', x, y FROM f WHERE {'NOT od_xy AND NOT od_yx' if comparability else 'true'}"
-    )
+def tables_sql(name: str) -> str:
+    return search_tables(view_sql(name), [key_sql(c) for c in COLUMNS[name].split()], COLUMNS[name].split())
 
 
 def profile_sql(name: str, columns, constant: bool) -> str:
@@ -163,7 +151,7 @@ def _registered() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]],
         same = f"v AS ({pairs}), gone AS ({constants}), e AS (SELECT x, y FROM v WHERE od_xy AND od_yx AND x NOT IN (SELECT \"column\" FROM gone) AND y NOT IN (SELECT \"column\" FROM gone))"
         names = ", ".join(f"('{c}', {i})" for i, c in enumerate(cols))
         add(f"equiv_classes_{t}", lambda s, d, t=t: _classes(s, view(s, d, t)), f"WITH {same} SELECT x AS representative, y AS member FROM e WHERE x NOT IN (SELECT y FROM e)")
-        add(f"reduced_columns_{t}", lambda s, d, t=t: s.createDataFrame([(c,) for c in discover(view(s, d, t), max_level=1).reduced], "name string"), f"WITH {same}, n(c, i) AS (VALUES {names}) SELECT c AS name FROM n WHERE c NOT IN (SELECT \"column\" FROM gone) AND c NOT IN (SELECT y FROM e)")
+        add(f"reduced_columns_{t}", lambda s, d, t=t: s.createDataFrame([(c,) for c in reduction(view(s, d, t))[1]], "name string"), f"WITH {same}, n(c, i) AS (VALUES {names}) SELECT c AS name FROM n WHERE c NOT IN (SELECT \"column\" FROM gone) AND c NOT IN (SELECT y FROM e)")
     checks = {
         "date_year": ("orders_cal", ["od"], ["y"]), "yearmonth_year": ("orders_cal", ["ym"], ["y"]), "month_quarter": ("orders_cal", ["m"], ["q"]), "quarter_month": ("orders_cal", ["q"], ["m"]),
         "price_tier": ("order_tier", ["price"], ["tier"]), "tier_price": ("order_tier", ["tier"], ["price"]), "quantity_price": ("lineitem", ["l_quantity"], ["l_extendedprice"]), "ts_event": ("events", ["ts"], ["event_id"]),
@@ -180,30 +168,62 @@ def _registered() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]],
     add("level1_candidates", lambda s, d: lists(cand.first_candidates(s, range(4))), firsts)
     add("level2_candidates", lambda s, d: lists(cand.expanded(cand.first_candidates(s, range(4)), range(4), True).unionByName(cand.expanded(cand.first_candidates(s, range(4)), range(4), False)).dropDuplicates()), longer)
     add("mirrored_candidates", lambda s, d: lists(cand.mirrored(cand.first_candidates(s, range(4)))), f"SELECT y AS x, x AS y FROM ({firsts}) AS f")
-    whole = search_sql("fixture", ["A", "B", "C", "D"], 3)
-    add("discover_fixture", lambda s, d: as_text(discover(view(s, d, "fixture")).results), whole)
-    add("discover_fixture_all_ocds", lambda s, d: as_text(discover(view(s, d, "fixture"), comparability=False).results), search_sql("fixture", ["A", "B", "C", "D"], 3, False))
-    for t, cols in (("order_tier", ["price", "tier", "band", "y"]), ("line_pricing", ["qty", "qty_band", "disc", "big"]), ("event_hour", ["ts", "h", "d", "kind"]), ("orders_cal", ["od", "y", "q", "ym"])):
-        add(f"discover_{t}", lambda s, d, t=t, cols=cols: as_text(search(view(s, d, t), cols, max_level=2)), search_sql(t, cols, 2))
+    add("discover_fixture", lambda s, d: as_text(discover(view(s, d, "fixture")).results), f"{tables_sql('fixture')} {results_sql(COLUMNS['fixture'].split())}")
+    add("discover_fixture_all_ocds", lambda s, d: as_text(discover(view(s, d, "fixture"), comparability=False).results), f"{tables_sql('fixture')} {results_sql(COLUMNS['fixture'].split(), False)}")
+    # whole tables, all columns, all levels: `discover_whole_` reports OCDs where no side orders the other, `discover_` all of them
+    for t in ("order_tier", "line_pricing", "event_hour", "orders_cal", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+        names = COLUMNS[t].split()
+        add(f"discover_whole_{t}", lambda s, d, t=t: as_text(discover(view(s, d, t)).results), f"{tables_sql(t)} {results_sql(names)}")
+        if t in VIEWS:
+            add(f"discover_{t}", lambda s, d, t=t: as_text(discover(view(s, d, t), comparability=False).results), f"{tables_sql(t)} {results_sql(names, False)}")
     for t, by, key in (("nation", ["n_regionkey"], "n_nationkey"), ("supplier", ["s_nationkey", "s_acctbal"], "s_suppkey"), ("customer", ["c_mktsegment", "c_nationkey"], "c_custkey"), ("orders", ["o_orderdate", "o_orderstatus"], "o_orderkey")):
         add(f"ordered_indices_{t}", lambda s, d, t=t, by=by, key=key: ordered_indices(view(s, d, t), by, key), f'SELECT row_number() OVER (ORDER BY {order_sql(by)}, {key}) - 1 AS position, {key} AS "index" FROM {t}')
-    texts = ", ".join(f"('{v}', '{k}')" for v, k in TYPED_TEXTS.items())
+    for t, column, key in (("nation", "n_regionkey", "n_nationkey"), ("supplier", "s_acctbal", "s_suppkey"), ("orders", "o_orderdate", "o_orderkey")):
+        order = f"row_number() OVER (ORDER BY {order_sql([column])}, {key}) - 1 AS position"
+        add(f"sorted_with_indices_{t}", lambda s, d, t=t, column=column, key=key: sorted_with_indices(view(s, d, t), column, key), f'SELECT {order}, {column} AS value, {key} AS "index" FROM {t}')
+        add(f"sorted_indices_{t}", lambda s, d, t=t, column=column, key=key: ordered_indices(view(s, d, t), [column], key), f'SELECT {order}, {key} AS "index" FROM {t}')
+        add(f"sorted_column_{t}", lambda s, d, t=t, column=column: sorted_column(view(s, d, t), column), f"SELECT {column} FROM {t} ORDER BY {order_sql([column])}")
+    for t, key in (("nation", "n_nationkey"), ("supplier", "s_suppkey")):
+        rest = [c for c in COLUMNS[t].split() if c != key]
+        add(f"ordered_by_all_{t}", lambda s, d, t=t, key=key, rest=rest: ordered_by_all(view(s, d, t).select(*rest, key), key), f'SELECT row_number() OVER (ORDER BY {order_sql(rest)}, {key}) - 1 AS position, {key} AS "index" FROM {t}')
+    for t, a, b in (("events", "event_id", "ts"), ("customer", "c_custkey", "c_name"), ("customer", "c_custkey", "c_acctbal"), ("fixture", "D", "E"), ("fixture", "A", "B")):
+        add(f"check_equivalent_{t}_{a}_{b}", lambda s, d, t=t, a=a, b=b: s.createDataFrame([(check_equivalent(view(s, d, t), a, b),)], "equivalent boolean"), f"SELECT od_xy AND od_yx AS equivalent FROM ({verdict_sql(t, [a], [b])}) AS v")
+    texts = ", ".join(f"('{v}')" for v in TYPED_TEXTS)
     values = lambda s: s.createDataFrame([(v,) for v in TYPED_TEXTS], "value string")
-    add("infer_types", lambda s, d: values(s).select("value", type_name(inferred(F.col("value"))["rank"]).alias("kind")), f"SELECT value, kind FROM (VALUES {texts}) AS t(value, kind)")
-    add("null_tokens", lambda s, d: values(s).select("value", is_null_token(F.col("value")).alias("is_null")), f"SELECT value, (value = '' OR lower(value) = 'null' OR value = '?') AS is_null FROM (VALUES {texts}) AS t(value, kind)")
-    lines = "SELECT 'Constant columns: F' AS value UNION ALL SELECT 'Order equivalent: ' UNION ALL SELECT 'D ↔ E' UNION ALL SELECT kind || ': ' || replace(lhs, ',', ', ') || CASE kind WHEN 'OD' THEN ' ↦ ' ELSE ' ~ ' END || replace(rhs, ',', ', ') FROM " + f"({whole}) AS r"
-    add("result_lines", lambda s, d: result_lines(s, discover(view(s, d, "fixture"))), lines)
-    counts = f"WITH r AS ({whole}) SELECT 'CCs' AS metric, 1::BIGINT AS value UNION ALL SELECT 'OECs', 4 UNION ALL SELECT 'ODs', count(*) FROM r WHERE kind = 'OD' UNION ALL SELECT 'OCDs', count(*) FROM r WHERE kind = 'OCD'"
-    add("metrics_counts", lambda s, d: metrics(s, discover(view(s, d, "fixture"))).where("metric IN ('CCs', 'OECs', 'ODs', 'OCDs')").select("metric", "value"), counts)
+    add("infer_types", lambda s, d: values(s).select("value", type_name(inferred(F.col("value"))["rank"]).alias("kind")), f"SELECT value, {kind_sql('value')} AS kind FROM (VALUES {texts}) AS t(value)")
+    add("null_tokens", lambda s, d: values(s).select("value", is_null_token(F.col("value")).alias("is_null")), f"SELECT value, (value = '' OR lower(value) = 'null' OR value = '?') AS is_null FROM (VALUES {texts}) AS t(value)")
+    # columns of texts: their types, the values that do not fit, and what is read
+    names, rows = list(MIXED), list(zip(*MIXED.values(), strict=True))
+    mixed = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in r) + ")" for r in rows)
+    source = f"(VALUES {mixed}) AS t({', '.join(names)})"
+    mixed_rows = lambda s: s.createDataFrame([(k, *r) for k, r in enumerate(rows)], "_idx long, " + ", ".join(f"{n} string" for n in names))
+    kinds = " UNION ALL ".join(f"SELECT '{n}' AS \"column\", arg_max(k, list_position({list(RANKS)}, k)) AS kind FROM (SELECT {kind_sql(n)} AS k FROM {source}) AS u" for n in names)
+    add("column_types_mixed", lambda s, d: s.createDataFrame([(n, kind) for n, (kind, _) in infer_types(mixed_rows(s), names).items()], "column string, kind string"), kinds)
+    unread = {"number": "try_cast(number AS DOUBLE) IS NULL", "whole": "try_cast(whole AS BIGINT) IS NULL", "word": "false"}
+    lost = " UNION ALL ".join(f"SELECT '{n}' AS \"column\", count(*) FILTER ({kind_sql(n)} <> 'null' AND {test}) AS lost FROM {source}" for n, test in unread.items())
+    add("lost_values_mixed", lambda s, d: lost_values(mixed_rows(s), infer_types(mixed_rows(s), names)).where(F.col("column").isin(*unread)), lost)
+    add("from_texts_mixed", lambda s, d: from_texts(s, MIXED), f"SELECT try_cast(number AS DOUBLE) AS number, try_cast(whole AS BIGINT) AS whole, CASE WHEN {kind_sql('word')} <> 'null' THEN word END AS word, CASE WHEN regexp_full_match(day, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN try_cast(day AS DATE) END AS day FROM {source}")
+    # tables by way of CSV files: with and without a header, several delimiters, quotes
+    for t, options, read in (("nation", {"header": True}, {"header": True}), ("supplier", {"sep": ";", "header": True, "quoteAll": True}, {"header": True}), ("part", {"sep": "|", "header": True}, {"header": True}), ("customer", {"sep": "\t"}, {})):
+        columns = COLUMNS[t].split()
+        got = columns if read else [chr(ord("A") + i) for i in range(len(columns))]
+        typed = ", ".join(f"{c} AS {g}" for c, g in zip(columns, got, strict=True))
+        add(f"csv_{t}", lambda s, d, t=t, columns=columns, options=options, read=read: _through_csv(s, view(s, d, t).select(*columns), options, read), f"SELECT {typed} FROM {t}")
+    add("result_lines", lambda s, d: result_lines(s, discover(view(s, d, "fixture"))), f"{tables_sql('fixture')} {lines_sql(COLUMNS['fixture'].split())}")
+    add("metrics_counts", lambda s, d: metrics(s, discover(view(s, d, "fixture"))).where("metric IN ('CCs', 'OECs', 'ODs', 'OCDs')").select("metric", "value"), f"{tables_sql('fixture')} {counts_sql(COLUMNS['fixture'].split())}")
     return queries, sql
 
 
+def _through_csv(spark: SparkSession, df: DataFrame, written: dict, read: dict) -> DataFrame:
+    path = new_path(spark, "csv")
+    df.write.options(**written).csv(path)
+    return read_csv(spark, path, **read)
+
+
 def _classes(spark: SparkSession, df: DataFrame) -> DataFrame:
-    rows = [(r, m) for r, members in discover(df, max_level=1).classes.items() for m in members[1:]]
+    rows = [(r, m) for r, members in reduction(df)[1].items() for m in members[1:]]
     return spark.createDataFrame(rows, "representative string, member string")
 
 
 QUERIES, ORACLES = _registered()
-#: The whole search over all columns of each view, without SQL: that of six columns has 7,830 verdicts. discover_* are its first two levels on four columns.
-WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"discover_whole_{t}": lambda s, d, t=t: as_text(discover(view(s, d, t)).results) for t in ("order_tier", "line_pricing", "event_hour", "orders_cal")}
-__all__ = ["ORACLES", "QUERIES", "RANKS", "WHOLE", "view"]
+__all__ = ["ORACLES", "QUERIES", "RANKS", "view"]

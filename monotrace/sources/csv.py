@@ -39,6 +39,18 @@ def find_delimiter(lines: list[str]) -> str:
     return best[2]
 
 
+def find_quote(lines: list[str], delimiter: str) -> str:
+    """The character, " or ', that stands at both ends of the most fields of these lines; a double quote where neither does."""
+    fields = [f.strip() for line in lines for f in line.split(delimiter)]
+    return max(('"', "'"), key=lambda q: sum(len(f) > 1 and f[0] == f[-1] == q for f in fields))
+
+
+def has_open_lines(lines: DataFrame, quote: str) -> bool:
+    """Whether a line ends within quotes: some value then holds a line feed. One pass that ends at the first such line."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit(quote), F.lit("")))
+    return not lines.where(quotes % 2 == 1).limit(1).isEmpty()
+
+
 def infer_types(rows: DataFrame, names: list[str]) -> dict[str, tuple[str, str | None]]:
     """Type and date format of each text column: the highest rank, and the format first met at that rank.
 
@@ -63,17 +75,26 @@ def lost_values(texts: DataFrame, types: dict[str, tuple[str, str | None]]) -> D
     return texts.agg(*counts).unpivot([], list(types), "column", "lost")
 
 
-def read_csv(spark: SparkSession, path: str, header: bool = False, infer_rows: int = 1000, delimiter: str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, header: bool = False, infer_rows: int = 1000, delimiter: str | None = None, quote: str | None = None, multiline: bool | None = None) -> DataFrame:
     """A typed table of a CSV file or folder.
 
-    Without a header columns are named A, B, ... Types come from the first `infer_rows` rows; later values
-    that do not fit become null. Short rows are filled with nulls. An empty file is a ValueError.
+    Delimiter and quote are found from the head of the file unless given. Without a header columns are named
+    A, B, ... Types come from the first `infer_rows` rows; later values that do not fit become null. Short rows
+    are filled with nulls. An empty file is a ValueError. Lines end in a line feed, a carriage return or both.
+    Files whose quoted values hold line feeds are read whole, one a task, for only then is a line no row; unless
+    `multiline` says so, a pass over the lines tells.
     """
     if infer_rows < 1:
         raise ValueError("infer_rows must be 1 or more")
-    if delimiter is None:
-        delimiter = find_delimiter([r[0] for r in spark.read.text(path).take(_HEAD)])
-    texts = spark.read.csv(path, sep=delimiter, header=header, inferSchema=False, mode="PERMISSIVE", encoding="UTF-8", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    lines = spark.read.text(path)
+    if delimiter is None or quote is None:
+        head = [r[0] for r in lines.take(_HEAD)]
+        delimiter = find_delimiter(head) if delimiter is None else delimiter
+        quote = find_quote(head, delimiter) if quote is None else quote
+    multiline = has_open_lines(lines, quote) if multiline is None else multiline
+    texts = spark.read.csv(
+        path, sep=delimiter, quote=quote, escape=quote, header=header, multiLine=multiline, inferSchema=False, mode="PERMISSIVE", encoding="UTF-8", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True
+    )
     if not texts.columns:
         raise ValueError(f"{path} holds no columns")
     if not header:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +33,9 @@ def write_result_lines(spark: SparkSession, found: Discovery, path: str, to_cons
 
 
 def metrics(spark: SparkSession, found: Discovery) -> DataFrame:
-    """metric_type, metric, description, value: timings in milliseconds since the epoch, and counts of results."""
+    """metric_type, metric, description, value: timings in milliseconds since the epoch (described by their UTC time), and counts of results."""
     counts = {r["kind"]: r["n"] for r in found.results.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    rows = [("Timing", k, "point in time", int(1000 * t)) for k, t in found.timings.items()]
+    rows = [("Timing", k, datetime.fromtimestamp(t, UTC).isoformat(), int(1000 * t)) for k, t in found.timings.items()]
     rows += [
         ("Result", "CCs", "constant columns", len(found.constants)),
         ("Result", "OECs", "order equivalence classes", len(found.classes)),

@@ -6,7 +6,7 @@ from monotrace import cli, discover, metrics, read_csv, result_lines, search
 from monotrace.functions.inference import inferred, type_name
 from monotrace.plans.discovery import equivalence_classes
 from monotrace.queries import FIXTURE, ORACLES, QUERIES, TYPED_TEXTS, view
-from monotrace.sources.csv import find_delimiter, from_texts, infer_types, lost_values, synthetic_names
+from monotrace.sources.csv import find_delimiter, find_quote, from_texts, infer_types, lost_values, synthetic_names
 from pyspark.sql import functions as F
 
 # What the nine-row fixture holds.
@@ -82,6 +82,9 @@ def test_csv_forms(spark, tmp_path):
     (tmp_path / "h.csv").write_text("name,when\nx,2011-12-03T10:15:30\n\"y, z\",\nlast\n")
     df = read_csv(spark, str(tmp_path / "h.csv"), header=True)
     assert df.columns == ["name", "when"] and [tuple(r) for r in df.collect()] == [("x", datetime(2011, 12, 3, 10, 15, 30)), ("y, z", None), ("last", None)]
+    (tmp_path / "q.csv").write_text("a;'b;\n c';1\n'x';'y';2\n")
+    assert [tuple(r) for r in read_csv(spark, str(tmp_path / "q.csv")).collect()] == [("a", "b;\n c", 1), ("x", "y", 2)]
+    assert find_quote(["'a',b,'c d'"], ",") == "'" and find_quote(["a,b"], ",") == '"'
     late = tmp_path / "l.csv"
     late.write_text("\n".join(["1"] * 5 + ["x"]))
     assert [r[0] for r in read_csv(spark, str(late), infer_rows=3).collect()] == [1] * 5 + [None]
@@ -94,7 +97,7 @@ def test_csv_forms(spark, tmp_path):
     assert [find_delimiter([f"a{d}b{d}c", f"1{d}2{d}3"]) for d in ",;\t|"] == [",", ";", "\t", "|"] and find_delimiter(["abc"]) == ","
 
 
-@pytest.mark.parametrize("name", ["od_check_date_year", "holds_list_to_list", "discover_order_tier", "pair_verdicts_orders", "ordered_indices_orders", "distinct_profile_events", "equiv_classes_customer"])
+@pytest.mark.parametrize("name", ["od_check_date_year", "holds_list_to_list", "discover_order_tier", "discover_whole_customer", "csv_supplier", "lost_values_mixed", "sorted_with_indices_nation", "metrics_counts", "pair_verdicts_orders", "ordered_indices_orders", "distinct_profile_events", "equiv_classes_customer"])
 def test_queries_against_sql(spark, name):
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events".split():
@@ -121,7 +124,6 @@ def test_the_library_does_without_the_training_data_part():
 def test_whole_search_of_a_view_against_brute_force(spark, tmp_path):
     """All levels over all columns; constants and later members of a class are put aside."""
     import __spark_entry__
-    from monotrace.queries import WHOLE
 
     duckdb.sql("SELECT * FROM '/root/testdata/sf0.001/orders.parquet' ORDER BY o_orderkey LIMIT 60").write_parquet(str(tmp_path / "orders.parquet"))
     df = view(spark, str(tmp_path), "orders_cal")
@@ -151,5 +153,5 @@ def test_whole_search_of_a_view_against_brute_force(spark, tmp_path):
             longer |= set() if yx else {(x, (*y, c)) for c in rest}
         todo = longer
     assert max(len(x) + len(y) for _, x, y in expected) > 3
-    assert {(r["kind"], tuple(r["lhs"].split(",")), tuple(r["rhs"].split(","))) for r in WHOLE["discover_whole_orders_cal"](spark, str(tmp_path)).collect()} == expected
-    assert set(WHOLE) <= set(__spark_entry__.queries())
+    assert {(r["kind"], tuple(r["lhs"].split(",")), tuple(r["rhs"].split(","))) for r in QUERIES["discover_whole_orders_cal"](spark, str(tmp_path)).collect()} == expected
+    assert set(QUERIES) <= set(__spark_entry__.queries())
