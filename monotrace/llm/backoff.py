@@ -28,7 +28,7 @@ from .common import id_and_text
 
 DISCOUNT, ORDER = 0.4, 3
 #: Bytes of text in a bundle, and n-grams in a part of the table, about.
-BUNDLE, PART = 12 << 20, 2_000_000
+BUNDLE, PART = 10 << 20, 2_000_000
 _GOLDEN, _MIX_1, _MIX_2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
