@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, id_and_text
-from .components import components
+from .components import Forest, components, thinned
 
 ARCS = 4
 #: Fingerprints of a block at most, and what the number of prefix bits aims at.
@@ -158,31 +158,6 @@ def meet(a: np.ndarray, b: np.ndarray, depth: int, most: int, room: int = 0) ->
         waiting += [(depth, *(x[k : k + NODES] for x in nodes)) for k in range(0, len(nodes[0]), NODES)]
 
 
-class Forest:
-    """Vertices 0..n-1 and the links that connect them: of all that come, as many as are needed."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def added(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Which of these links connect anew. In each round, every root that links to lower ones takes the lowest."""
-        taken, left = [], np.arange(len(a))
-        while len(left):
-            x, y = self.root[a[left]], self.root[b[left]]
-            apart = x != y
-            left, x, y = left[apart], x[apart], y[apart]
-            if not len(left):
-                break
-            low, high = np.minimum(x, y), np.maximum(x, y)
-            order = np.lexsort((low, high))
-            first = order[np.concatenate(([True], np.diff(high[order]) != 0))]
-            taken.append(left[first])
-            self.root[high[first]] = low[first]
-            while (above := self.root[self.root]) is not None and (above != self.root).any():
-                self.root = above
-        return np.concatenate(taken or [np.zeros(0, np.int64)])
-
-
 def by_word(fps: DataFrame) -> DataFrame:
     """word, fp, wide, id: four rows for each of `fps`, each with another word as fp and the other three as wide."""
 
@@ -303,7 +278,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, most: int = NEAR_BITS, most_w
     known = cut_lineage(fingerprints(docs, shingle, most_wide is not None))
     key = ["fp"] if most_wide is None else ["fp", "wide"]
     vertices = cut_lineage(known.where("doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("id")))
-    roots = components(near_links(vertices, most, most_wide))
+    roots = components(thinned(near_links(vertices, most, most_wide)))
     named = vertices.join(roots, F.col("id") == F.col("vertex"), "left").select(*key, F.coalesce("root", "id").alias("component_id"))
     return known.join(named, key, "left").select("doc_id", "fp", "component_id")
 

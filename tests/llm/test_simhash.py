@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 from monotrace.llm import simhash
-from monotrace.llm.components import components
+from monotrace.llm.components import components, thinned
 from monotrace.llm.queries import op10_simhash
 
 
@@ -110,6 +110,18 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("share", [7, 100_000])
+def test_thinned_links_connect_the_same(spark, share):
+    seeded = random.Random(share)
+    links = [(a, b) for _ in range(900) for a, b in [(seeded.randint(0, 60), seeded.randint(0, 60))]] + [(seeded.randint(100, 400), seeded.randint(100, 400)) for _ in range(150)]
+    table = spark.createDataFrame(links, "a long, b long").repartition(6)
+    fewer = [tuple(r) for r in thinned(table, share).collect()]
+    assert set(fewer) <= set(links) and (share == 7 or len(fewer) < len({x for p in links for x in p}))
+    roots = lambda t: {r["vertex"]: r["root"] for r in components(t).collect()}
+    assert roots(spark.createDataFrame(fewer, "a long, b long")) == roots(table)
+    assert thinned(table.limit(0)).count() == 0
+
+
 def test_rows_without_id_do_not_connect(spark):
     rows = [(None, "alone here in a text"), (None, "shared words of this one text"), (4, "shared words of this one text"), (4, "shared words of this one text")]
     got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
