@@ -12,6 +12,12 @@ from ..storage import stored
 
 
 def sorted_with_indices(df: DataFrame, column: str, index: str) -> DataFrame:
+    """The column's values in ascending order, nulls first, each with its row's index; ties in order of the index."""
+    checked_columns(df, [column])
+    return df.orderBy(sort_key(df, column).asc_nulls_first(), F.col(index).asc()).select(F.col(f"`{column}`"), index)
+
+
+def sorted_with_positions(df: DataFrame, column: str, index: str) -> DataFrame:
     """position (from 0), value, index: the column in ascending order, nulls first, each value with its row's index; ties in order of the index."""
     checked_columns(df, [column])
     return ordered_indices(df, [column], index).join(df.select(F.col(f"`{index}`").alias("index"), F.col(f"`{column}`").alias("value")), "index").select("position", "value", "index")

@@ -11,7 +11,7 @@ from .functions.inference import RANKS, inferred, is_null_token, type_name
 from .functions.keys import supported_columns
 from .operators import candidates as cand
 from .operators.checks import check_equivalent, check_ocd, check_od, column_profile, constant_columns, od_violations, pair_verdicts
-from .operators.ordering import ordered_by_all, ordered_indices, sorted_column, sorted_with_indices
+from .operators.ordering import ordered_by_all, ordered_indices, sorted_column, sorted_with_positions
 from .plans.discovery import discover, reduction
 from .search_sql import counts_sql, kind_sql, lines_sql, results_sql, search_tables
 from .sources.csv import from_texts, infer_types, lost_values, read_csv
@@ -180,7 +180,7 @@ def _registered() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]],
         add(f"ordered_indices_{t}", lambda s, d, t=t, by=by, key=key: ordered_indices(view(s, d, t), by, key), f'SELECT row_number() OVER (ORDER BY {order_sql(by)}, {key}) - 1 AS position, {key} AS "index" FROM {t}')
     for t, column, key in (("nation", "n_regionkey", "n_nationkey"), ("supplier", "s_acctbal", "s_suppkey"), ("orders", "o_orderdate", "o_orderkey")):
         order = f"row_number() OVER (ORDER BY {order_sql([column])}, {key}) - 1 AS position"
-        add(f"sorted_with_indices_{t}", lambda s, d, t=t, column=column, key=key: sorted_with_indices(view(s, d, t), column, key), f'SELECT {order}, {column} AS value, {key} AS "index" FROM {t}')
+        add(f"sorted_with_indices_{t}", lambda s, d, t=t, column=column, key=key: sorted_with_positions(view(s, d, t), column, key), f'SELECT {order}, {column} AS value, {key} AS "index" FROM {t}')
         add(f"sorted_indices_{t}", lambda s, d, t=t, column=column, key=key: ordered_indices(view(s, d, t), [column], key), f'SELECT {order}, {key} AS "index" FROM {t}')
         add(f"sorted_column_{t}", lambda s, d, t=t, column=column: sorted_column(view(s, d, t), column), f"SELECT {column} FROM {t} ORDER BY {order_sql([column])}")
     for t, key in (("nation", "n_nationkey"), ("supplier", "s_suppkey")):
