@@ -23,7 +23,7 @@ from .common import id_and_text
 
 #: Labelled documents of each class that are fitted on at most: half make the dictionaries, half the curve.
 SAMPLE = 1500
-#: Longer documents are not fitted on, which bounds what the driver reads.
+#: Of longer documents one piece of so many characters is fitted on, from a place that a hash of doc_id settles, which bounds what the driver reads.
 LONGEST_SAMPLE = 20_000
 PIECE, LEVEL, DICTIONARY = 2048, 3, 112_640
 FOLDS = 5
@@ -97,10 +97,11 @@ def _dictionary(texts: list[str]) -> bytes:
         return b"".join(pieces)[-DICTIONARY:]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST_SAMPLE) -> QualityModel:
     """A model of labels.quality (1 good, 0 bad) from at most `sample` documents of each class.
 
-    Which ones is settled by a hash of doc_id. Labels that are null, contradict each other or are held
+    Which ones is settled by a hash of doc_id; of a text longer than `longest` a piece of that length
+    stands for it, so that long texts count as much as others. Labels that are null, contradict each other or are held
     out are not used. The share of good labels is counted over all that may be used, and sets the
     curve's offset. Without labels of one of the classes every score is 0.5 or on the side of the other.
     """
@@ -111,7 +112,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMode
     # 2 * sample rows at most: a bounded broadcast
     picked = [usable.where(F.col("quality") == q).orderBy(order, "doc_id").limit(sample) for q in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))
-    rows = id_and_text(docs).where(F.length("text") <= LONGEST_SAMPLE).join(ids, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("quality", "text", order.alias("o"), "doc_id").collect()
+    begin = F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.greatest(F.length("text") - longest, F.lit(0)) + 1) + 1
+    sampled = id_and_text(docs).select("doc_id", F.substring(F.col("text"), begin.cast("int"), F.lit(longest)).alias("text"))
+    rows = sampled.join(ids, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("quality", "text", order.alias("o"), "doc_id").collect()
     rows.sort(key=lambda r: (r["o"], r["doc_id"]))
     texts = {q: [r["text"] for r in rows if r["quality"] == q] for q in (0, 1)}
     if not texts[0] or not texts[1]:

@@ -284,3 +284,82 @@ def test_scores_hang_on_text_alone(spark, odd, odd_rows, empty):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in got if r["predicted"])
     assert quality.scored(empty, quality.fit(empty, labels.limit(0))).count() == 0
     assert quality.scored(odd, quality.fit(odd, labels.where("quality = 1"))).where("predicted = 1").count() == len(odd_rows)
+
+
+def plain_quality_scores(rows, labels, longest: int) -> dict:
+    """Scores by zstandard, a hash library and descent with step halving, with none of the module's functions."""
+    import math
+    import zlib
+
+    import xxhash
+    import zstandard
+
+    def keyed(doc: int, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word, xxhash.xxh64_intdigest(doc.to_bytes(8, "little", signed=True), 42))
+        return h - (1 << 64) * (h >> 63)
+
+    texts = {}
+    for doc, text in rows:
+        begin = keyed(doc, b"piece") % (max(len(text) - longest, 0) + 1)
+        texts[doc] = text[begin : begin + longest]
+    sides = {doc: set() for doc, _ in labels}
+    for doc, good in labels:
+        sides[doc].add(good)
+    usable = [(doc, good) for doc, (good, *more) in sides.items() if not more and zlib.crc32(str(doc).encode()) % 5]
+    of = {q: [texts[d] for d in sorted((d for d, good in usable if good == q and d in texts), key=lambda d: (keyed(d, b"sample"), d))] for q in (0, 1)}
+    cut = {q: (len(of[q]) + 1) // 2 for q in of}
+    books = {}
+    for q in of:
+        pieces = [raw[k : k + 2048] for t in of[q][: cut[q]] for raw in [t.encode()] for k in range(0, len(raw), 2048)]
+        books[q] = zstandard.ZstdCompressionDict(zstandard.train_dictionary(112_640, pieces, k=256, d=8, level=3).as_bytes())
+
+    def size(text: bytes, book) -> int:
+        n = max(1, round(len(text) / 2048))
+        plain = dict(level=3, dict_data=book, write_content_size=False, write_dict_id=False, write_checksum=False)
+        return sum(len(zstandard.ZstdCompressor(**plain).compress(text[len(text) * k // n : len(text) * (k + 1) // n])) for k in range(n))
+
+    def features(text: str) -> list[float]:
+        raw = text.encode()
+        if not raw:
+            return [0.0] * 4
+        good, bad = size(raw, books[1]), size(raw, books[0])
+        a, b = (bad - good) / (bad + good), (len(raw) - min(good, bad)) / (len(raw) + min(good, bad))
+        return [a, b, a * abs(a), b * abs(b)]
+
+    rest = {q: of[q][cut[q] :] for q in of}
+    x = np.array([features(t) for q in (1, 0) for t in rest[q]])
+    y = np.array([1.0] * len(rest[1]) + [-1.0] * len(rest[0]))
+    z = np.hstack([x / x.std(axis=0), np.ones((len(x), 1))])
+    pull = np.array([0.1] * 4 + [1e-6])
+    loss = lambda w: np.logaddexp(0, -y * (z @ w)).sum() + (pull * w * w).sum() / 2
+    w = np.zeros(5)
+    for _ in range(200):
+        wrong = 1 / (1 + np.exp(y * (z @ w)))
+        slope = -(z.T @ (y * wrong)) + pull * w
+        step = np.linalg.solve((z.T * (wrong * (1 - wrong))) @ z + np.diag(pull), slope)
+        size_of_step = 1.0
+        while loss(w - size_of_step * step) > loss(w) and size_of_step > 1e-9:
+            size_of_step /= 2
+        w = w - size_of_step * step
+    n = {q: sum(good == q for _, good in usable) for q in (0, 1)}
+    offset = w[4] + math.log(n[1] / n[0]) - math.log(len(rest[1]) / len(rest[0]))
+    return {doc: 1 / (1 + math.exp(-max(-30.0, min(30.0, offset + float((w[:4] / x.std(axis=0)) @ features(text)))))) for doc, text in rows}
+
+
+@pytest.mark.parametrize("longest", [20_000, 900])
+def test_quality_against_a_plain_version(small_docs, small, spark, longest):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    expected = plain_quality_scores(small, [(r["doc_id"], r["quality"]) for r in labels.collect()], longest)
+    got = {r["doc_id"]: r["score"] for r in quality.scored(small_docs, quality.fit(small_docs, labels, longest=longest)).collect()}
+    assert got.keys() == expected.keys()
+    assert max(abs(got[d] - expected[d]) for d in got) < 1e-4
+
+
+def test_classes_of_long_texts_alone_make_a_model(spark):
+    seeded = random.Random(8)
+    good = lambda: " ".join(seeded.choice(["river", "stone", "glass", "paper", "light"]) for _ in range(200))
+    bad = lambda: " ".join(seeded.choice(["zxq", "qqv", "wkj", "xvz", "jjk"]) for _ in range(200))
+    rows = [(k, good() if k % 2 else bad()) for k in range(80)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, quality int")
+    scores = quality.scored(docs, quality.fit(docs, labels, longest=300)).collect()
+    assert min(r["score"] for r in scores if r["doc_id"] % 2) > max(r["score"] for r in scores if not r["doc_id"] % 2)
