@@ -35,6 +35,11 @@ def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def spotsigs_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, n_links: classes of documents whose fingerprints are 0.8 alike or more."""
+    return spotsigs.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_token_files,
         op3_decontaminate,
         op4_spotsigs,
+        spotsigs_groups,
         op5_quality,
         op6_chunk_dedup,
         op7_line_windows,

@@ -16,7 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, id_and_text
+from .common import fresh, id_and_text, stored
+from .components import components
 
 # Common words that serve as anchors, by language.
 ANCHORS = {
@@ -100,33 +101,55 @@ def length_class(sigs: Column, threshold: float = 0.8) -> Column:
     return F.floor(F.log(F.size(sigs).cast("double")) / -math.log(threshold) + 1e-9)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Pairs (a, b, likeness) of documents with different signature sets whose likeness reaches `threshold`, and of
-    each set's first document with the others that share it.
+#: Frequent signatures that are looked up in every set, and counters that find them.
+FREQUENT, COUNTERS = 2_000, 20_000
 
-    Sets that are equal are joined first, so that copies are no pairs of their own: b of such a copy
-    meets the smallest doc_id of its set alone. Distinct sets then meet by their rarest signatures:
-    of a set's n, in order of how few sets hold them, any n - ceil(threshold * n) + 1 must hold one
-    that the other set's leading ones hold too, and only sets in neighbouring length classes are
-    compared. Rows with a null doc_id are left out.
+
+def frequent_signatures(sets: DataFrame) -> list[int]:
+    """The signatures that most sets hold, the most frequent last: FREQUENT at most, whatever the input, counted over all sets in bounded memory."""
+    found = sets.select(F.explode("sigs").alias("sig")).agg(F.expr(f"approx_top_k(sig, {FREQUENT}, {COUNTERS})").alias("top")).first()["top"]
+    return [r["item"] for r in sorted(found or [], key=lambda r: (r["count"], r["item"])) if r["count"] > 1]
+
+
+def near_groups(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """doc_id, class_id, n_links: a row for each row of `docs`.
+
+    n_links counts the other rows whose set has a likeness of `threshold` or more, copies included;
+    class_id is the smallest doc_id that such links reach, the row's own included. Rows without a doc_id
+    take the class and links of their set, or null and 0 where no numbered row has that set; they connect no
+    others and are not counted. A null text is the empty text; an empty table gives an empty one.
+
+    Equal sets are one vertex, and distinct sets meet by their leading signatures: of a set's n in a fixed
+    order, the first n - ceil(threshold * n) + 1 must hold one that the other's leading ones hold too.
+    Frequent signatures stand last in that order, so that a passage of many documents leads few sets.
+    Only sets of the same or the next length class meet, and of these only such whose sizes and whose
+    places of the common signature leave room for the likeness; the sets themselves are compared last.
+    Any order is exact, so frequent signatures may be counted approximately. Only pairs of distinct sets
+    are made, and links to copies are sums.
     """
-    known = with_signatures(id_and_text(docs).where("doc_id IS NOT NULL"), "text", "sigs").drop("text")
-    keyed = known.withColumn("fp", fingerprint(F.col("sigs")))
-    sets = keyed.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("sigs").alias("sigs"))
-    copies = keyed.join(sets.select("fp", F.col("doc_id").alias("a")), "fp").where("doc_id > a").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("likeness"))
-    each = sets.select("doc_id", length_class(F.col("sigs"), threshold).alias("class"), F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
-    rare = each.join(each.groupBy("sig").agg(F.count("*").alias("held")), "sig")
-    ranked = rare.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("held", "sig")))
-    lead = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).where("held > 1").select("doc_id", "class", "n", "sig")
-    # each set meets its own class and the next
-    left = lead.select(F.col("doc_id").alias("a"), F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), F.col("class").alias("class_a"), F.col("n").alias("n_a"), "sig")
-    right = lead.select(F.col("doc_id").alias("b"), "class", F.col("n").alias("n_b"), "sig")
-    pairs = left.join(right, ["sig", "class"]).where(((F.col("class_a") < F.col("class")) | (F.col("a") < F.col("b"))) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9) & (F.col("a") != F.col("b")))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    text = sets.select("doc_id", "sigs")
-    both = pairs.join(text.select(F.col("doc_id").alias("a"), F.col("sigs").alias("s_a")), "a").join(text.select(F.col("doc_id").alias("b"), F.col("sigs").alias("s_b")), "b")
-    near = both.select("a", "b", likeness(F.col("s_a"), F.col("s_b")).alias("likeness")).where(F.col("likeness") >= threshold)
-    return near.unionByName(copies)
+    signed = with_signatures(id_and_text(docs), "text", "sigs")
+    known = stored(signed.select("doc_id", F.md5(fingerprint(F.col("sigs"))).alias("key"), "sigs"), "spots")
+    sets = stored(known.where("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("sigs").alias("sigs")), "spot-sets")
+    frequent = F.lit(frequent_signatures(sets)).cast("array<bigint>")
+    n = F.size("sigs")
+    ordered = F.concat(F.array_except("sigs", frequent), F.array_intersect(frequent, F.col("sigs")))
+    leading = F.slice(ordered, 1, (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))
+    lead = sets.select("id", n.alias("n"), length_class(F.col("sigs"), threshold).alias("class"), F.posexplode(leading).alias("at", "sig"))
+    left = lead.select(*(F.col(c).alias(f"{c}_a") for c in ("id", "n", "class", "at")), "sig", F.explode(F.array("class", F.col("class") + 1)).alias("class"))
+    met = left.join(lead, ["sig", "class"]).where("class_a < class OR id_a < id")
+    # what the two can share at most, from the common signature on
+    reach = F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at"))
+    room = (F.least("n_a", "n") >= threshold * F.greatest("n_a", "n") - 1e-9) & (reach * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n")) - 1e-9)
+    pairs = met.where(room).select(F.least("id_a", "id").alias("a"), F.greatest("id_a", "id").alias("b")).distinct()
+    side = lambda name: sets.select(F.col("id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("sigs", "copies")))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(likeness(F.col("sigs_a"), F.col("sigs_b")) >= threshold)
+    near = stored(near.select("a", "b", "copies_a", "copies_b"), "spot-links")
+    links = near.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("copies_b").alias("n")), F.struct(F.col("b").alias("id"), F.col("copies_a").alias("n")))).alias("x")).select("x.*")
+    links = links.groupBy("id").agg(F.sum("n").alias("others"))
+    named = sets.select("key", "id", "copies").join(links, "id", "left").join(components(near), F.col("id") == F.col("vertex"), "left")
+    named = named.select("key", F.coalesce("root", "id").alias("class_id"), (F.col("copies") + F.coalesce("others", F.lit(0))).alias("reached"))
+    own = F.when(F.col("doc_id").isNull(), 0).otherwise(1)
+    return known.select("doc_id", "key").join(named, "key", "left").select("doc_id", "class_id", (F.coalesce("reached", F.lit(0)) - own).cast("long").alias("n_links"))
 
 
 def _cell(bounds: list[int], number: Column, per: int = 256) -> Column:

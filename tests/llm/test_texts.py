@@ -236,22 +236,40 @@ def test_rows_that_share_a_doc_id(spark):
     assert got == ["access:0:20", "assign:0:20", "assign:0:20"]
 
 
-def test_near_pairs_against_every_pair(spark, small):
+def plain_near_groups(rows, threshold: float = 0.8) -> list[tuple]:
+    """Every pair of documents, and a walk over the links."""
+    sets = [frozenset(plain_signatures(t or "")) for _, t in rows]
+    like = {(s, t): jaccard(s, t) >= threshold for s in set(sets) for t in set(sets)}
+    numbered = [k for k, (i, _) in enumerate(rows) if i is not None]
+    out = []
+    for k, (i, _) in enumerate(rows):
+        reached, todo = set(), [m for m in numbered if sets[m] == sets[k]]
+        while todo:
+            if (m := todo.pop()) not in reached:
+                reached.add(m)
+                todo += [o for o in numbered if o not in reached and like[sets[m], sets[o]]]
+        links = sum(like[sets[k], sets[m]] for m in numbered if m != k)
+        out.append((i, min((rows[m][0] for m in reached), default=None), links if reached else 0))
+    return sorted(out, key=str)
+
+
+def test_near_groups_against_every_pair(spark, small, odd, odd_rows, empty, monkeypatch):
     seeded = random.Random(5)
-    rows = [(i, t) for i, t in small[:150]]
+    rows = [(i, t) for i, t in small[:100]]
     for k in range(30):
         words = rows[k][1].split(" ")
-        words[seeded.randrange(len(words))] = "changed"
+        for _ in range(1 + len(words) // 40):
+            words[seeded.randrange(len(words))] = "changed"
         rows.append((1000 + k, " ".join(words)))
-    rows += [(2000, rows[3][1]), (2001, rows[3][1]), (2002, ""), (2003, "")]
-    sets = {i: frozenset(plain_signatures(t)) for i, t in rows}
-    first = {}
-    for i in sorted(sets):
-        first.setdefault(sets[i], i)
-    expected = {(a, b) for a in first.values() for b in first.values() if a < b and jaccard(sets[a], sets[b]) >= 0.8}
-    expected |= {(first[s], i) for i, s in sets.items() if first[s] != i}
-    got = [(r["a"], r["b"]) for r in spotsigs.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
-    assert len(got) == len(set(got)) and set(got) == expected
+    chain = [f"the {seeded.getrandbits(40):x} {seeded.getrandbits(40):x}" for _ in range(60)]
+    rows += [(3000 + k, " ".join(chain[k : k + 40])) for k in range(20)]  # neighbours alone are alike, yet all are one class
+    rows += [(2000, rows[3][1]), (2001, rows[3][1]), (2001, rows[3][1]), (2002, ""), (2003, None), (None, rows[3][1]), (None, "of its own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, spotsigs.near_groups(docs).collect()), key=str) == plain_near_groups(rows)
+    assert sorted(map(tuple, spotsigs.near_groups(odd).collect()), key=str) == plain_near_groups(odd_rows)
+    assert spotsigs.near_groups(empty).count() == 0
+    monkeypatch.setattr(spotsigs, "FREQUENT", 3)  # no order of the signatures loses a link
+    assert sorted(map(tuple, spotsigs.near_groups(docs, 0.6).collect()), key=str) == plain_near_groups(rows, 0.6)
 
 
 # quality
