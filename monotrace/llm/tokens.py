@@ -15,7 +15,7 @@ from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words whose ids a Python worker keeps (about 150 bytes each); beyond it, the store starts anew.
+#: Words whose ids a Python worker keeps (about 150 bytes each): half of them in use, and the half before, of which those met again are kept on.
 KEPT_WORDS = 800_000
 
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -50,6 +50,7 @@ class WordIds(dict):
         self.model = self.whole.model
         self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
         self.pieces: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
@@ -58,24 +59,32 @@ class WordIds(dict):
         """Ids of a single piece, as the pre-tokenizer cuts them, by the file's model alone."""
         got = self.pieces.get(text)
         if got is None:
-            plain = text if text.isascii() else text.encode().decode("latin-1")
-            got = array("I", [t.id for t in self.model.tokenize(plain.translate(self.letters))]).tobytes()
+            got = self.new_piece(text)
             if len(text) < 16:
                 self.pieces[text] = got
         return got
 
+    def new_piece(self, text: str) -> bytes:
+        if text.isascii() and text[1:].isalpha():
+            # of ASCII's printable bytes, the space alone has another letter in the file
+            plain = text.replace(" ", "\u0120", 1)
+        else:
+            plain = (text if text.isascii() else text.encode().decode("latin-1")).translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
+
     def learned(self, word: str) -> bytes:
         if self.kind == "word":
             if word.isalpha() and max(word) < "\u0130":
-                return self.piece(word.lower())
+                small = word.lower()
+                return self[small] if small != word else self.new_piece(word)
             if (m := _WORD_AND_MARKS.fullmatch(word)) and m[1].isalpha() and max(word) < "\u0130" and "'" not in word:
-                return self.piece(m[1].lower()) + self.piece(m[2])
+                return self[m[1].lower()] + self.piece(m[2])
             return self.ids(word)
         if self.kind == "byte":
             if word.isalpha():
-                return self.piece(f" {word}")
+                return self.new_piece(f" {word}")
             if (m := _WORD_AND_MARKS.fullmatch(word)) and m[1].lstrip("\n").isalpha() and m[2][0] != "'":
-                return (self.piece(f" {m[1]}") if word[0] != "\n" else self.piece("\n") + self.piece(m[1][1:])) + self.piece(m[2])
+                return (self[m[1]] if word[0] != "\n" else self.piece("\n") + self.piece(m[1][1:])) + self.piece(m[2])
             if word[:1] == "\n" and word[1:].isalpha():
                 return self.piece("\n") + self.piece(word[1:])
             if not word or word == "\n" or _WHITE.search(word, word[0] == "\n"):
@@ -84,10 +93,13 @@ class WordIds(dict):
         return self.ids(word)
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) + len(self.pieces) > KEPT_WORDS:
+        if len(self) + len(self.pieces) > KEPT_WORDS // 2:
+            self.before = dict(self)
             self.clear()
             self.pieces.clear()
-        got = self.learned(word)
+        got = self.before.get(word)
+        if got is None:
+            got = self.learned(word)
         if len(word) < 32:
             self[word] = got
         return got
