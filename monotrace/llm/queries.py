@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, chunk_dedup, decontaminate, line_windows, packing, pfor, quality, secret_scan, simhash, spotsigs
+from . import alignment, backoff, best_fit, chunk_dedup, decontaminate, line_windows, packing, pfor, prefix_trie, quality, secret_scan, simhash, spotsigs
 from .common import new_path, table
 
 
@@ -73,6 +73,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack_best_fit(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("node")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -87,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_stupid_backoff,
         op9_secret_scan,
         op10_simhash,
+        op11_alignment,
+        op12_best_fit,
+        op13_prefix_trie,
     )
 }
 
@@ -94,4 +109,5 @@ ORACLES: dict[str, str] = {
     "op7_line_windows": line_windows.ORACLE,
     "op8_stupid_backoff": backoff.ORACLE,
     "op9_secret_scan": secret_scan.oracle(),
+    "op13_prefix_trie": prefix_trie.oracle(),
 }

@@ -13,6 +13,8 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words whose ids a Python worker keeps (about 150 bytes each): half of them in use, and the half before, of which those met again are kept on.
@@ -34,10 +36,12 @@ class WordIds(dict):
     with a line feed for line feed and word.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        #: Whether added tokens within texts are plain text.
+        self.whole.encode_special_tokens = plain
         #: Texts that hold an added token as it is written go to the library whole; of one that is matched after normalizing, in any case of letters.
         added = self.whole.get_added_tokens_decoder().values()
         self.added = [t.content for t in added if not t.normalized]
@@ -128,7 +132,65 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b if b in printable else next(free)) for b in range(256)}
 
 
-@functools.lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
+class PieceIds(dict):
+    """Word -> its ids in a `sentencepiece` file, as little-endian uint32 bytes; keys are those of WordIds.
+
+    A word stands for itself and the space before it, which the file marks in its pieces. No piece of such a file holds that mark after another
+    character, nor a line feed, or the texts go to the library whole; so do texts with two spaces in a row.
+    """
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
+        self.whole = SentencePieceProcessor(model_file=path)
+        pieces = [self.whole.id_to_piece(i) for i in range(self.whole.get_piece_size())]
+        self.by_words = not any("\n" in p or SPACE in p.lstrip(SPACE) for p in pieces) and self.ids("\na b")[4:] == self.ids("\na")[4:] + self.ids("b")
+        self.before: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> bytes:
+        return array("I", self.whole.encode(text, num_threads=1)).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > KEPT_WORDS // 4:
+            self.before = dict(self)
+            self.clear()
+        got = self.before.get(word)
+        if got is None:
+            # before a line feed the library puts a space that is none of the text's
+            got = self.ids(word) if word[:1] != "\n" else self.ids(word)[4:]
+        if len(word) < 32:
+            self[word] = got
+        return got
+
+    def encode(self, text: str) -> bytes:
+        words = text.replace("\n", " \n").split(" ")
+        return b"".join(map(self.__getitem__, words)) if self.by_words and all(words) else self.ids(text)
+
+
+#: What stands for a space in pieces.
+SPACE = "\u2581"
+
+
+@functools.lru_cache(maxsize=3)
+def word_ids(path: str, plain: bool = False) -> WordIds:
+    """One store a file and Python worker."""
+    return WordIds(path, plain)
+
+
+@functools.lru_cache(maxsize=1)
+def piece_ids(path: str) -> PieceIds:
     """One store a file and Python worker."""
-    return WordIds(path)
+    return PieceIds(path)
+
+
+@functools.lru_cache(maxsize=2)
+def bytes_of_ids(path: str) -> tuple[bytes, np.ndarray]:
+    """What each id of a tokenizer file stands for: all bytes one after the other, and where each id's begin (and the last end). Unknown and control ids stand for nothing."""
+    if path.endswith(".model"):
+        file = piece_ids(path).whole
+        told = [b"" if file.is_control(i) or file.is_unknown(i) else bytes([int(file.id_to_piece(i)[3:5], 16)]) if file.is_byte(i) else file.id_to_piece(i).replace(SPACE, " ").encode() for i in range(file.get_piece_size())]
+    else:
+        letters = {c: b for b, c in byte_letters().items()}
+        vocabulary = {i: t for t, i in word_ids(path, True).whole.get_vocab(with_added_tokens=True).items()}
+        told = [bytes(letters[c] for c in vocabulary[i]) if i in vocabulary and all(c in letters for c in vocabulary[i]) else b"" for i in range(max(vocabulary) + 1)]
+    return b"".join(told), np.concatenate(([0], np.cumsum([len(t) for t in told])))
