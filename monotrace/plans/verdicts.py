@@ -3,30 +3,26 @@
 A bounded sample refutes most candidates: its violations are violations of the whole. What it leaves is
 checked over all rows. Where these are few enough, in rows and in bytes measured before anything is
 collected, they are encoded once, each column as dense ranks, and given to every task; the candidates
-are the rows that Spark deals out. Larger tables are checked by ranges, many candidates in one pass,
-and each pass adds its verdicts to a table in the shared folder.
+are the rows that Spark deals out. Larger tables are encoded on the cluster, and all candidates of a
+level are checked in one job over the stored ranks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 from functools import cached_property
-from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.candidates import first_candidates
-from ..operators.neighbours import neighbour_counts
+from ..operators.codes import VERDICT_SCHEMA, Codes
 from ..operators.ranks import SAMPLE_ROWS, Ranked, encode, row_bytes, sampled
-from ..storage import cut_lineage, new_path
+from ..storage import cut_lineage
 
 #: Ranks (rows x columns, 4 bytes each) that are given to every task at most, and bytes of values that are collected to make them.
 MOST_RANKS, MOST_BYTES = 16_000_000, 128 << 20
-#: Candidates that one pass over a larger table checks.
-BATCH = 32
-VERDICT_SCHEMA = "x array<int>, y array<int>, ocd boolean, od_xy boolean, od_yx boolean"
 
 
 def with_verdicts(candidates: DataFrame, shared) -> DataFrame:
@@ -42,18 +38,22 @@ def with_verdicts(candidates: DataFrame, shared) -> DataFrame:
 
 
 class Checker:
-    """Verdicts on candidates over one table and a list of its columns."""
+    """Verdicts on candidates over one table and a list of its columns, which candidates name by their places."""
 
-    def __init__(self, df: DataFrame, columns: list[str], most_ranks: int = MOST_RANKS):
-        self.df, self.columns, self.spark = df, columns, df.sparkSession
-        self.rows, size = df.agg(F.count("*"), F.coalesce(F.sum(row_bytes(df, columns)), F.lit(0))).first()
-        self.whole = self.rows * max(1, len(columns)) <= most_ranks and size <= MOST_BYTES
+    def __init__(self, df: DataFrame, columns: Sequence[str], most_ranks: int = MOST_RANKS):
+        self.df, self.columns, self.spark = df, list(columns), df.sparkSession
+        self.rows, size = df.agg(F.count("*"), F.coalesce(F.sum(row_bytes(df, self.columns)), F.lit(0))).first()
+        self.whole = self.rows * max(1, len(self.columns)) <= most_ranks and size <= MOST_BYTES
         self.small = self.whole and self.rows <= SAMPLE_ROWS
-        self.head = self.spark.sparkContext.broadcast(encode(df if self.small else sampled(df, columns, self.rows), columns))
+        self.head = self.spark.sparkContext.broadcast(encode(df if self.small else sampled(df, self.columns, self.rows), self.columns))
 
     @cached_property
     def every(self):
-        return self.spark.sparkContext.broadcast(encode(self.df, self.columns))
+        return self.head if self.small else self.spark.sparkContext.broadcast(encode(self.df, self.columns))
+
+    @cached_property
+    def codes(self) -> Codes:
+        return Codes(self.df, self.columns)
 
     def verdicts(self, candidates: DataFrame) -> DataFrame:
         tasks = self.spark.sparkContext.defaultParallelism
@@ -62,21 +62,35 @@ class Checker:
             return first
         first = cut_lineage(first)
         refuted, left = first.where("NOT ocd"), first.where("ocd").select("x", "y")
-        if left.isEmpty():
-            return refuted
         if self.whole:
-            return refuted.unionByName(with_verdicts(left.repartition(tasks), self.every))
-        path = new_path(self.spark, "verdicts")
-        candidates_left = left.toLocalIterator()  # column numbers alone
-        while batch := list(islice(candidates_left, BATCH)):
-            named = [([self.columns[i] for i in r["x"]], [self.columns[i] for i in r["y"]]) for r in batch]
-            numbers = self.spark.createDataFrame([(n, r["x"], r["y"]) for n, r in enumerate(batch)], "n int, x array<int>, y array<int>")
-            no = {c: F.coalesce(c, F.lit(0)) == 0 for c in ("splits", "swaps", "back_splits")}
-            told = numbers.join(neighbour_counts(self.df, named), "n", "left").select("x", "y", no["swaps"].alias("ocd"), (no["swaps"] & no["splits"]).alias("od_xy"), (no["swaps"] & no["back_splits"]).alias("od_yx"))
-            told.write.mode("append").parquet(path)
-        return refuted.unionByName(self.spark.read.schema(VERDICT_SCHEMA).parquet(path))
-
-    def equivalent_pairs(self) -> list[tuple[int, int]]:
-        """Pairs of columns that order each other; the number of columns bounds what is collected."""
-        found = self.verdicts(first_candidates(self.spark, range(len(self.columns)))).where("od_xy AND od_yx")
-        return [(r["x"][0], r["y"][0]) for r in found.select("x", "y").collect()]
+            return refuted if left.isEmpty() else refuted.unionByName(with_verdicts(left.repartition(tasks), self.every))
+        pairs = [(tuple(r["x"]), tuple(r["y"])) for r in left.collect()]  # column numbers alone: the plan is made from them
+        return refuted.unionByName(self.codes.verdicts(pairs)) if pairs else refuted
+
+    def equivalence_classes(self) -> dict[int, list[int]]:
+        """Columns that order each other, by their smallest member; a column that has no such other is a class of its own.
+
+        Their ranks are the same in every row. Columns that differ in the sample are told apart by it; the others are compared over all rows.
+        """
+        alike: dict[bytes, list[int]] = defaultdict(list)
+        for i, ranks in enumerate(self.head.value):
+            alike[ranks.tobytes()].append(i)
+        groups = [g for g in alike.values() if len(g) > 1]
+        if groups and not self.small:
+            if self.whole:
+                alike = defaultdict(list)
+                for g in groups:
+                    for i in g:
+                        alike[self.every.value[i].tobytes()].append(i)
+                groups = [g for g in alike.values() if len(g) > 1]
+            else:
+                groups = self.codes.equivalent(groups)
+        classes = {min(g): sorted(g) for g in groups}
+        later = {i for g in classes.values() for i in g[1:]}
+        return {i: classes.get(i, [i]) for i in range(len(self.columns)) if i not in later}
+
+    def close(self) -> None:
+        """Takes the ranks back from the tasks' machines."""
+        for name in ("head", "every"):
+            if name in self.__dict__:
+                self.__dict__[name].unpersist()

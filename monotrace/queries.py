@@ -176,6 +176,9 @@ def _registered() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]],
         add(f"discover_whole_{t}", lambda s, d, t=t: as_text(discover(view(s, d, t)).results), f"{tables_sql(t)} {results_sql(names)}")
         if t in VIEWS:
             add(f"discover_{t}", lambda s, d, t=t: as_text(discover(view(s, d, t), comparability=False).results), f"{tables_sql(t)} {results_sql(names, False)}")
+    # the way of tables of any size: ranks made on the cluster, a job a level
+    for t in ("lineitem", "orders_cal", "line_pricing"):
+        add(f"discover_by_codes_{t}", lambda s, d, t=t: as_text(discover(view(s, d, t), most_ranks=0).results), f"{tables_sql(t)} {results_sql(COLUMNS[t].split())}")
     for t, by, key in (("nation", ["n_regionkey"], "n_nationkey"), ("supplier", ["s_nationkey", "s_acctbal"], "s_suppkey"), ("customer", ["c_mktsegment", "c_nationkey"], "c_custkey"), ("orders", ["o_orderdate", "o_orderstatus"], "o_orderkey")):
         add(f"ordered_indices_{t}", lambda s, d, t=t, by=by, key=key: ordered_indices(view(s, d, t), by, key), f'SELECT row_number() OVER (ORDER BY {order_sql(by)}, {key}) - 1 AS position, {key} AS "index" FROM {t}')
     for t, column, key in (("nation", "n_regionkey", "n_nationkey"), ("supplier", "s_acctbal", "s_suppkey"), ("orders", "o_orderdate", "o_orderkey")):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -56,6 +57,29 @@ def delete(spark: SparkSession, path: str) -> None:
     system.delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    system, where = _of(spark, path)
+    return system.exists(where)
+
+
+def write_json(spark: SparkSession, path: str, what: dict) -> None:
+    """A small file, in place of an older one; readers see it whole or not at all."""
+    system, where = _of(spark, path)
+    new = where.suffix(".new")
+    out = system.create(new, True)
+    out.write(bytearray(json.dumps(what).encode()))
+    out.close()
+    system.delete(where, False)
+    system.rename(new, where)
+
+
+def read_json(spark: SparkSession, path: str) -> dict | None:
+    """What write_json wrote; None where nothing is."""
+    if not exists(spark, path):
+        return None
+    return json.loads("".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
+
+
 def _of(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where

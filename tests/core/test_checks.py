@@ -95,15 +95,51 @@ def as_dicts(rows, names):
 
 
 def test_tables_beyond_the_broadcast(spark):
-    df = spark.range(400).selectExpr("id AS a", "id div 10 AS b", "pmod(id * 37, 11) AS c")
+    """Ranks made on the cluster give the verdicts of ranks in memory, on lists of every length."""
+    df = spark.range(400).selectExpr("id AS a", "id div 10 AS b", "CASE WHEN id % 7 > 0 THEN concat('k', 1000 + id div 40) END AS c", "CAST(id div 5 AS double) / 3 AS d", "date_add(DATE'2020-01-01', CAST(id AS int)) AS e", "-id AS f").repartition(3)
     names = df.columns
-    cands = first_candidates(spark, range(3))
-    small = {tuple(r) for r in Checker(df, names).verdicts(cands).where("ocd").selectExpr("x[0]", "y[0]", "od_xy", "od_yx").collect()}
-    checker = Checker(df, names, most_ranks=90)
+    lists = [(list(p[:k]), list(p[k:])) for n in (2, 3, 4) for p in permutations(range(6), n) for k in range(1, n)]
+    cands = spark.createDataFrame(random.Random(3).sample(lists, 150), "x array<int>, y array<int>")
+    checker = Checker(df, names, most_ranks=0)
     assert not checker.whole
-    every = lambda c: sorted(map(str, c.verdicts(cands).collect()))
-    assert {tuple(r) for r in checker.verdicts(cands).where("ocd").selectExpr("x[0]", "y[0]", "od_xy", "od_yx").collect()} == small == {(0, 1, True, False)}
-    assert every(checker) == every(Checker(df, names)) and len(every(checker)) == 3
+    every = lambda c: sorted(str((r["x"], r["y"], r["ocd"], r["od_xy"], r["od_yx"])) for r in c.verdicts(cands).collect())
+    assert every(checker) == every(Checker(df, names))
+    asked, sorts = checker.codes.sorts[-1]
+    assert 0 < sorts < asked
+    assert checker.equivalence_classes() == Checker(df, names).equivalence_classes() == {0: [0, 4], 1: [1], 2: [2], 3: [3], 5: [5]}
+
+
+def test_ranks_on_the_cluster(spark, monkeypatch):
+    from monotrace.operators import codes
+
+    rows = [(None, "b", 1.5), (3, "a", math.nan), (3, None, -0.0), (-7, "é", 0.0), (10**15, "a", None)]
+    df = table(spark, "a long, b string, c double", rows).repartition(4)
+    for given in (codes.GIVEN_VALUES, 0):  # dictionaries given to every task, and joined by shuffle
+        monkeypatch.setattr(codes, "GIVEN_VALUES", given)
+        got = codes.Codes(df, df.columns)
+        assert got.counts == [4, 4, 4]
+        assert sorted(map(tuple, got.table.collect())) == sorted([(0, 2, 2), (2, 1, 3), (2, 0, 1), (1, 3, 1), (3, 1, 0)])
+    # lists with more values than one number holds
+    monkeypatch.setattr(codes, "WIDEST", 5)
+    told = {(tuple(r["x"]), tuple(r["y"])): (r["ocd"], r["od_xy"], r["od_yx"]) for r in got.verdicts([((0, 1), (2,)), ((0,), (1, 2)), ((2, 0), (1,)), ((0,), (1,))]).collect()}
+    small = Checker(df, df.columns)
+    expected = {(tuple(r["x"]), tuple(r["y"])): (r["ocd"], r["od_xy"], r["od_yx"]) for r in small.verdicts(spark.createDataFrame([(list(x), list(y)) for x, y in told], "x array<int>, y array<int>")).collect()}
+    assert told == expected
+    empty = codes.Codes(df.limit(0), df.columns)
+    assert [tuple(r)[2:] for r in empty.verdicts([((0,), (1,))]).collect()] == [(True, True, True)]
+    assert empty.equivalent([[0, 1, 2]]) == [[0, 1, 2]]
+
+
+def test_equal_digests_are_verified(spark, monkeypatch):
+    """Columns whose digests collide are told apart all the same."""
+    from monotrace.operators.codes import Codes
+    from pyspark.sql import functions as F
+
+    df = spark.range(50).selectExpr("id AS a", "2 * id AS b", "-id AS c", "-3 * id AS d").repartition(3)
+    codes = Codes(df, df.columns)
+    monkeypatch.setattr(F, "xxhash64", lambda *columns: F.lit(1).cast("long"))
+    first = sorted(codes.equivalent([[0, 1, 2, 3]]))
+    assert first == [[0, 1], [2, 3]]
 
 
 def test_edges(spark):

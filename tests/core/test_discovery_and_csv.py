@@ -4,7 +4,8 @@ import duckdb
 import pytest
 from monotrace import cli, discover, metrics, read_csv, result_lines, search
 from monotrace.functions.inference import inferred, type_name
-from monotrace.plans.discovery import equivalence_classes
+from monotrace.plans import discovery
+from monotrace.plans.verdicts import Checker
 from monotrace.queries import FIXTURE, ORACLES, QUERIES, TYPED_TEXTS, view
 from monotrace.sources.csv import find_delimiter, find_quote, from_texts, infer_types, lost_values, synthetic_names
 from pyspark.sql import functions as F
@@ -58,8 +59,33 @@ def test_few_columns_and_rows(spark):
     assert discover(odd).constants == ["a"]
 
 
-def test_classes():
-    assert equivalence_classes(5, [(1, 3), (3, 4)]) == {0: [0], 1: [1, 3, 4], 2: [2]}
+def test_a_search_goes_on_where_it_ended(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame(FIXTURE, "A long, B long, C long, D long, E long, F long")
+    whole, state = discover(df), str(tmp_path / "search")
+    discover(df, max_level=2, state=state)
+    asked = []
+    seen = Checker.verdicts
+    monkeypatch.setattr(Checker, "verdicts", lambda self, candidates: asked.append(1) or seen(self, candidates))
+    monkeypatch.setattr(discovery, "_reduced", lambda *a: pytest.fail("classes are looked for again"))
+    found = discover(df, state=state)
+    assert len(asked) == 1 and found.levels == whole.levels and found.counts == whole.counts == {"OD": 13, "OCD": 10}
+    text = lambda d: sorted(map(str, d.results.collect()))
+    assert text(found) == text(whole)
+    # a level whose writing did not end is written anew
+    (tmp_path / "search" / "level-3.json").unlink()
+    assert text(discover(df, state=state)) == text(whole) and len(asked) == 2
+    with pytest.raises(ValueError):
+        discover(df, ["A", "B", "C"], state=state)
+
+
+@pytest.mark.parametrize("name", ["lineitem", "orders_cal"])
+def test_ranks_on_the_cluster_find_the_same(spark, name):
+    df = view(spark, "/root/testdata/sf0.001", name)
+    if name == "orders_cal":
+        df = df.select("od", "y", "q", "ym", "d", "one")
+    by_codes, in_memory = discover(df, most_ranks=0), discover(df)
+    assert (by_codes.constants, by_codes.classes, by_codes.levels, by_codes.counts) == (in_memory.constants, in_memory.classes, in_memory.levels, in_memory.counts)
+    assert sorted(map(str, by_codes.results.collect())) == sorted(map(str, in_memory.results.collect()))
 
 
 def test_types_of_values(spark):
