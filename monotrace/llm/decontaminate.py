@@ -58,8 +58,8 @@ def overlap(part: list[str], passage: list[str]) -> float:
 class ItemIndex:
     """Postings of items in blocks, with what a search needs to bound them."""
 
-    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_words: float, longest: int, threshold: float):
-        self.threshold, self.longest = threshold, longest
+    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_words: float, threshold: float):
+        self.threshold = threshold
         self.items = [(i, *question_and_answer(t)) for i, t in items]
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         essential: set[str] = set()
@@ -174,11 +174,29 @@ class ItemIndex:
         return found
 
 
+def step_of(words: int) -> int:
+    """Half the words of the passages that are searched for an item of so many words: the next power of two, 16 at least."""
+    return max(16, 1 << (words - 1).bit_length())
+
+
+class ItemIndexes:
+    """An index for each class of items whose passages are of one length, over the same numbered words."""
+
+    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_words: float, threshold: float):
+        by_step: dict[int, list[tuple[int, str]]] = defaultdict(list)
+        for i, text in items:
+            by_step[step_of(len(words_of(text)))].append((i, text))
+        self.classes = [(step, ItemIndex(own, df, n_items, mean_words, threshold)) for step, own in sorted(by_step.items())]
+        self.terms = {w: k for k, w in enumerate(sorted({w for _, index in self.classes for w in index.terms}))}
+        #: For each class its own number of each word, -1 for words that it does not have.
+        self.own = [np.array([index.terms.get(w, -1) for w in self.terms] + [-1], np.int64) for _, index in self.classes]
+
+
 def item_indexes(items: DataFrame, threshold: float):
     """The items' indexes, one after the other; each is built from about INDEX_BYTES of text.
 
-    Word counts, mean and greatest length are those of all items, so that passages and scores are the same
-    however many indexes there are.
+    Word counts and mean length are those of all items, and the passages of an item hang on its own length alone, so that passages and
+    scores are the same however many indexes there are.
     """
     known = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item_id IS NOT NULL")
 
@@ -199,21 +217,21 @@ def item_indexes(items: DataFrame, threshold: float):
     shards = 1 + size // INDEX_BYTES
     terms = known.mapInArrow(split, "item_id long, word string, n long")
     df = terms.groupBy("word").agg(F.count("*").alias("df"))
-    n_items, mean, longest = terms.groupBy("item_id").agg(F.max("n").alias("n")).agg(F.count("*"), F.avg("n"), F.max("n")).first()
+    n_items, mean = terms.groupBy("item_id").agg(F.max("n").alias("n")).agg(F.count("*"), F.avg("n")).first()
     for shard in range(shards):
         own = known.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard)
         texts = [(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()]
         texts = [x for x in texts if words_of(x[1])]
         if texts:
             held = own.mapInArrow(split, "item_id long, word string, n long").select("word").distinct().join(df, "word")
-            yield ItemIndex(texts, {r["word"]: r["df"] for r in held.collect()}, n_items, mean or 1.0, longest or 1, threshold), shards
+            yield ItemIndexes(texts, {r["word"]: r["df"] for r in held.collect()}, n_items, mean or 1.0, threshold), shards
 
 
 def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.6, least_overlap: float = 0.5) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: each verified pair of document and item once, with its best passage.
 
-    Passages are windows of twice the longest item's words, half overlapping, so that every occurrence
-    of an item lies in one. Null and empty texts, on either side, match nothing; rows that share a doc_id
+    The passages for an item are windows of two to four times its words, half overlapping, so that every occurrence
+    of it lies in one; items of other lengths have windows of their own. Null and empty texts, on either side, match nothing; rows that share a doc_id
     are taken as one document, rows without one as a document for each text; other columns are not read;
     empty tables give no rows.
     """
@@ -245,9 +263,8 @@ def _matches(docs: DataFrame, items: DataFrame, threshold: float, least_overlap:
 
 def _searcher(shared, least_overlap: float):
     def run(batches):
-        index: ItemIndex = shared.value
-        step = max(16, index.longest)
-        get = index.terms.get
+        indexes: ItemIndexes = shared.value
+        get = indexes.terms.get
         for batch in batches:
             ids, texts = list(zip(batch.column("doc_id").to_pylist(), batch.column("lone").to_pylist(), strict=True)), batch.column("text").to_pylist()
             at = 0
@@ -262,23 +279,23 @@ def _searcher(shared, least_overlap: float):
                     held += len(own)
                     at += 1
                 n = np.array(sizes, np.int64)
-                windows = -(-n // step) + 1  # one before the first
-                base = np.cumsum(windows) - windows + 1
                 doc = np.repeat(np.arange(len(n)), n)
                 place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                term_ids = np.fromiter((get(w, -1) for own in words for w in own), np.int64, int(n.sum()))
-                window = base[doc] + place // step
-                for k in index.hopeful(term_ids, window).tolist():
-                    d = int(np.searchsorted(base - 1, k, "right")) - 1
-                    start = max(0, k - int(base[d])) * step
-                    stop = (k - int(base[d]) + 2) * step
-                    passage = words[d][start:stop]
-                    terms = sorted({t for w in passage if (t := get(w, -1)) >= 0})
-                    for item, score in index.search(terms):
-                        item_id, question, answer = index.items[item]
-                        q, a = overlap(question, passage), overlap(answer, passage)
-                        if q >= least_overlap and a >= least_overlap:
-                            rows.append((*taken[d], item_id, min(1.0, score), q, a))
+                numbers = np.fromiter((get(w, -1) for own in words for w in own), np.int64, int(n.sum()))
+                for (step, index), own_of in zip(indexes.classes, indexes.own, strict=True):
+                    windows = -(-n // step) + 1  # one before the first
+                    base = np.cumsum(windows) - windows + 1
+                    for k in index.hopeful(own_of[numbers], base[doc] + place // step).tolist():
+                        d = int(np.searchsorted(base - 1, k, "right")) - 1
+                        start = max(0, k - int(base[d])) * step
+                        stop = (k - int(base[d]) + 2) * step
+                        passage = words[d][start:stop]
+                        terms = sorted({t for w in passage if (t := index.terms.get(w, -1)) >= 0})
+                        for item, score in index.search(terms):
+                            item_id, question, answer = index.items[item]
+                            q, a = overlap(question, passage), overlap(answer, passage)
+                            if q >= least_overlap and a >= least_overlap:
+                                rows.append((*taken[d], item_id, min(1.0, score), q, a))
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "lone", "item_id", "score", "question_overlap", "answer_overlap"])

@@ -226,7 +226,9 @@ def prefix_trie(conversations: DataFrame, swap: int = 4, block: int = 20, most:
         depth += 1
         turn = rows.where(F.col("depth") == depth).select("conv_id", F.col("node").alias("key"))
         left = stored(over.where(F.col("depth") >= depth).drop("key").join(turn, "conv_id"), "left")
-    tries = [stored(groups.groupBy("key").applyInPandas(trie_sums, SUMS), "tries") for groups in built]
+    # first turns are dealt out by hash; a task builds the tries of several, of about `most` nodes in all
+    buckets = 1 + 2 * shared.count() // most
+    tries = [stored(groups.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets))).applyInPandas(trie_sums, SUMS), "tries") for groups in built]
 
     # nodes above the groups, from the deepest to the root: each has the sums of its children, which are groups' tops or such nodes
     above = None

@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, stored
 
 #: Labelled documents of each class that are fitted on at most: half make the dictionaries, half the curve.
 SAMPLE = 1500
-#: Of longer documents one piece of so many characters is fitted on, from a place that a hash of doc_id settles, which bounds what the driver reads.
-LONGEST_SAMPLE = 20_000
+#: Pieces of PIECE bytes that a dictionary is made of at most, drawn by hash from all pieces of all its texts.
+SAMPLE_PIECES = 16_384
 PIECE, LEVEL, DICTIONARY = 2048, 3, 112_640
 FOLDS = 5
 
@@ -87,24 +87,42 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[tuple[floa
     return tuple((w[:-1] / scale).tolist()), float(w[-1])
 
 
-def _dictionary(texts: list[str]) -> bytes:
+def _dictionary(pieces: list[bytes]) -> bytes:
     import zstandard
 
-    pieces = [d[k : k + PIECE] for t in texts if (d := t.encode("utf-8", "replace")) for k in range(0, len(d), PIECE)]
     try:
         return zstandard.train_dictionary(DICTIONARY, pieces, k=256, d=8, level=LEVEL).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few texts to train on: their own bytes are the dictionary
         return b"".join(pieces)[-DICTIONARY:]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST_SAMPLE) -> QualityModel:
+def _pieces(texts: DataFrame, most: int) -> list[bytes]:
+    """Of all pieces of these texts (doc_id, text, place), `most` at most, in the order of their texts."""
+
+    def run(batches):
+        for batch in batches:
+            columns = ([], [], [], [])
+            for doc_id, place, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "place", "text")), strict=True):
+                data = text.encode("utf-8", "replace")
+                for n, k in enumerate(range(0, len(data), PIECE)):
+                    for column, value in zip(columns, (doc_id, place, n, data[k : k + PIECE]), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "place", "n", "piece"])
+
+    drawn = texts.mapInArrow(run, "doc_id long, place long, n long, piece binary").orderBy(F.xxhash64("doc_id", "n"), "doc_id", "n").limit(most)
+    return [bytes(r["piece"]) for r in sorted(drawn.collect(), key=lambda r: (r["place"], r["n"]))]
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pieces: int = SAMPLE_PIECES) -> QualityModel:
     """A model of labels.quality (1 good, 0 bad) from at most `sample` documents of each class.
 
-    Which ones is settled by a hash of doc_id; of a text longer than `longest` a piece of that length
-    stands for it, so that long texts count as much as others. Labels that are null, contradict each other or are held
-    out are not used. The share of good labels is counted over all that may be used, and sets the
-    curve's offset. Without labels of one of the classes every score is 0.5 or on the side of the other.
+    Which ones is settled by a hash of doc_id. Half of them make the dictionaries, from at most `pieces` pieces drawn over the whole
+    of their texts; the others, whole, make the curve, and are compressed where they are read. Labels that are null,
+    contradict each other or are held out are not used; of rows that share a doc_id the least text is taken. The share of good labels is counted over
+    all that may be used, and sets the curve's offset. Without labels of one of the classes every score is 0.5 or
+    on the side of the other.
     """
+    spark = docs.sparkSession
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)")
     usable = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most").where(~held_out(F.col("doc_id")))
     counts = {r["quality"]: r["n"] for r in usable.groupBy("quality").agg(F.count("*").alias("n")).collect()}
@@ -112,18 +130,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int =
     # 2 * sample rows at most: a bounded broadcast
     picked = [usable.where(F.col("quality") == q).orderBy(order, "doc_id").limit(sample) for q in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))
-    begin = F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.greatest(F.length("text") - longest, F.lit(0)) + 1) + 1
-    sampled = id_and_text(docs).select("doc_id", F.substring(F.col("text"), begin.cast("int"), F.lit(longest)).alias("text"))
-    rows = sampled.join(ids, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("quality", "text", order.alias("o"), "doc_id").collect()
-    rows.sort(key=lambda r: (r["o"], r["doc_id"]))
-    texts = {q: [r["text"] for r in rows if r["quality"] == q] for q in (0, 1)}
-    if not texts[0] or not texts[1]:
+    known = stored(id_and_text(docs).join(ids, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")), "labelled")
+    listed = sorted(known.select(order.alias("o"), "doc_id", "quality").collect())
+    of = {q: [r["doc_id"] for r in listed if r["quality"] == q] for q in (0, 1)}
+    if not of[0] or not of[1]:
         good, bad = counts.get(1, 0), counts.get(0, 0)
         return QualityModel(b"", b"", (0.0,) * 4, math.log((good + 1) / (bad + 1)))
-    train = {q: t[: -(-len(t) // 2)] for q, t in texts.items()}
-    rest = {q: t[-(-len(t) // 2) :] or t for q, t in texts.items()}
-    good, bad = _dictionary(train[1]), _dictionary(train[0])
-    x = np.array([differences(good, bad, t) for q in (1, 0) for t in rest[q]])
+    train = {q: d[: -(-len(d) // 2)] for q, d in of.items()}
+    rest = {q: d[-(-len(d) // 2) :] or d for q, d in of.items()}
+    numbered = {q: spark.createDataFrame(list(enumerate(train[q])), "place long, doc_id long") for q in of}
+    good, bad = (_dictionary(_pieces(known.join(F.broadcast(numbered[q]), "doc_id").select("doc_id", "place", "text"), pieces)) for q in (1, 0))
+    shared = spark.sparkContext.broadcast((good, bad))
+
+    def described(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([list(differences(*shared.value, t)) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))], names=["doc_id", "x"])
+
+    of_doc = {r["doc_id"]: r["x"] for r in known.join(F.broadcast(spark.createDataFrame([(d,) for q in of for d in rest[q]], "doc_id long")), "doc_id").select("doc_id", "text").mapInArrow(described, "doc_id long, x array<double>").collect()}
+    x = np.array([of_doc[d] for q in (1, 0) for d in rest[q]])
     y = np.array([1.0] * len(rest[1]) + [0.0] * len(rest[0]))
     slopes, offset = logistic(x, y)
     # the sample's classes are not in the proportion of all labels
@@ -150,7 +174,7 @@ def scored(docs: DataFrame, model: QualityModel, reject_below: float = 0.3) -> D
 
 
 def accepted(docs: DataFrame, labels: DataFrame, reject_below: float = 0.3, sample: int = SAMPLE) -> DataFrame:
-    """The rows of `docs`, with all their columns, whose text scores `reject_below` or more."""
+    """The rows of `docs`, with all their columns, whose text scores `reject_below` or more; a null text is the empty text, repeated rows stay or go together, and an empty table gives an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
 
     @F.pandas_udf("double")

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, id_and_text
+from .common import cut_lineage, fresh, id_and_text
 from .components import Forest, components, thinned
 
 ARCS = 4
@@ -86,7 +86,7 @@ def wide_of(hashes: np.ndarray) -> bytes:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 5, wide: bool = False) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long) and, if asked for, wide (binary). A null or blank text has the fingerprint 0; a text of fewer words than `shingle` is one shingle."""
+    """doc_id, own (a hash of the text), fp (the fingerprint's bits as a long) and, if asked for, wide (binary). A null or blank text has the fingerprint 0; a text of fewer words than `shingle` is one shingle."""
 
     def run(batches):
         for batch in batches:
@@ -96,10 +96,10 @@ def fingerprints(docs: DataFrame, shingle: int = 5, wide: bool = False) -> DataF
                 fps.append(majority(hashes))
                 if wide:
                     more.append(wide_of(hashes))
-            columns = [batch.column("doc_id"), pa.array(np.frombuffer(b"".join(fps), "<i8"))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(more, pa.binary())] if wide else columns, names=["doc_id", "fp", "wide"][: 2 + wide])
+            columns = [batch.column("doc_id"), batch.column("own"), pa.array(np.frombuffer(b"".join(fps), "<i8"))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(more, pa.binary())] if wide else columns, names=["doc_id", "own", "fp", "wide"][: 3 + wide])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long" + ", wide binary" * wide)
+    return id_and_text(docs).withColumn("own", F.xxhash64("text")).mapInArrow(run, "doc_id long, own long, fp long" + ", wide binary" * wide)
 
 
 def budget(depth: int, most: int) -> int:
@@ -275,15 +275,27 @@ def near_groups(docs: DataFrame, shingle: int = 5, most: int = NEAR_BITS, most_w
     may repeat; other columns are not read; an empty table gives an empty one. Without `most_wide`, `most`
     bits of 64 alone decide; with it, `most` is the radius of the search in each of the four words.
     """
+    return _grouped(docs, shingle, most, most_wide).drop("own")
+
+
+def _grouped(docs: DataFrame, shingle: int, most: int, most_wide: int | None) -> DataFrame:
+    """near_groups, with the hash of each row's text."""
     known = cut_lineage(fingerprints(docs, shingle, most_wide is not None))
     key = ["fp"] if most_wide is None else ["fp", "wide"]
     vertices = cut_lineage(known.where("doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("id")))
     roots = components(thinned(near_links(vertices, most, most_wide)))
     named = vertices.join(roots, F.col("id") == F.col("vertex"), "left").select(*key, F.coalesce("root", "id").alias("component_id"))
-    return known.join(named, key, "left").select("doc_id", "fp", "component_id")
+    return known.join(named, key, "left").select("doc_id", "own", "fp", "component_id")
 
 
 def first_of_each(docs: DataFrame, shingle: int = 5, most: int = NEAR_BITS, most_wide: int | None = NEAR_WIDE_BITS) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its component, with all their columns; rows without a doc_id stay."""
-    kept = near_groups(docs, shingle, most, most_wide).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    """One row of each component, with all its columns: of those with the component's smallest doc_id, one of the text with the least hash. Rows without a doc_id stay.
+
+    So rows that share a doc_id are documents of their own: a copy of another document goes though its doc_id stays with another text, and of
+    rows with the same doc_id and text one stays. An empty table gives an empty one.
+    """
+    own = fresh(docs, "own")
+    first = _grouped(docs, shingle, most, most_wide).where("doc_id = component_id").groupBy("component_id").agg(F.min("own").alias(own))
+    keyed = docs.where("doc_id IS NOT NULL").withColumn(own, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    kept = keyed.join(first, (F.col("doc_id").cast("long") == F.col("component_id")) & (keyed[own] == first[own]), "left_semi")
+    return kept.dropDuplicates(["doc_id", own]).drop(own).unionByName(docs.where("doc_id IS NULL"))

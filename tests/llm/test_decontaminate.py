@@ -25,13 +25,16 @@ def plain_matches(docs, items, threshold=0.6, least_overlap=0.5):
         return out
 
     known = {i: weights(ws) for i, ws in words.items()}
-    step, best = max(16, *map(len, words.values())), {}
+    best = {}
     for doc, text in docs:
         own = dc.words_of(text or "")
-        for start in range(0, max(1, len(own)), step):
-            passage = own[start : start + 2 * step]
-            held = set(passage)
-            for i, w in known.items():
+        for i, w in known.items():
+            step = 16
+            while step < len(words[i]):
+                step *= 2
+            for start in range(0, max(1, len(own)), step):
+                passage = own[start : start + 2 * step]
+                held = set(passage)
                 score = sum(x for k, x in w.items() if k in held) / sum(w.values())
                 q, a = (dc.overlap(part, passage) for part in split[i])
                 if score >= threshold - 1e-9 and q >= least_overlap and a >= least_overlap:
@@ -106,3 +109,15 @@ def test_rows_without_doc_id_go_by_their_text(spark):
     docs = spark.createDataFrame([(None, held, 1), (None, "clean words only here", 2), (0, "clean as well", 3), (4, held, 4), (None, None, 5)], "doc_id long, text string, n int")
     assert sorted(r["n"] for r in dc.clean_documents(docs, items).collect()) == [2, 3, 5]
     assert sorted((r["doc_id"] or -1) for r in dc.matches(docs, items).collect()) == [-1, 4]
+
+
+def test_a_long_item_changes_nothing_for_others(spark):
+    """A question and, far from it, its answer are no match, whatever other items there are."""
+    seeded = random.Random(4)
+    say = lambda n, letter: " ".join(f"{letter}{seeded.randint(0, 400)}" for _ in range(n))
+    question, answer = "which old river crosses the amber valley before the seven stone bridges", "it is the quiet silver river of the north"
+    apart = f"{question} {say(150, 'w')} {answer} {say(60, 'w')}"
+    docs = spark.createDataFrame([(1, apart), (2, f"{say(30, 'w')} {question}? {answer} {say(30, 'w')}")], "doc_id long, text string")
+    short, long = (1, f"{question}? {answer}."), (2, f"{say(400, 'v')}. {say(12, 'v')}.")
+    pairs = lambda items: {(r["doc_id"], r["item_id"]) for r in dc.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert pairs([short]) == pairs([short, long]) == {(2, 1)}

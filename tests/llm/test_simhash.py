@@ -165,3 +165,13 @@ def test_links_within_one_dense_block(spark, monkeypatch):
 def test_equal_first_words_alone_do_not_link(spark):
     table = [(5, bytes(24), 1), (5, b"\xff" * 24, 2)]
     assert simhash.near_links(spark.createDataFrame(table, "fp long, wide binary, id long"), simhash.NEAR_BITS, simhash.NEAR_WIDE_BITS).count() == 0
+
+
+def test_rows_that_share_a_doc_id_are_documents_of_their_own(spark):
+    a, b = (" ".join(f"{x}{k * k % 97}" for k in range(80)) for x in "ab")
+    rows = [(1, b, 1), (5, a, 2), (5, b, 3), (5, a, 4), (None, b, 5), (None, b, 6), (7, b + " more", 7), (8, None, 8), (8, "", 9), (9, " ", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own long").repartition(3)
+    got = sorted(r["own"] for r in simhash.first_of_each(docs).collect())
+    # (5, b) and 7 are near copies of 1; of (5, a), and of the empty texts, one row stays
+    assert len(got) == 5 and got[0] == 1 and got[1] in (2, 4) and got[2:4] == [5, 6] and got[4] in (8, 9)
+    assert simhash.first_of_each(docs).columns == docs.columns

@@ -304,7 +304,7 @@ def test_scores_hang_on_text_alone(spark, odd, odd_rows, empty):
     assert quality.scored(odd, quality.fit(odd, labels.where("quality = 1"))).where("predicted = 1").count() == len(odd_rows)
 
 
-def plain_quality_scores(rows, labels, longest: int) -> dict:
+def plain_quality_scores(rows, labels, most: int) -> dict:
     """Scores by zstandard, a hash library and descent with step halving, with none of the module's functions."""
     import math
     import zlib
@@ -316,19 +316,18 @@ def plain_quality_scores(rows, labels, longest: int) -> dict:
         h = xxhash.xxh64_intdigest(word, xxhash.xxh64_intdigest(doc.to_bytes(8, "little", signed=True), 42))
         return h - (1 << 64) * (h >> 63)
 
-    texts = {}
-    for doc, text in rows:
-        begin = keyed(doc, b"piece") % (max(len(text) - longest, 0) + 1)
-        texts[doc] = text[begin : begin + longest]
+    texts = dict(rows)
     sides = {doc: set() for doc, _ in labels}
     for doc, good in labels:
         sides[doc].add(good)
     usable = [(doc, good) for doc, (good, *more) in sides.items() if not more and zlib.crc32(str(doc).encode()) % 5]
-    of = {q: [texts[d] for d in sorted((d for d, good in usable if good == q and d in texts), key=lambda d: (keyed(d, b"sample"), d))] for q in (0, 1)}
+    docs = {q: sorted((d for d, good in usable if good == q and d in texts), key=lambda d: (keyed(d, b"sample"), d)) for q in (0, 1)}
+    of = {q: [texts[d] for d in docs[q]] for q in docs}
     cut = {q: (len(of[q]) + 1) // 2 for q in of}
     books = {}
     for q in of:
-        pieces = [raw[k : k + 2048] for t in of[q][: cut[q]] for raw in [t.encode()] for k in range(0, len(raw), 2048)]
+        pieces = [(keyed(d, n.to_bytes(8, "little")), place, n, raw[2048 * n : 2048 * n + 2048]) for place, d in enumerate(docs[q][: cut[q]]) for raw in [texts[d].encode()] for n in range(-(-len(raw) // 2048))]
+        pieces = [p[3] for p in sorted(sorted(pieces)[:most], key=lambda p: p[1:3])]
         books[q] = zstandard.ZstdCompressionDict(zstandard.train_dictionary(112_640, pieces, k=256, d=8, level=3).as_bytes())
 
     def size(text: bytes, book) -> int:
@@ -364,11 +363,11 @@ def plain_quality_scores(rows, labels, longest: int) -> dict:
     return {doc: 1 / (1 + math.exp(-max(-30.0, min(30.0, offset + float((w[:4] / x.std(axis=0)) @ features(text)))))) for doc, text in rows}
 
 
-@pytest.mark.parametrize("longest", [20_000, 900])
-def test_quality_against_a_plain_version(small_docs, small, spark, longest):
+@pytest.mark.parametrize("most", [16_384, 40])
+def test_quality_against_a_plain_version(small_docs, small, spark, most):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    expected = plain_quality_scores(small, [(r["doc_id"], r["quality"]) for r in labels.collect()], longest)
-    got = {r["doc_id"]: r["score"] for r in quality.scored(small_docs, quality.fit(small_docs, labels, longest=longest)).collect()}
+    expected = plain_quality_scores(small, [(r["doc_id"], r["quality"]) for r in labels.collect()], most)
+    got = {r["doc_id"]: r["score"] for r in quality.scored(small_docs, quality.fit(small_docs, labels, pieces=most)).collect()}
     assert got.keys() == expected.keys()
     assert max(abs(got[d] - expected[d]) for d in got) < 1e-4
 
@@ -379,5 +378,5 @@ def test_classes_of_long_texts_alone_make_a_model(spark):
     bad = lambda: " ".join(seeded.choice(["zxq", "qqv", "wkj", "xvz", "jjk"]) for _ in range(200))
     rows = [(k, good() if k % 2 else bad()) for k in range(80)]
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, quality int")
-    scores = quality.scored(docs, quality.fit(docs, labels, longest=300)).collect()
+    scores = quality.scored(docs, quality.fit(docs, labels, pieces=30)).collect()
     assert min(r["score"] for r in scores if r["doc_id"] % 2) > max(r["score"] for r in scores if not r["doc_id"] % 2)
