@@ -43,7 +43,8 @@ def read_date(value: Column, form: DateFormat) -> Column:
     """A text in this format as date or timestamp; null where it is not one, or no such day exists."""
     fits = F.regexp_like(value, F.lit(form.pattern))
     if form.name == "iso_zoned":
-        got = F.regexp_replace(value, r"\[[^\]]*\]$", "").try_cast("timestamp")
+        # seconds may be left out, and so may the name of the zone
+        got = F.regexp_replace(F.regexp_replace(value, r"\[[^\]]*\]$", ""), r"^(.{13}:\d{2})(Z|[+-])", "$1:00$2").try_cast("timestamp")
     elif form.name == "rfc_1123":
         plain = F.regexp_replace(F.regexp_replace(value, r"^[A-Za-z]{3}, ", ""), r"GMT$", "+0000")
         plain = F.regexp_replace(plain, r" (\d{2}:\d{2}) ([+-])", " $1:00 $2")

@@ -11,22 +11,22 @@ from .functions.inference import RANKS, inferred, is_null_token, type_name
 from .functions.keys import supported_columns
 from .operators import candidates as cand
 from .operators.checks import check_equivalent, check_ocd, check_od, column_profile, constant_columns, od_violations, pair_verdicts
-from .operators.ordering import ordered_by_all, ordered_indices, sorted_column, sorted_with_positions
+from .operators.ordering import ordered_by_all, ordered_indices, sorted_column, sorted_with_positions, with_positions
 from .plans.discovery import discover, reduction
 from .search_sql import counts_sql, kind_sql, lines_sql, results_sql, search_tables
 from .sources.csv import from_texts, infer_types, lost_values, read_csv
 from .sources.results import metrics, result_lines
 from .storage import new_path
 
-# The nine rows of the end-to-end fixture, and texts of every type.
+# The nine rows of the end-to-end fixture, and what texts of every type look like.
 FIXTURE = [
     (1, 2, 1, 2, 1, 0), (1, 2, 2, 3, 2, 0), (1, 2, 3, 4, 3, 0), (2, 3, 4, 5, 4, 0), (2, 3, 6, 5, 4, 0),
     (3, 4, 5, 5, 4, 0), (3, 4, 6, 5, 4, 0), (4, 8, 7, 8, 5, 0), (5, 8, 7, 9, 6, 0),
 ]
 TYPED_TEXTS = {
-    "1.2": "double", "123.": "double", ".123": "double", "123876": "long", "9223372036854775807": "long", "000023": "long", "2019-12-27T22:15:30+02:00": "zoned",
-    "Tue, 3 Jun 2008 11:05:30 GMT": "zoned", "10 Jun 2019 08:05:30 GMT": "zoned", "2011-12-03T10:15:30": "datetime", "2011-12-03": "date", "2011-12-03+01:00": "date",
-    "01/28/1997": "date", "some string": "string", "Monday, 2011/03/12": "string", "null": "null", "": "null", "?": "null", "NULL": "null", "2011-12-03 10:15:30": "string",
+    "3.25": "double", "7.": "double", ".5": "double", "4096": "long", "9223372036854775807": "long", "000457": "long", "2021-03-04T05:06:07+01:00": "zoned",
+    "Sat, 13 Mar 2021 09:45:10 GMT": "zoned", "4 Jul 2022 18:00:00 GMT": "zoned", "2020-02-29T23:59:59": "datetime", "2020-02-29": "date", "2020-02-29+01:00": "date",
+    "11/05/2004": "date", "grey heron": "string", "Friday, 2004/11/05": "string", "null": "null", "": "null", "?": "null", "NULL": "null", "2020-02-29 23:59:59": "string",
 }
 
 MIXED = {
@@ -212,6 +212,42 @@ def _registered() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]],
         got = columns if read else [chr(ord("A") + i) for i in range(len(columns))]
         typed = ", ".join(f"{c} AS {g}" for c, g in zip(columns, got, strict=True))
         add(f"csv_{t}", lambda s, d, t=t, columns=columns, options=options, read=read: _through_csv(s, view(s, d, t).select(*columns), options, read), f"SELECT {typed} FROM {t}")
+    # dates, timestamps, null tokens, values of other formats and line feeds by way of CSV files: how the text is made, how the table is read back, and the same as SQL
+    us, iso = "date_format(o_orderdate, 'MM/dd/yyyy')", "date_format(o_orderdate, 'yyyy-MM-dd')"
+    price = "CASE o_orderkey % 7 WHEN 1 THEN '?' WHEN 2 THEN 'NULL' WHEN 3 THEN '' ELSE CAST(o_totalprice AS string) END"
+    through = {
+        "orders": (
+            "orders", ["o_orderkey AS k", f"CASE WHEN o_orderkey % 5 = 3 THEN {iso} ELSE {us} END AS day", f"{price} AS price", "o_orderpriority AS p"], {"header": True}, ["k", "day", "price", "p"],
+            "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 <> 3 THEN CAST(o_orderdate AS DATE) END AS day, CASE WHEN o_orderkey % 7 NOT IN (1, 2, 3) THEN o_totalprice END AS price, o_orderpriority AS p FROM orders",
+        ),
+        "lineitem": (
+            "lineitem", ["l_orderkey AS k", "l_linenumber AS n", "concat(date_format(l_shipdate, \"yyyy-MM-dd'T'HH:mm:ss\"), '+02:00') AS shipped", "CASE WHEN l_tax > 0.04 THEN 'none' ELSE CAST(l_tax AS string) END AS tax"], {"sep": ";"}, ["A AS k", "B AS n", "unix_seconds(C) AS shipped", "D AS tax"],
+            "SELECT l_orderkey AS k, l_linenumber AS n, CAST(epoch(l_shipdate) AS BIGINT) - 7200 AS shipped, CASE WHEN l_tax <= 0.04 THEN l_tax END AS tax FROM lineitem",
+        ),
+        "events": (
+            "events", ["event_id AS id", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\") AS ts", "date_format(ts, 'yyyy-MM-dd') AS day", "event_type AS kind"], {"header": True, "sep": "\t"}, ["id", "ts", "day", "kind"],
+            "SELECT event_id AS id, ts, CAST(ts AS DATE) AS day, event_type AS kind FROM events",
+        ),
+        "order_notes": (
+            "orders", ["o_orderkey AS k", "concat(o_orderpriority, chr(10), '\"', o_orderstatus, '\", 5\" pipe', chr(10), chr(10), 'end') AS note", "o_custkey AS c"], {"header": True, "escape": '"'}, ["k", "note", "c"],
+            "SELECT o_orderkey AS k, concat(o_orderpriority, chr(10), '\"', o_orderstatus, '\", 5\" pipe', chr(10), chr(10), 'end') AS note, o_custkey AS c FROM orders",
+        ),
+    }
+    for name, (t, made, options, back, sql_text) in through.items():
+        add(f"csv_{name}", lambda s, d, t=t, made=made, options=options, back=back: _through_csv(s, view(s, d, t).selectExpr(*made), options, {"header": "header" in options}).selectExpr(*back), sql_text)
+    # texts of every type made from a table's values
+    forms = ["CAST(o_totalprice AS {string})", "CAST(o_custkey AS {string})", "CAST(CAST(o_orderdate AS date) AS {string})", "concat(CAST(CAST(o_orderdate AS date) AS {string}), 'T08:09:10')", "concat(CAST(CAST(o_orderdate AS date) AS {string}), 'T08:09Z')", "o_orderpriority", "'?'", "concat('00', CAST(o_custkey AS {string}))", "concat(CAST(CAST(o_orderdate AS date) AS {string}), '+01:00')", "concat(CAST(o_custkey AS {string}), ' ', o_orderstatus)", "''"]
+    text = f"CASE o_orderkey % {len(forms)} " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(forms)) + " END"
+    add("value_types_orders", lambda s, d: view(s, d, "orders").selectExpr("o_orderkey AS k", f"{text.replace('{string}', 'string')} AS value").select("k", "value", type_name(inferred(F.col("value"))["rank"]).alias("kind"), is_null_token(F.col("value")).alias("is_null")), f"SELECT k, value, {kind_sql('value')} AS kind, {kind_sql('value')} = 'null' AS is_null FROM (SELECT o_orderkey AS k, {text.replace('{string}', 'VARCHAR')} AS value FROM orders) AS t")
+    # rows by their place in the files, where there is no key
+    for t in ("lineitem", "events"):
+        columns = COLUMNS[t].split()
+        shown = ", ".join(columns[:3])
+        add(f"row_positions_{t}", lambda s, d, t=t, columns=columns: with_positions(view(s, d, t)).select("position", *columns[:3]), f"SELECT row_number() OVER () - 1 AS position, {shown} FROM {t}")
+    add("sorted_indices_lineitem", lambda s, d: ordered_indices(with_positions(view(s, d, "lineitem")), ["l_shipdate", "l_returnflag"], "position"), f'SELECT row_number() OVER (ORDER BY {order_sql(["l_shipdate", "l_returnflag"])}, place) - 1 AS position, place AS "index" FROM (SELECT *, row_number() OVER () - 1 AS place FROM lineitem) AS t')
+    for t in ("orders_cal", "order_tier"):
+        add(f"result_lines_{t}", lambda s, d, t=t: result_lines(s, discover(view(s, d, t))), f"{tables_sql(t)} {lines_sql(COLUMNS[t].split())}")
+        add(f"metrics_counts_{t}", lambda s, d, t=t: metrics(s, discover(view(s, d, t))).where("metric IN ('CCs', 'OECs', 'ODs', 'OCDs')").where("value > 0 OR metric IN ('CCs', 'OECs')").select("metric", "value"), f"{tables_sql(t)} {counts_sql(COLUMNS[t].split())}")
     add("result_lines", lambda s, d: result_lines(s, discover(view(s, d, "fixture"))), f"{tables_sql('fixture')} {lines_sql(COLUMNS['fixture'].split())}")
     add("metrics_counts", lambda s, d: metrics(s, discover(view(s, d, "fixture"))).where("metric IN ('CCs', 'OECs', 'ODs', 'OCDs')").select("metric", "value"), f"{tables_sql('fixture')} {counts_sql(COLUMNS['fixture'].split())}")
     return queries, sql

@@ -8,8 +8,10 @@ from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.inference import RANKS, inferred, parsed
+from .records import lines_of, open_splits, records
 
 DELIMITERS = (",", ";", "\t", "|", ":", " ")
 _HEAD = 200
@@ -45,12 +47,6 @@ def find_quote(lines: list[str], delimiter: str) -> str:
     return max(('"', "'"), key=lambda q: sum(len(f) > 1 and f[0] == f[-1] == q for f in fields))
 
 
-def has_open_lines(lines: DataFrame, quote: str) -> bool:
-    """Whether a line ends within quotes: some value then holds a line feed. One pass that ends at the first such line."""
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit(quote), F.lit("")))
-    return not lines.where(quotes % 2 == 1).limit(1).isEmpty()
-
-
 def infer_types(rows: DataFrame, names: list[str]) -> dict[str, tuple[str, str | None]]:
     """Type and date format of each text column: the highest rank, and the format first met at that rank.
 
@@ -81,20 +77,25 @@ def read_csv(spark: SparkSession, path: str, header: bool = False, infer_rows: i
     Delimiter and quote are found from the head of the file unless given. Without a header columns are named
     A, B, ... Types come from the first `infer_rows` rows; later values that do not fit become null. Short rows
     are filled with nulls. An empty file is a ValueError. Lines end in a line feed, a carriage return or both.
-    Files whose quoted values hold line feeds are read whole, one a task, for only then is a line no row; unless
-    `multiline` says so, a pass over the lines tells.
+    Where quoted values hold line feeds, as a pass over the lines tells unless `multiline` does, rows are put together from lines
+    (`records`); such files are split as well.
     """
     if infer_rows < 1:
         raise ValueError("infer_rows must be 1 or more")
-    lines = spark.read.text(path)
+    lines = lines_of(spark, path)
     if delimiter is None or quote is None:
-        head = [r[0] for r in lines.take(_HEAD)]
+        head = [r[0] for r in lines.select("value").take(_HEAD)]
         delimiter = find_delimiter(head) if delimiter is None else delimiter
         quote = find_quote(head, delimiter) if quote is None else quote
-    multiline = has_open_lines(lines, quote) if multiline is None else multiline
-    texts = spark.read.csv(
-        path, sep=delimiter, quote=quote, escape=quote, header=header, multiLine=multiline, inferSchema=False, mode="PERMISSIVE", encoding="UTF-8", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True
-    )
+    options = {"sep": delimiter, "quote": quote, "escape": quote, "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+    inside = None
+    if multiline is not False and not lines.where(F.contains("value", F.lit(quote))).limit(1).isEmpty():
+        found, inside = open_splits(lines, delimiter, quote)
+        inside = inside if found or multiline else None
+    if inside is None:
+        texts = spark.read.csv(path, header=header, inferSchema=False, multiLine=False, encoding="UTF-8", **options)
+    else:
+        texts = _cut(records(lines, inside, delimiter, quote), header, options)
     if not texts.columns:
         raise ValueError(f"{path} holds no columns")
     if not header:
@@ -104,6 +105,19 @@ def read_csv(spark: SparkSession, path: str, header: bool = False, infer_rows: i
     return typed(texts, infer_types(first, texts.columns))
 
 
+def _cut(rows: DataFrame, header: bool, options: dict) -> DataFrame:
+    """Rows as texts cut into their fields; blank ones are none. Names, and how many columns there are, come from a file's first row."""
+    rows = rows.where(F.trim("value") != "")
+    head = rows.orderBy(F.col("first").desc()).limit(1).first()
+    if head is None:
+        return rows.select()
+    names = next(csv.reader(head["value"].split("\n"), delimiter=options["sep"], quotechar=options["quote"], skipinitialspace=True))
+    names = [n.strip() or f"_c{i}" for i, n in enumerate(names)] if header else [f"_c{i}" for i in range(len(names))]
+    schema = StructType([StructField(f"_c{i}", StringType()) for i in range(len(names))])
+    kept = rows.where(~F.col("first")) if header else rows
+    return kept.select(F.from_csv("value", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()}).alias("r")).select("r.*").toDF(*names)
+
+
 def from_texts(spark: SparkSession, columns: dict[str, list[str | None]]) -> DataFrame:
     """A typed table of columns given as texts, types inferred from all of them."""
     names = list(columns)

@@ -6,6 +6,7 @@ from itertools import combinations, permutations
 import pytest
 from monotrace import check_constant, check_equivalent, check_ocd, check_od, column_profile, constant_columns, od_violations, ordered_indices, ordered_indices_by, sorted_column, sorted_with_indices
 from monotrace.operators.checks import pair_verdicts
+from monotrace.operators.ordering import sorted_with_positions, with_positions
 from monotrace.plans.verdicts import Checker
 from monotrace.operators.candidates import expanded, first_candidates, mirrored, named
 
@@ -165,6 +166,33 @@ def test_orders(spark):
     assert [r["b"] for r in sorted_column(df, "b").collect()] == [5, 5, 8, 20, 24]
 
 
+def test_rows_with_null_and_repeated_indices(spark):
+    df = table(spark, "v string, i long", [("b", 1), ("a", 1), ("c", None), (None, 2), ("a", 1)]).repartition(3)
+    got = sorted(tuple(r) for r in sorted_with_positions(df, "v", "i").collect())
+    assert got == [(0, None, 2), (1, "a", 1), (2, "a", 1), (3, "b", 1), (4, "c", None)]
+
+
+def test_positions_of_rows_in_files(spark, tmp_path):
+    """Files of many splits, rows without a key."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    sizes, at = [1000, 0, 1, 2500], 0
+    for n, size in enumerate(sizes):
+        pq.write_table(pa.table({"v": pa.array([(k * 7919) % 50 for k in range(at, at + size)], pa.int64()), "k": pa.array(range(at, at + size), pa.int64())}), tmp_path / f"part-{n}.parquet", row_group_size=100)
+        at += size
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = with_positions(spark.read.parquet(str(tmp_path)))
+        assert spark.read.parquet(str(tmp_path)).rdd.getNumPartitions() > 4
+        assert rows.where("position = k").count() == rows.count() == sum(sizes)
+        order = [r["index"] for r in sorted(ordered_indices(rows, ["v"], "position").collect(), key=lambda r: r["position"])]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert order == sorted(range(sum(sizes)), key=lambda k: ((k * 7919) % 50, k))
+
+
 def test_candidates(spark):
     first = first_candidates(spark, [0, 1, 2])
     flat = lambda df: sorted((tuple(r["x"]), tuple(r["y"])) for r in df.collect())

@@ -1,13 +1,16 @@
+import csv
+import random
 from datetime import date, datetime
 
 import duckdb
 import pytest
 from monotrace import cli, discover, metrics, read_csv, result_lines, search
-from monotrace.functions.inference import inferred, type_name
+from monotrace.functions.inference import inferred, parsed, type_name
 from monotrace.plans import discovery
 from monotrace.plans.verdicts import Checker
 from monotrace.queries import FIXTURE, ORACLES, QUERIES, TYPED_TEXTS, view
 from monotrace.sources.csv import find_delimiter, find_quote, from_texts, infer_types, lost_values, synthetic_names
+from monotrace.sources.records import after_line, lines_of, open_splits
 from pyspark.sql import functions as F
 
 # What the nine-row fixture holds.
@@ -94,6 +97,56 @@ def test_types_of_values(spark):
     assert not wrong
 
 
+def test_times_without_seconds(spark):
+    got = spark.createDataFrame([("2021-03-04T05:06Z",), ("2021-03-04T05:06+01:00[Europe/Berlin]",), ("2021-03-04T05:06",)], "v string").select(type_name(inferred(F.col("v"))["rank"]).alias("kind"), parsed(F.col("v"), "zoned", "iso_zoned").alias("t"))
+    assert [tuple(r) for r in got.collect()] == [("zoned", datetime(2021, 3, 4, 5, 6)), ("zoned", datetime(2021, 3, 4, 4, 6)), ("datetime", None)]
+
+
+def quoted_rows():
+    seeded = random.Random(6)
+    field = lambda: "".join(seeded.choice(["a", "bc", " ", ",", "\n", '"', "\n\n", "é", "q5"]) for _ in range(seeded.randint(0, 6))).strip()
+    return [(k, field() or None, f"w{k}\nz") for k in range(3000)]
+
+
+@pytest.mark.parametrize("size", [700, 5_000, 1 << 20])
+def test_quoted_line_feeds_in_many_splits(spark, tmp_path, size):
+    """Rows cross splits; the rows are those of a reader that sees the files whole."""
+    rows = quoted_rows()
+    for n in range(2):
+        with open(tmp_path / f"{n}.csv", "w", newline="") as f:
+            out = csv.writer(f, lineterminator="\n")
+            out.writerow(["k", "v", "w"])
+            out.writerows([(k, "" if v is None else v, w) for k, v, w in rows[n::2]])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "64")
+    try:
+        df = read_csv(spark, str(tmp_path), header=True)
+        tasks = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+        got = sorted(map(tuple, df.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert tasks > (50 if size == 700 else 1)
+    assert [r[0] for r in got] == [r[0] for r in rows] and [r[2] for r in got] == [r[2] for r in rows]
+    assert all((g[1] or None) == (v if v is None or v.lower() not in ("null", "?") else None) for g, (_, v, _) in zip(got, rows, strict=True))
+
+
+@pytest.mark.parametrize(("line", "inside", "after"), [
+    ("a,b", False, False), ("a,b", True, True), ('a,"b', False, True), ('a, "b', False, True), ('5" pipe,b', False, False), ('a"b,"c', False, True), ('"a""b', False, True), ('"a""",b', False, False),
+    ('b",c', True, False), ('b",  "c', True, True), ('""', False, False), ('"', True, False), ('"a"b","c', False, True), ('x","y', True, True), ('', True, True), ('"a,""b"', False, False),
+])
+def test_state_after_a_line(line, inside, after):
+    assert after_line(line, inside, ",", '"') is after
+
+
+def test_a_stray_quote_opens_nothing(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('size,n\n5" pipe,1\n6 pipe,2\n')
+    assert [tuple(r) for r in read_csv(spark, str(tmp_path / "a.csv"), header=True).collect()] == [('5" pipe', 1), ("6 pipe", 2)]
+    found, inside = open_splits(lines_of(spark, str(tmp_path / "a.csv")), ",", '"')
+    assert not found and inside.count() == 0
+
+
 def test_columns_take_the_highest_type(spark):
     df = from_texts(spark, {"n": ["1", "x", None], "d": ["5", "2011-12-03", "01/28/1997"], "s": ["a", "?", "b"], "z": ["Tue, 3 Jun 2008 11:05:30 GMT", "Mon, 3 Jun 2008 11:05:30 GMT", None], "e": ["", "null", "?"]})
     assert [f.dataType.simpleString() for f in df.schema] == ["bigint", "date", "string", "timestamp", "string"]
@@ -123,7 +176,7 @@ def test_csv_forms(spark, tmp_path):
     assert [find_delimiter([f"a{d}b{d}c", f"1{d}2{d}3"]) for d in ",;\t|"] == [",", ";", "\t", "|"] and find_delimiter(["abc"]) == ","
 
 
-@pytest.mark.parametrize("name", ["od_check_date_year", "holds_list_to_list", "discover_order_tier", "discover_whole_customer", "csv_supplier", "lost_values_mixed", "sorted_with_indices_nation", "metrics_counts", "pair_verdicts_orders", "ordered_indices_orders", "distinct_profile_events", "equiv_classes_customer"])
+@pytest.mark.parametrize("name", ["od_check_date_year", "holds_list_to_list", "discover_order_tier", "discover_whole_customer", "csv_supplier", "csv_order_notes", "csv_events", "value_types_orders", "row_positions_lineitem", "lost_values_mixed", "sorted_with_indices_nation", "metrics_counts", "pair_verdicts_orders", "ordered_indices_orders", "distinct_profile_events", "equiv_classes_customer"])
 def test_queries_against_sql(spark, name):
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events".split():
