@@ -13,10 +13,11 @@ from .operators import candidates as cand
 from .operators.checks import check_equivalent, check_ocd, check_od, column_profile, constant_columns, od_violations, pair_verdicts
 from .operators.ordering import ordered_by_all, ordered_indices, sorted_column, sorted_with_positions, with_positions
 from .plans.discovery import discover, reduction
+from .plans.verdicts import Checker
 from .search_sql import counts_sql, kind_sql, lines_sql, results_sql, search_tables
 from .sources.csv import from_texts, infer_types, lost_values, read_csv
 from .sources.results import metrics, result_lines
-from .storage import new_path
+from .storage import cut_lineage, new_path
 
 # The nine rows of the end-to-end fixture, and what texts of every type look like.
 FIXTURE = [
@@ -168,6 +169,12 @@ def _registered() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]],
     add("level1_candidates", lambda s, d: lists(cand.first_candidates(s, range(4))), firsts)
     add("level2_candidates", lambda s, d: lists(cand.expanded(cand.first_candidates(s, range(4)), range(4), True).unionByName(cand.expanded(cand.first_candidates(s, range(4)), range(4), False)).dropDuplicates()), longer)
     add("mirrored_candidates", lambda s, d: lists(cand.mirrored(cand.first_candidates(s, range(4)))), f"SELECT y AS x, x AS y FROM ({firsts}) AS f")
+    # the candidates that a search of a table's view asks about, by name
+    t, names = "orders_cal", COLUMNS["orders_cal"].split()
+    told = lambda side: f"array_to_string(list_transform({side}, lambda k: [{', '.join(map(repr, names))}][k]), ',')"
+    add("level1_candidates_orders_cal", lambda s, d: _asked(view(s, d, "orders_cal"), 1), f"{tables_sql(t)} SELECT {told('x')} AS x, {told('y')} AS y FROM v1")
+    add("level2_candidates_orders_cal", lambda s, d: _asked(view(s, d, "orders_cal"), 2), f"{tables_sql(t)} SELECT {told('x')} AS x, {told('y')} AS y FROM c2")
+    add("mirrored_candidates_orders_cal", lambda s, d: _asked(view(s, d, "orders_cal"), 2, mirror=True), f"{tables_sql(t)} SELECT {told('y')} AS x, {told('x')} AS y FROM c2")
     add("discover_fixture", lambda s, d: as_text(discover(view(s, d, "fixture")).results), f"{tables_sql('fixture')} {results_sql(COLUMNS['fixture'].split())}")
     add("discover_fixture_all_ocds", lambda s, d: as_text(discover(view(s, d, "fixture"), comparability=False).results), f"{tables_sql('fixture')} {results_sql(COLUMNS['fixture'].split(), False)}")
     # whole tables, all columns, all levels: `discover_whole_` reports OCDs where no side orders the other, `discover_` all of them
@@ -259,6 +266,18 @@ def _through_csv(spark: SparkSession, df: DataFrame, written: dict, read: dict)
     return read_csv(spark, path, **read)
 
 
+def _asked(df: DataFrame, level: int, mirror: bool = False) -> DataFrame:
+    """x, y as texts: the candidates of the first or second level of the search over the reduced columns."""
+    columns = list(reduction(df)[1])
+    ids, checker = range(len(columns)), Checker(df, columns)
+    asked = cand.first_candidates(df.sparkSession, ids)
+    if level > 1:
+        valid = cut_lineage(checker.verdicts(asked))
+        asked = cand.expanded(valid.where("ocd AND NOT od_xy"), ids, True).unionByName(cand.expanded(valid.where("ocd AND NOT od_yx"), ids, False)).dropDuplicates()
+    sides = cand.named(cand.mirrored(asked) if mirror else asked, columns)
+    return sides.select(F.array_join("lhs", ",").alias("x"), F.array_join("rhs", ",").alias("y"))
+
+
 def _classes(spark: SparkSession, df: DataFrame) -> DataFrame:
     rows = [(r, m) for r, members in reduction(df)[1].items() for m in members[1:]]
     return spark.createDataFrame(rows, "representative string, member string")

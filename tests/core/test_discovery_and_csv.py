@@ -1,6 +1,11 @@
 import csv
+import os
 import random
+import shutil
+import subprocess
+import sys
 from datetime import date, datetime
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -46,10 +51,12 @@ def test_command_line(spark, fixture_file, tmp_path, capsys):
     session = type(spark).stop
     try:
         type(spark).stop = lambda self: None
-        cli.main(["--input", fixture_file, "--output", str(tmp_path / "out"), "--max-level", "1"])
+        cli.main(["--input", fixture_file, "--output", str(tmp_path / "out"), "--max-level", "1", "--output-to-console"])
     finally:
         type(spark).stop = session
-    assert "MetricType,Metric,Description,Value" in capsys.readouterr().out
+    printed = capsys.readouterr().out.splitlines()
+    assert "MetricType,Metric,Description,Value" in printed and {"OD: A ↦ B", "Constant columns: F"} <= set(printed)
+    assert sum(line.startswith("Result,") for line in printed) == 6 and sum(line.startswith("Timing,") for line in printed) == 5
     assert "OD: A ↦ B" in {r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()}
 
 
@@ -194,10 +201,14 @@ def test_every_query_has_sql_and_every_view_reads(spark):
         assert view(spark, "/root/testdata/sf0.001", name).limit(1).count() == 1
 
 
-def test_the_library_does_without_the_training_data_part():
-    import __spark_entry__
-
-    assert "discover_fixture" in __spark_entry__.queries() and "discover_fixture" in __spark_entry__.oracle_sql()
+def test_the_library_does_without_the_training_data_part(tmp_path):
+    """A copy of the repository without that subpackage imports, and registers all other queries."""
+    root = Path(__file__).resolve().parents[2]
+    shutil.copytree(root / "monotrace", tmp_path / "monotrace", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(n.startswith('op') for n in e.queries()))"
+    told = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True).stdout.split()
+    assert told[-3:] == [str(len(QUERIES)), str(len(ORACLES)), "False"]
 
 
 def test_whole_search_of_a_view_against_brute_force(spark, tmp_path):
