@@ -78,7 +78,7 @@ def read_csv(spark: SparkSession, path: str, header: bool = False, infer_rows: i
     A, B, ... Types come from the first `infer_rows` rows; later values that do not fit become null. Short rows
     are filled with nulls. An empty file is a ValueError. Lines end in a line feed, a carriage return or both.
     Where quoted values hold line feeds, as a pass over the lines tells unless `multiline` does, rows are put together from lines
-    (`records`); such files are split as well.
+    (`records`) and kept in the shared folder; such files are split as well.
     """
     if infer_rows < 1:
         raise ValueError("infer_rows must be 1 or more")
@@ -108,7 +108,7 @@ def read_csv(spark: SparkSession, path: str, header: bool = False, infer_rows: i
 def _cut(rows: DataFrame, header: bool, options: dict) -> DataFrame:
     """Rows as texts cut into their fields; blank ones are none. Names, and how many columns there are, come from a file's first row."""
     rows = rows.where(F.trim("value") != "")
-    head = rows.orderBy(F.col("first").desc()).limit(1).first()
+    head = rows.where("first").limit(1).first() or rows.limit(1).first()
     if head is None:
         return rows.select()
     names = next(csv.reader(head["value"].split("\n"), delimiter=options["sep"], quotechar=options["quote"], skipinitialspace=True))

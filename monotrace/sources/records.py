@@ -128,7 +128,8 @@ def records(lines: DataFrame, inside: DataFrame, delimiter: str, quote: str) ->
         if out:
             yield flushed()
 
-    parts = begun.mapInArrow(run, "value string, file string, block long, kind int, first boolean")
+    # kept in the shared folder: types, names and every later scan of the table read rows that are cut already
+    parts = stored(begun.mapInArrow(run, "value string, file string, block long, kind int, first boolean"), "csv-rows")
     # two parts a split at most: the end of a row comes before the beginning of the next
     order = Window.partitionBy("file").orderBy("block", F.col("kind") == BEGIN)
     crossing = parts.where(F.col("kind") != WHOLE).withColumn("row", F.sum(F.when(F.col("kind") == BEGIN, 1).otherwise(0)).over(order))
