@@ -10,13 +10,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.keys import checked_columns, keyed, sort_key, supported_columns
+from ..functions.keys import checked_columns, keyed, supported_columns
 from .neighbours import neighbour_counts
+from .ranges import first_violations, plain_key, signs
 from .ranks import refuted
 
+#: Bytes of a range's two border values that the driver takes at most; longer ones are compared on the cluster.
+LONGEST_BORDER = 4096
+
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """column, n_rows, n_distinct (null counts as a value; full precision), is_constant.
@@ -51,35 +58,47 @@ def check_constant(df: DataFrame, column: str) -> bool:
     return constant_columns(df, [column]).count() == 1
 
 
-def _sides(df: DataFrame, x: Sequence[str], y: Sequence[str]) -> DataFrame:
-    """Columns x0.. and y0..: the sort keys of both lists."""
-    return df.select(*(sort_key(df, n).alias(f"x{i}") for i, n in enumerate(x)), *(sort_key(df, n).alias(f"y{i}") for i, n in enumerate(y)))
-
-
 def od_violations(df: DataFrame, x: Sequence[str], y: Sequence[str]) -> DataFrame:
     """One row (splits, swaps), counted over neighbours of the distinct (X, Y) in order of X, then Y."""
     counts = neighbour_counts(df, [(checked_columns(df, x), checked_columns(df, y))])
     return counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("splits", "swaps")))
 
 
-def _holds(df: DataFrame, x: list[str], y: list[str], splits_matter: bool) -> bool:
-    """Groups of equal X in ranges of X; a range is a task, and ranges meet by one row each."""
-    xs, ys = [f"x{i}" for i in range(len(x))], [f"y{i}" for i in range(len(y))]
-    groups = _sides(df, x, y).groupBy(*xs).agg(F.min(F.struct(*ys)).alias("lo"), F.max(F.struct(*ys)).alias("hi"))
-    ranged = groups.repartitionByRange(*(F.col(c).asc_nulls_first() for c in xs)).withColumn("part", F.spark_partition_id())
-    before = Window.partitionBy("part").orderBy(*(F.col(c).asc_nulls_first() for c in xs)).rowsBetween(Window.unboundedPreceding, -1)
-    seen = ranged.select("part", "lo", "hi", F.max("hi").over(before).alias("most"))
-    bad = F.coalesce(F.col("most") > F.col("lo"), F.lit(False))
-    if splits_matter:
-        bad = bad | (F.col("lo") != F.col("hi"))
-    parts = seen.groupBy("part").agg(F.max(bad).alias("bad"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    # a row a range from here on
-    across = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.select("bad", "lo", F.max("hi").over(across).alias("most")).where(F.col("bad") | (F.col("most") > F.col("lo"))).limit(1).count() == 0
+def _holds(df: DataFrame, x: list[str], y: list[str], splits_matter: bool, longest: int = LONGEST_BORDER) -> bool:
+    """Groups of equal X in ranges of X; a range is a task, and ranges meet by one row each.
+
+    The ranges are checked in waves that grow: a limit asks for as many rows as there may be ranges, of which each gives one, and
+    one with a violation all. So ranges of later waves are never begun once one was found.
+    """
+    spark, xs, ys = df.sparkSession, [f"x{i}" for i in range(len(x))], [f"y{i}" for i in range(len(y))]
+    sides = df.select(*(plain_key(df, n).alias(c) for n, c in zip((*x, *y), (*xs, *ys), strict=True)))
+    if len(y) == 1:
+        # numbers as they are: these need no sorting where rows meet
+        least, most = F.when(F.max(F.col("y0").isNull()), F.lit(None)).otherwise(F.min("y0")), F.max("y0")
+        groups = sides.groupBy(*xs).agg(least.alias("lo0"), most.alias("hi0"))
+    else:
+        groups = sides.groupBy(*xs).agg(F.min(F.struct(*ys)).alias("lo"), F.max(F.struct(*ys)).alias("hi"))
+        groups = groups.select(*xs, *(F.col(f"{end}.y{i}").alias(f"{end}{i}") for end in ("lo", "hi") for i in range(len(y))))
+    order, borders = [F.col(c).asc_nulls_first() for c in xs], [f"{end}{i}" for end in ("lo", "hi") for i in range(len(y))]
+    ranged = groups.repartitionByRange(*order).sortWithinPartitions(*order).select(*borders)
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("bad", T.BooleanType()), T.StructField("wide", T.BooleanType()), *ranged.schema.fields])
+    ranges = max(int(spark.conf.get(f"spark.sql.{name}", "1")) for name in ("shuffle.partitions", "adaptive.coalescePartitions.initialPartitionNum"))
+    told = ranged.mapInArrow(first_violations(len(y), splits_matter, ranges, longest), schema).limit(ranges).collect()
+    if any(r["bad"] for r in told):
+        return False
+    if any(r["wide"] for r in told):
+        # long texts: ranges meet on the cluster
+        parts = ranged.mapInArrow(first_violations(len(y), splits_matter, 1, None), schema)
+        end = lambda of: F.struct(*(F.col(f"{of}{i}").alias(f"c{i}") for i in range(len(y))))
+        return parts.select(end("lo").alias("lo"), F.lag(end("hi")).over(Window.orderBy("part")).alias("before")).where("before > lo").limit(1).count() == 0
+    told.sort(key=lambda r: r["part"])
+    ends = {c: pa.array([r[c] for r in told], to_arrow_type(schema[c].dataType)) for c in borders}
+    lasts, firsts = ([ends[f"{end}{i}"] for i in range(len(y))] for end in ("hi", "lo"))
+    return len(told) < 2 or not (signs([c.slice(0, len(told) - 1) for c in lasts], [c.slice(1) for c in firsts]) > 0).any()
 
 
 def check_od(df: DataFrame, x: Sequence[str], y: Sequence[str]) -> bool:
-    """Whether X orders Y; true for tables of no or one row. A few rows may refute it; else, for any size: rows with equal X meet partly aggregated, and ranges of X are tasks."""
+    """Whether X orders Y; true for tables of no or one row. A few rows may refute it; else, for any size: rows with equal X meet partly aggregated, and ranges of X are tasks, in waves that end at the first violation."""
     x, y = checked_columns(df, x), checked_columns(df, y)
     return not refuted(df, x, y, splits_matter=True) and _holds(df, x, y, splits_matter=True)
 

@@ -1,7 +1,8 @@
 """Splits and swaps of many pairs of column lists, counted together.
 
 Each row gives one (x, y) a pair of lists, pairs of the same types meet in one shuffle, and what is left of them after
-partial deduplication is put in order by ranges. A range is a task; ranges of a pair meet by one row each.
+partial deduplication is put in order by ranges. A range is a task, which compares neighbours as it reads; ranges of a pair
+meet by one row each.
 """
 
 from __future__ import annotations
@@ -10,30 +11,25 @@ from collections import defaultdict
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
+from pyspark.sql import types as T
 
-from ..functions.keys import sort_key
+from .ranges import neighbours_counted, plain_key
 
+COUNTS = ("splits", "swaps", "back_splits")
 Lists = tuple[Sequence[str], Sequence[str]]
 
 
-def _whole_numbers_alike(df: DataFrame, name: str) -> Column:
-    """The sort key of a column; whole numbers of any width as long, which leaves fewer types apart."""
-    key = sort_key(df, name)
-    return key.cast("long") if isinstance(df.schema[name].dataType, IntegralType) else key
-
-
 def neighbour_counts(df: DataFrame, lists: Sequence[Lists]) -> DataFrame:
     """n (place in `lists`), splits, swaps, back_splits over neighbours of the distinct (x, y) in order of x, then y.
 
     A split has equal x and different y, a swap a y below the one before, a back split equal y and different x;
     the last says that y does not order x where there are no swaps. Pairs of an empty table have no row.
-    Pairs whose columns have the same types share a pass, so that keys are plain structs.
+    Pairs whose columns have the same types share a pass, so that keys are plain columns.
     """
     names = list(dict.fromkeys(c for x, y in lists for c in (*x, *y)))
-    fields = df.select(*(_whole_numbers_alike(df, c).alias(f"k{i}") for i, c in enumerate(names))).schema.fields
+    fields = df.select(*(plain_key(df, c).alias(f"k{i}") for i, c in enumerate(names))).schema.fields
     kinds = {c: f.dataType.simpleString() for c, f in zip(names, fields, strict=True)}
     alike: dict[tuple, list[int]] = defaultdict(list)
     for n, sides in enumerate(lists):
@@ -44,23 +40,20 @@ def neighbour_counts(df: DataFrame, lists: Sequence[Lists]) -> DataFrame:
 def _counts(df: DataFrame, numbered: Sequence[tuple[int, Sequence[str], Sequence[str]]]) -> DataFrame:
     """neighbour_counts of lists whose columns have the same types."""
 
-    def side(columns: Sequence[str]) -> Column:
-        return F.struct(*(_whole_numbers_alike(df, c).alias(f"c{i}") for i, c in enumerate(columns)))
-
-    each = [F.struct(F.lit(n).alias("n"), side(x).alias("x"), side(y).alias("y")) for n, x, y in numbered]
+    xs, ys = ([f"{side}{i}" for i in range(len(lists))] for side, lists in zip("xy", numbered[0][1:], strict=True))
+    each = [F.struct(F.lit(n).alias("n"), *(plain_key(df, c).alias(name) for c, name in zip((*x, *y), (*xs, *ys), strict=True))) for n, x, y in numbered]
     pairs = df.select(F.inline(F.array(*each))).distinct()
-    ranged = pairs.repartitionByRange("n", "x", "y").withColumn("part", F.spark_partition_id())
-    order = Window.partitionBy("n", "part").orderBy("x", "y")
-    near = ranged.select("n", "part", "x", "y", F.lag("x").over(order).alias("px"), F.lag("y").over(order).alias("py"))
-
-    def count(px: str, py: str, x: str, y: str) -> list[Column]:
-        px, py, x, y = map(F.col, (px, py, x, y))
-        tests = {"splits": (px == x) & (py != y), "swaps": py > y, "back_splits": (py == y) & (px != x)}
-        return [F.coalesce(F.sum(test.cast("long")), F.lit(0)).alias(name) for name, test in tests.items()]
-
-    inner = near.groupBy("n", "part").agg(*count("px", "py", "x", "y"), F.min(F.struct("x", "y")).alias("first"), F.max(F.struct("x", "y")).alias("last"))
-    # a row a range from here on
-    before = F.lag("last").over(Window.partitionBy("n").orderBy("part"))
-    borders = inner.select("n", F.struct("splits", "swaps", "back_splits").alias("own"), "first", before.alias("before"))
-    across = borders.groupBy("n").agg(F.sum("own.splits").alias("own_splits"), F.sum("own.swaps").alias("own_swaps"), F.sum("own.back_splits").alias("own_back_splits"), *count("before.x", "before.y", "first.x", "first.y"))
-    return across.select("n", *((F.col(f"own_{c}") + F.col(c)).alias(c) for c in ("splits", "swaps", "back_splits")))
+    order = ["n", *xs, *ys]
+    ranged = pairs.repartitionByRange(*order).sortWithinPartitions(*order)
+    fields = [pairs.schema[c] for c in (*xs, *ys)]
+    borders = [T.StructField(f"{of}{i}", f.dataType) for of in ("f", "l") for i, f in enumerate(fields)]
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("n", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in COUNTS), *borders])
+    inner = ranged.mapInArrow(neighbours_counted(len(xs), len(ys)), schema)
+    # a row a range and pair of lists from here on
+    side = lambda of, at: F.struct(*(F.col(f"{of}{i}").alias(f"c{i - at.start}") for i in at))
+    at_x, at_y = range(len(xs)), range(len(xs), len(fields))
+    before = F.lag(F.struct(side("l", at_x).alias("x"), side("l", at_y).alias("y"))).over(Window.partitionBy("n").orderBy("part"))
+    met = inner.select("n", *COUNTS, side("f", at_x).alias("x"), side("f", at_y).alias("y"), before.alias("before"))
+    x, y, px, py = map(F.col, ("x", "y", "before.x", "before.y"))
+    tests = {"splits": (px == x) & (py != y), "swaps": py > y, "back_splits": (py == y) & (px != x)}
+    return met.groupBy("n").agg(*(F.sum(F.col(c) + F.coalesce(tests[c], F.lit(False)).cast("long")).alias(c) for c in COUNTS))

@@ -1,11 +1,12 @@
 import math
 import random
-from datetime import datetime
+from datetime import date, datetime
+from decimal import Decimal
 from itertools import combinations, permutations
 
 import pytest
 from monotrace import check_constant, check_equivalent, check_ocd, check_od, column_profile, constant_columns, od_violations, ordered_indices, ordered_indices_by, sorted_column, sorted_with_indices
-from monotrace.operators.checks import pair_verdicts
+from monotrace.operators.checks import _holds, pair_verdicts
 from monotrace.operators.ordering import sorted_with_positions, with_positions
 from monotrace.plans.verdicts import Checker
 from monotrace.operators.candidates import expanded, first_candidates, mirrored, named
@@ -200,3 +201,49 @@ def test_candidates(spark):
     assert flat(expanded(first, [0, 1, 2], left=True)) == [((0, 1), (2,)), ((0, 2), (1,)), ((1, 0), (2,))]
     assert flat(mirrored(first)) == [((1,), (0,)), ((2,), (0,)), ((2,), (1,))]
     assert named(first.limit(1), ["A", "B", "C"]).first().asDict() == {"lhs": ["A"], "rhs": ["B"]}
+
+
+def test_checks_end_at_the_first_violation(spark):
+    """A violation that a sample misses: later ranges are not begun."""
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = {}
+        # the first rows, which are the sample, order well; the violation is in the first range, or nowhere, or only where two ranges meet
+        rows = spark.range(0, 200_000, numPartitions=8).selectExpr("id + 1000 AS a", "(id + 1000) * 2 AS b")
+        for name, more, holds in (("none", [], True), ("early", [(5, 9), (6, 8)], False), ("split", [(5, 9), (5, 10)], False)):
+            df = rows.unionByName(spark.createDataFrame(more, "a long, b long")) if more else rows
+            sc.setJobGroup(name, name)
+            assert check_od(df, ["a"], ["b"]) == holds
+            jobs = [j for g in tracker.getJobIdsForGroup(name) if (j := tracker.getJobInfo(g))]
+            # the last stage of each job is its own, earlier ones make what it reads
+            tasks[name] = sum(s.numCompletedTasks for j in jobs if (s := tracker.getStageInfo(max(j.stageIds))))
+        assert tasks["early"] < tasks["none"] - 30 and tasks["split"] < tasks["none"] - 30
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("longest", [4096, 0])
+def test_ranges_that_meet(spark, longest):
+    """Every kind of value, by many small ranges, borders compared by the driver and on the cluster, against the definition."""
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        rng = random.Random(3)
+        schema = "a double, b string, c timestamp, d boolean, e decimal(9,2), f date, g long"
+        for turn in range(3):
+            rows = []
+            for i in range(12):
+                v = rng.choice([None, i, i, i]) if turn % 2 else i
+                rows.append({
+                    "a": float("nan") if i > 9 and v is not None else v if v is None else float(v), "b": None if v is None else chr(200 + 9 * v) * rng.choice([1, 1, 2]), "c": None if v is None else datetime(2020, 1, 1, 0, 0, v // 2, i),
+                    "d": None if v is None else v > rng.choice([4, 5, 6]), "e": None if v is None else Decimal(v // 3), "f": None if v is None else date(1969, 12, 20 + v), "g": rng.choice([i, i, 3]),
+                })
+            df = spark.createDataFrame([tuple(r.values()) for r in rows], schema)
+            plain = [{k: v if not isinstance(v, date) or isinstance(v, datetime) else v.toordinal() for k, v in r.items()} for r in rows]
+            for x, y in rng.sample([*permutations([[c] for c in "abcdefg"], 2), (["a", "b"], ["f", "c"]), (["f"], ["d", "e"])], 4):
+                assert _holds(df, x, y, True, longest) == orders(plain, x, y), (x, y, rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
