@@ -247,3 +247,18 @@ def test_ranges_that_meet(spark, longest):
                 assert _holds(df, x, y, True, longest) == orders(plain, x, y), (x, y, rows)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_profile_reads_once_a_kind(spark):
+    """Every kind of value side by side: values are counted within their own column, at full precision, and the table is scanned once a kind."""
+    rows = [(1, 1.0, "1", True, Decimal("1.00"), Decimal("1.000"), date(1970, 1, 2), datetime(2020, 1, 1, 0, 0, 0, 1), None), (1, -0.0, "", False, Decimal("1.00"), None, date(1970, 1, 2), datetime(2020, 1, 1, 0, 0, 0, 2), None),
+            (None, 0.0, None, None, Decimal("2.00"), None, None, datetime(2020, 1, 1, 0, 0, 0, 2), None), (None, float("nan"), "1", None, None, None, None, None, None)]
+    df = table(spark, "a int, b double, c string, d boolean, e decimal(9,2), f decimal(9,3), g date, h timestamp, i void", rows).selectExpr("*", "a AS `a.b`")
+    expected = {"a": 2, "b": 3, "c": 3, "d": 3, "e": 3, "f": 2, "g": 2, "h": 3, "i": 1, "a.b": 2}
+    got = column_profile(df)
+    assert {r["column"]: r["n_distinct"] for r in got.collect()} == expected and {r["n_rows"] for r in got.collect()} == {4}
+    assert {r["column"] for r in got.where("is_constant").collect()} == {"i"}
+    assert {(r["n_rows"], r["n_distinct"], r["is_constant"]) for r in column_profile(df.limit(0).drop("i")).collect()} == {(0, 0, False)}
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    # whole numbers with dates, broken ones, texts
+    assert column_profile(lines)._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 3
