@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from functools import reduce
 from math import prod
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -74,6 +75,24 @@ class Codes:
         #: (candidates, lists whose values were put in order) of each call of `verdicts`.
         self.sorts: list[tuple[int, int]] = []
 
+    def close_rows(self, most: int) -> np.ndarray:
+        """Ranks of at most `most` rows, one line a column: for each column some that stand close together in its order.
+
+        What rows far apart do not show, they may: a violation among them is one of the table. Columns of few values have no such rows.
+        """
+        each = max(1, most // max(1, len(self.columns)))
+        rows, parts = self.table.count(), []
+        for i, n in enumerate(self.counts):
+            width = each * n // max(1, rows)
+            if width >= 2:
+                # another stretch for each column, so that they are not all at the begin
+                begin = int((n - width) * ((i + 1) * 0.618034 % 1))
+                parts.append(self.table.where(F.col(f"r{i}").between(begin, begin + width - 1)).limit(each))
+        if not parts:
+            return np.zeros((len(self.columns), 0), np.int32)
+        found = reduce(DataFrame.unionByName, parts).toArrow()
+        return np.array([np.unique(found.column(f"r{i}").to_numpy(), return_inverse=True)[1] for i in range(len(self.columns))], np.int32)
+
     def equivalent(self, groups: Sequence[Sequence[int]]) -> list[list[int]]:
         """Of each group of columns, the classes whose ranks are the same in every row; classes of two or more.
 

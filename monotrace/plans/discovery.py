@@ -90,7 +90,7 @@ def search(df: DataFrame, columns: Sequence[str], comparability: bool = True, ma
         return spark.createDataFrame([], RESULT_SCHEMA)
     checker = Checker(df, names, most_ranks)
     found = _search(checker, range(len(names)), comparability, max_level, [] if levels is None else levels, {}, new_path(spark, "search"))
-    checker.close()
+    checker.release()
     return found
 
 
@@ -98,7 +98,7 @@ def reduction(df: DataFrame, columns: Sequence[str] | None = None, most_ranks: i
     """Constant columns, and the others by classes of equivalent ones: the class's first column -> all members."""
     constants, classes, checker = _reduced(df, columns, most_ranks)
     if checker is not None:
-        checker.close()
+        checker.release()
     return constants, classes
 
 
@@ -146,7 +146,7 @@ def discover(df: DataFrame, columns: Sequence[str] | None = None, comparability:
         ids = [checker.columns.index(n) for n in reduced]
         results = _search(checker, ids, comparability, max_level, levels, counts, new_path(spark, "search") if state is None else state)
     if checker is not None:
-        checker.close()
+        checker.release()
     timings = {"START": began, "PRUNING_START": began, "PRUNING_END": pruned, "RECEIVED_REDUCED_COLUMNS": pruned, "END": time.time()}
     return Discovery(constants, classes, reduced, results, levels, timings, counts)
 

@@ -3,8 +3,9 @@
 A bounded sample refutes most candidates: its violations are violations of the whole. What it leaves is
 checked over all rows. Where these are few enough, in rows and in bytes measured before anything is
 collected, they are encoded once, each column as dense ranks, and given to every task; the candidates
-are the rows that Spark deals out. Larger tables are encoded on the cluster, and all candidates of a
-level are checked in one job over the stored ranks.
+are the rows that Spark deals out. Larger tables are encoded on the cluster; rows that stand close together
+in the order of a column then refute what distant ones did not, and all other candidates of a level are
+checked in one job over the stored ranks.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ class Checker:
         self.rows, size = df.agg(F.count("*"), F.coalesce(F.sum(row_bytes(df, self.columns)), F.lit(0))).first()
         self.whole = self.rows * max(1, len(self.columns)) <= most_ranks and size <= MOST_BYTES
         self.small = self.whole and self.rows <= SAMPLE_ROWS
+        #: (candidates, left by the sample, left by close rows) of each call of `verdicts` on a table beyond the bound.
+        self.left: list[tuple[int, int, int]] = []
         self.head = self.spark.sparkContext.broadcast(encode(df if self.small else sampled(df, self.columns, self.rows), self.columns))
 
     @cached_property
@@ -55,6 +58,11 @@ class Checker:
     def codes(self) -> Codes:
         return Codes(self.df, self.columns)
 
+    @cached_property
+    def close(self):
+        """Rows that stand close together in the order of a column, of a table whose ranks are on the cluster."""
+        return self.spark.sparkContext.broadcast(self.codes.close_rows(SAMPLE_ROWS))
+
     def verdicts(self, candidates: DataFrame) -> DataFrame:
         tasks = self.spark.sparkContext.defaultParallelism
         first = with_verdicts(candidates.repartition(tasks), self.head)
@@ -64,7 +72,12 @@ class Checker:
         refuted, left = first.where("NOT ocd"), first.where("ocd").select("x", "y")
         if self.whole:
             return refuted if left.isEmpty() else refuted.unionByName(with_verdicts(left.repartition(tasks), self.every))
+        asked, first_left = first.count(), left.count()
+        if first_left and self.close.value.shape[1]:
+            again = cut_lineage(with_verdicts(left.repartition(tasks), self.close))
+            refuted, left = refuted.unionByName(again.where("NOT ocd")), again.where("ocd").select("x", "y")
         pairs = [(tuple(r["x"]), tuple(r["y"])) for r in left.collect()]  # column numbers alone: the plan is made from them
+        self.left.append((asked, first_left, len(pairs)))
         return refuted.unionByName(self.codes.verdicts(pairs)) if pairs else refuted
 
     def equivalence_classes(self) -> dict[int, list[int]]:
@@ -89,8 +102,8 @@ class Checker:
         later = {i for g in classes.values() for i in g[1:]}
         return {i: classes.get(i, [i]) for i in range(len(self.columns)) if i not in later}
 
-    def close(self) -> None:
+    def release(self) -> None:
         """Takes the ranks back from the tasks' machines."""
-        for name in ("head", "every"):
+        for name in ("head", "every", "close"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()

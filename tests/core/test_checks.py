@@ -260,5 +260,22 @@ def test_profile_reads_once_a_kind(spark):
     assert {r["column"] for r in got.where("is_constant").collect()} == {"i"}
     assert {(r["n_rows"], r["n_distinct"], r["is_constant"]) for r in column_profile(df.limit(0).drop("i")).collect()} == {(0, 0, False)}
     lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
-    # whole numbers with dates, broken ones, texts
-    assert column_profile(lines)._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 3
+    # eleven columns: whole numbers, broken ones, texts, times without a zone
+    assert column_profile(lines)._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 4
+
+
+def test_close_rows_refute(spark, monkeypatch):
+    """Neighbours that stand the wrong way round everywhere, which a sample of distant rows does not show, are found among rows close in order, before any check over all rows."""
+    from monotrace.operators import ranks
+    from monotrace.plans import verdicts
+
+    monkeypatch.setattr(ranks, "SAMPLE_ROWS", 40)
+    monkeypatch.setattr(verdicts, "SAMPLE_ROWS", 40)
+    df = spark.range(20_000).selectExpr("id AS a", "id + 2 * (id % 2) AS b", "cast(id AS double) AS c", "id div 5000 AS d", "cast(null AS int) AS e")
+    checker = Checker(df, df.columns, most_ranks=0)
+    got = {(*r["x"], *r["y"]): (r["ocd"], r["od_xy"], r["od_yx"]) for r in checker.verdicts(first_candidates(spark, range(5))).collect()}
+    assert got[0, 1] == got[1, 2] == (False, False, False) and got[0, 2] == (True, True, True) and got[0, 3] == (True, True, False)
+    # a and b, b and c: left by the sample, refuted by close rows
+    asked, by_sample, by_close = checker.left[0]
+    assert asked == 10 and by_close <= by_sample - 2 and checker.codes.sorts[0][0] == by_close
+    assert Checker(df.limit(0), df.columns, most_ranks=0).verdicts(first_candidates(spark, range(5))).where("ocd").count() == 10
