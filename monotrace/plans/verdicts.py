@@ -26,13 +26,22 @@ from ..storage import cut_lineage
 MOST_RANKS, MOST_BYTES = 16_000_000, 128 << 20
 
 
-def with_verdicts(candidates: DataFrame, shared) -> DataFrame:
-    """The candidates with ocd, od_xy, od_yx, by ranks that a broadcast variable holds."""
+def with_verdicts(candidates: DataFrame, *shared) -> DataFrame:
+    """The candidates with ocd, od_xy, od_yx, by ranks that broadcast variables hold; what one of them refutes is not asked of the next."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranked = Ranked(shared.value)
+        ranked = [Ranked(s.value) for s in shared]
+
+        def verdict(x: tuple[int, ...], y: tuple[int, ...]) -> tuple[bool, bool, bool]:
+            every = True, True, True
+            for r in ranked:
+                every = tuple(a and b for a, b in zip(every, r.verdict(x, y), strict=True))
+                if not every[0]:
+                    break
+            return every
+
         for batch in batches:
-            rows = [(list(x), list(y), *ranked.verdict(tuple(x), tuple(y))) for x, y in zip(batch["x"], batch["y"], strict=True)]
+            rows = [(list(x), list(y), *verdict(tuple(x), tuple(y))) for x, y in zip(batch["x"], batch["y"], strict=True)]
             yield pd.DataFrame(rows, columns=["x", "y", "ocd", "od_xy", "od_yx"])
 
     return candidates.mapInPandas(run, VERDICT_SCHEMA)
@@ -46,7 +55,7 @@ class Checker:
         self.rows, size = df.agg(F.count("*"), F.coalesce(F.sum(row_bytes(df, self.columns)), F.lit(0))).first()
         self.whole = self.rows * max(1, len(self.columns)) <= most_ranks and size <= MOST_BYTES
         self.small = self.whole and self.rows <= SAMPLE_ROWS
-        #: (candidates, left by the sample, left by close rows) of each call of `verdicts` on a table beyond the bound.
+        #: (candidates, left by the sample, left by close rows too) of each call of `verdicts` on a table beyond the bound; once close rows are known, both are asked at once.
         self.left: list[tuple[int, int, int]] = []
         self.head = self.spark.sparkContext.broadcast(encode(df if self.small else sampled(df, self.columns, self.rows), self.columns))
 
@@ -65,15 +74,16 @@ class Checker:
 
     def verdicts(self, candidates: DataFrame) -> DataFrame:
         tasks = self.spark.sparkContext.defaultParallelism
-        first = with_verdicts(candidates.repartition(tasks), self.head)
+        known = "close" in self.__dict__
+        first = with_verdicts(candidates.repartition(tasks), self.head, *([self.close] if known else []))
         if self.small:
             return first
         first = cut_lineage(first)
         refuted, left = first.where("NOT ocd"), first.where("ocd").select("x", "y")
         if self.whole:
             return refuted if left.isEmpty() else refuted.unionByName(with_verdicts(left.repartition(tasks), self.every))
-        asked, first_left = first.count(), left.count()
-        if first_left and self.close.value.shape[1]:
+        asked, first_left = first.agg(F.count("*"), F.count_if("ocd")).first()
+        if first_left and not known and self.close.value.shape[1]:
             again = cut_lineage(with_verdicts(left.repartition(tasks), self.close))
             refuted, left = refuted.unionByName(again.where("NOT ocd")), again.where("ocd").select("x", "y")
         pairs = [(tuple(r["x"]), tuple(r["y"])) for r in left.collect()]  # column numbers alone: the plan is made from them
