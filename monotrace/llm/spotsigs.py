@@ -111,43 +111,102 @@ def frequent_signatures(sets: DataFrame) -> list[int]:
     return [r["item"] for r in sorted(found or [], key=lambda r: (r["count"], r["item"])) if r["count"] > 1]
 
 
-def near_groups(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+#: Most Jaccard distance to its representative at which a set is put beside it, and how many signatures at either end name the sets that may be.
+RADIUS, ENDS = 0.02, 3
+
+
+def gathered(sets: DataFrame, radius: float = RADIUS) -> DataFrame:
+    """id, rep, apart: for sets that lie within `radius` of a representative, in Jaccard distance; a representative is not listed under itself.
+
+    Sets whose lowest ENDS signatures are the same, then those left whose highest are, are held against one of them: a row a set in
+    each round, however many there are. A set that finds no representative stays alone, which costs time only.
+    """
+    # a set of fewer signatures than 1 / radius has no other set so near
+    left = sets.where(F.size("sigs") >= max(1 / radius, ENDS)).select("id", "sigs", F.lit(False).alias("head"))
+    placed = sets.sparkSession.createDataFrame([], "id long, rep long, apart double")
+    for key in (F.slice("sigs", 1, ENDS), F.slice("sigs", -ENDS, ENDS)):
+        keyed = left.select("id", "head", key.alias("ends"))
+        one = keyed.groupBy("ends").agg(F.min(F.struct(~F.col("head"), "id"))["id"].alias("rep"), F.count("*").alias("n")).where("n > 1").select("ends", "rep")
+        others = keyed.where("NOT head").join(one, "ends").where("id <> rep").select("id", "rep")
+        of_rep = left.select(F.col("id").alias("rep"), F.col("sigs").alias("rep_sigs")).join(one.select("rep"), "rep", "left_semi")
+        apart = 1 - likeness(F.col("sigs"), F.col("rep_sigs"))
+        near = others.join(left.select("id", "sigs"), "id").join(of_rep, "rep").select("id", "rep", apart.alias("apart")).where(F.col("apart") <= radius)
+        placed = placed.unionByName(stored(near, "spot-gathered"))
+        heads = placed.select(F.col("rep").alias("id")).distinct().withColumn("is_head", F.lit(True))
+        left = left.join(placed.select("id"), "id", "left_anti").join(heads, "id", "left").select("id", "sigs", F.coalesce("is_head", F.lit(False)).alias("head"))
+    return placed
+
+
+def near_groups(docs: DataFrame, threshold: float = 0.8, radius: float = RADIUS) -> DataFrame:
     """doc_id, class_id, n_links: a row for each row of `docs`.
 
     n_links counts the other rows whose set has a likeness of `threshold` or more, copies included;
     class_id is the smallest doc_id that such links reach, the row's own included. Rows without a doc_id
     take the class and links of their set, or null and 0 where no numbered row has that set; they connect no
-    others and are not counted. A null text is the empty text; an empty table gives an empty one.
-
-    Equal sets are one vertex, and distinct sets meet by their leading signatures: of a set's n in a fixed
-    order, the first n - ceil(threshold * n) + 1 must hold one that the other's leading ones hold too.
+    others and are not counted. Rows that share a doc_id are rows of their own. A null text is the empty text;
+    an empty table gives an empty one. Other columns are not read.
+
+    Equal sets are one vertex. Sets within `radius` of one representative are near one another, for Jaccard distance
+    keeps to the triangle inequality, so that they are counted and not paired; representatives and sets of their own then meet by
+    their leading signatures: of a set's n in a fixed
+    order, the first n - ceil(t * n) + 1 must hold one that the other's leading ones hold too, where t is
+    `threshold`, lowered by both radii where a representative stands for others.
     Frequent signatures stand last in that order, so that a passage of many documents leads few sets.
     Only sets of the same or the next length class meet, and of these only such whose sizes and whose
     places of the common signature leave room for the likeness; the sets themselves are compared last.
-    Any order is exact, so frequent signatures may be counted approximately. Only pairs of distinct sets
-    are made, and links to copies are sums.
+    Where the distance of two representatives and the radii tell that all of their sets are near, links are sums; only
+    where they leave it open are the sets compared one by one. Any order and any choice of representatives is exact, so
+    frequent signatures may be counted approximately. Links to copies are sums.
     """
+    slack, radius = 1e-9, min(radius, threshold / 4, (1 - threshold) / 4)
     signed = with_signatures(id_and_text(docs), "text", "sigs")
     known = stored(signed.select("doc_id", F.md5(fingerprint(F.col("sigs"))).alias("key"), "sigs"), "spots")
-    sets = stored(known.where("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("sigs").alias("sigs")), "spot-sets")
-    frequent = F.lit(frequent_signatures(sets)).cast("array<bigint>")
+    sets = stored(known.where("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.first("sigs").alias("sigs")).withColumn("id", F.monotonically_increasing_id()), "spot-sets")
+    placed = gathered(sets, radius)
+    member = sets.select("key", "id", "low", "copies").join(placed, "id", "left").select("key", "id", "low", "copies", F.coalesce("rep", "id").alias("rep"), F.coalesce("apart", F.lit(0.0)).alias("apart"))
+    member = stored(member, "spot-members")
+    cores = stored(member.groupBy("rep").agg(F.sum("copies").alias("weight"), F.max("apart").alias("radius"), F.min("low").alias("low")), "spot-cores")
+    heads = stored(sets.select("id", "sigs").join(cores, F.col("id") == F.col("rep")).drop("rep", "low"), "spot-heads")
+
+    # representatives and sets of their own that may hold near sets
+    lowest = threshold - 2 * radius
+    frequent = F.lit(frequent_signatures(heads)).cast("array<bigint>")
     n = F.size("sigs")
     ordered = F.concat(F.array_except("sigs", frequent), F.array_intersect(frequent, F.col("sigs")))
-    leading = F.slice(ordered, 1, (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))
-    lead = sets.select("id", n.alias("n"), length_class(F.col("sigs"), threshold).alias("class"), F.posexplode(leading).alias("at", "sig"))
-    left = lead.select(*(F.col(c).alias(f"{c}_a") for c in ("id", "n", "class", "at")), "sig", F.explode(F.array("class", F.col("class") + 1)).alias("class"))
-    met = left.join(lead, ["sig", "class"]).where("class_a < class OR id_a < id")
+    first = lambda t: (n - F.ceil(t * n - slack) + 1).cast("int")
+    lead = heads.select("id", n.alias("n"), "radius", length_class(F.col("sigs"), lowest).alias("class"), first(F.lit(threshold)).alias("led"), F.posexplode(F.slice(ordered, 1, first(F.lit(lowest)))).alias("at", "sig"))
+    # beyond its leading signatures at the threshold itself, a set of its own meets such that stand for others only
+    lead = lead.withColumn("wide", F.col("at") >= F.col("led"))
+    left = lead.select(*(F.col(c).alias(f"{c}_a") for c in ("id", "n", "class", "at", "radius", "wide")), "sig", F.explode(F.array("class", F.col("class") + 1)).alias("class"))
+    met = left.join(lead, ["sig", "class"]).where("class_a < class OR id_a < id").where("radius_a + radius > 0 OR NOT (wide_a OR wide)")
     # what the two can share at most, from the common signature on
     reach = F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at"))
-    room = (F.least("n_a", "n") >= threshold * F.greatest("n_a", "n") - 1e-9) & (reach * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n")) - 1e-9)
+    least_like = F.lit(threshold) - F.col("radius_a") - F.col("radius")
+    room = (F.least("n_a", "n") >= least_like * F.greatest("n_a", "n") - slack) & (reach * (1 + least_like) >= least_like * (F.col("n_a") + F.col("n")) - slack)
     pairs = met.where(room).select(F.least("id_a", "id").alias("a"), F.greatest("id_a", "id").alias("b")).distinct()
-    side = lambda name: sets.select(F.col("id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("sigs", "copies")))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(likeness(F.col("sigs_a"), F.col("sigs_b")) >= threshold)
-    near = stored(near.select("a", "b", "copies_a", "copies_b"), "spot-links")
-    links = near.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("copies_b").alias("n")), F.struct(F.col("b").alias("id"), F.col("copies_a").alias("n")))).alias("x")).select("x.*")
-    links = links.groupBy("id").agg(F.sum("n").alias("others"))
-    named = sets.select("key", "id", "copies").join(links, "id", "left").join(components(near), F.col("id") == F.col("vertex"), "left")
-    named = named.select("key", F.coalesce("root", "id").alias("class_id"), (F.col("copies") + F.coalesce("others", F.lit(0))).alias("reached"))
+    side = lambda name: heads.select(F.col("id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("sigs", "weight", "radius")))
+    alone, both_radii, far = F.expr("radius_a + radius_b = 0"), F.col("radius_a") + F.col("radius_b"), F.lit(1 - threshold)
+    like = likeness(F.col("sigs_a"), F.col("sigs_b"))
+    close = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("like", like).where(F.col("like") >= F.lit(threshold) - both_radii - F.when(alone, 0.0).otherwise(slack))
+    close = stored(close.select("a", "b", "weight_a", "weight_b", "like", (alone | (1 - F.col("like") + both_radii <= far - slack)).alias("sure")), "spot-links")
+
+    # where that is open, sets of the two sides: near by their own distances, or compared
+    part = lambda name: member.select(F.col("rep").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("id", "copies", "apart")))
+    open_pairs = close.where("NOT sure").select("a", "b", "like").join(part("a"), "a").join(part("b"), "b")
+    between, own_radii = 1 - F.col("like"), F.col("apart_a") + F.col("apart_b")
+    open_pairs = open_pairs.where(between - own_radii <= far + slack).withColumn("sure", between + own_radii <= far - slack)
+    open_pairs = stored(open_pairs.select("a", "b", "id_a", "id_b", "copies_a", "copies_b", "sure"), "spot-open")
+    sigs = lambda name: sets.select(F.col("id").alias(f"id_{name}"), F.col("sigs").alias(f"sigs_{name}"))
+    compared = open_pairs.where("NOT sure").join(sigs("a"), "id_a").join(sigs("b"), "id_b").where(like >= threshold).drop("sigs_a", "sigs_b")
+    singly = stored(open_pairs.where("sure").unionByName(compared), "spot-single-links")
+
+    both_ways = lambda df, a, b, n_a, n_b: df.select(F.explode(F.array(F.struct(F.col(a).alias("at"), F.col(n_b).alias("n")), F.struct(F.col(b).alias("at"), F.col(n_a).alias("n")))).alias("x")).groupBy("x.at").agg(F.sum("x.n").alias("n"))
+    of_cores = both_ways(close.where("sure"), "a", "b", "weight_a", "weight_b").select(F.col("at").alias("rep"), F.col("n").alias("n_core"))
+    of_sets = both_ways(singly, "id_a", "id_b", "copies_a", "copies_b").select(F.col("at").alias("id"), F.col("n").alias("n_set"))
+    roots = components(close.where("sure").select("a", "b").unionByName(singly.select("a", "b")))
+    vertices = cores.join(of_cores, "rep", "left").join(roots, F.col("rep") == F.col("vertex"), "left").select("rep", F.coalesce("root", "rep").alias("root"), "low", (F.col("weight") + F.coalesce("n_core", F.lit(0))).alias("reached"))
+    vertices = vertices.join(vertices.groupBy("root").agg(F.min("low").alias("class_id")), "root").select("rep", "class_id", "reached")
+    named = member.select("key", "id", "rep").join(vertices, "rep").join(of_sets, "id", "left").select("key", "class_id", (F.col("reached") + F.coalesce("n_set", F.lit(0))).alias("reached"))
     own = F.when(F.col("doc_id").isNull(), 0).otherwise(1)
     return known.select("doc_id", "key").join(named, "key", "left").select("doc_id", "class_id", (F.coalesce("reached", F.lit(0)) - own).cast("long").alias("n_links"))
 

@@ -272,6 +272,47 @@ def test_near_groups_against_every_pair(spark, small, odd, odd_rows, empty, monk
     assert sorted(map(tuple, spotsigs.near_groups(docs, 0.6).collect()), key=str) == plain_near_groups(rows, 0.6)
 
 
+def test_near_groups_of_sets_that_share_most(spark, monkeypatch):
+    """Sets beside a representative, on the threshold of another group, in a chain of groups, under one doc_id; whatever the radius."""
+    seeded = random.Random(6)
+    chain = lambda: f"the {seeded.getrandbits(40):x} {seeded.getrandbits(40):x}"
+    base, rows = [chain() for _ in range(220)], []
+    for group in range(6):
+        start = 12 * group  # the next group shares about 0.88, the one after that 0.79
+        for _ in range(9):
+            own = base[start : start + 150]
+            for _ in range(seeded.randrange(4)):
+                own[seeded.randrange(len(own))] = chain()
+            rows.append((seeded.randrange(60), " ".join(own[seeded.randrange(3) :])))
+    rows += [(100, rows[0][1]), (None, rows[5][1]), (101, ""), (102, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = plain_near_groups(rows)
+    for radius in (0.02, 0.05):
+        assert sorted(map(tuple, spotsigs.near_groups(docs, radius=radius).collect()), key=str) == plain
+    monkeypatch.setattr(spotsigs, "ENDS", 1)
+    assert sorted(map(tuple, spotsigs.near_groups(docs, radius=0.04).collect()), key=str) == plain
+
+
+def test_near_groups_of_a_shared_passage_make_no_pairs(spark, monkeypatch):
+    """Documents that share 6,000 signatures and have five of their own: a row each, not one a pair."""
+    seeded = random.Random(7)
+    chain = lambda: f"the {seeded.getrandbits(40):x} {seeded.getrandbits(40):x}"
+    shared, made, count = " ".join(chain() for _ in range(6_000)), {}, 160
+    keep = spotsigs.stored
+
+    def counted(df, name):
+        out = keep(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(spotsigs, "stored", counted)
+    docs = spark.createDataFrame([(k, shared + " " + " ".join(chain() for _ in range(5))) for k in range(count)], "doc_id long, text string").repartition(8)
+    got, seconds = rows_and_seconds(spotsigs.near_groups(docs))
+    assert {tuple(r)[1:] for r in got} == {(0, count - 1)} and len(got) == count
+    assert made["spot-gathered"] > 0.9 * count and made["spot-links"] < 100 and made["spot-single-links"] < 100
+    assert seconds < 60
+
+
 # quality
 
 
