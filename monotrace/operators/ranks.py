@@ -49,10 +49,20 @@ def dense_ranks(values) -> np.ndarray:
     return out
 
 
+def distinct_rows(ranks: np.ndarray) -> np.ndarray:
+    """The same columns without repeated rows, which show no violation that the first of them does not."""
+    codes, first = np.zeros(ranks.shape[1], np.int64), np.arange(min(1, ranks.shape[1]))
+    for column in ranks:
+        _, first, codes = np.unique(codes * (int(column.max(initial=0)) + 1) + column, return_index=True, return_inverse=True)
+        if len(first) == ranks.shape[1]:
+            return ranks
+    return np.ascontiguousarray(ranks[:, np.sort(first)])
+
+
 def encode(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
-    """Ranks of the columns, one row a column; the caller has bounded the size."""
+    """Ranks of the columns over the distinct rows, one row a column; the caller has bounded the size."""
     table = df.select(*(sort_key(df, c).alias(f"k{i}") for i, c in enumerate(columns))).toArrow()
-    return np.array([dense_ranks(table.column(i).combine_chunks()) for i in range(len(columns))], np.int32).reshape(len(columns), -1)
+    return distinct_rows(np.array([dense_ranks(table.column(i).combine_chunks()) for i in range(len(columns))], np.int32).reshape(len(columns), -1))
 
 
 class Ranked:

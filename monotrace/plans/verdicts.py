@@ -74,9 +74,10 @@ class Checker:
 
     def verdicts(self, candidates: DataFrame) -> DataFrame:
         tasks = self.spark.sparkContext.defaultParallelism
-        known = "close" in self.__dict__
-        first = with_verdicts(candidates.repartition(tasks), self.head, *([self.close] if known else []))
-        if self.small:
+        # what an earlier call had to make is asked in the same pass
+        known = [name for name in ("every", "close") if name in self.__dict__]
+        first = with_verdicts(candidates.repartition(tasks), self.head, *(self.__dict__[name] for name in known))
+        if self.small or "every" in known:
             return first
         first = cut_lineage(first)
         refuted, left = first.where("NOT ocd"), first.where("ocd").select("x", "y")
