@@ -19,24 +19,24 @@ from .sources.csv import from_texts, infer_types, lost_values, read_csv
 from .sources.results import metrics, result_lines
 from .storage import cut_lineage, new_path
 
-# The nine rows of the end-to-end fixture, and what texts of every type look like.
-FIXTURE = [
-    (1, 2, 1, 2, 1, 0), (1, 2, 2, 3, 2, 0), (1, 2, 3, 4, 3, 0), (2, 3, 4, 5, 4, 0), (2, 3, 6, 5, 4, 0),
-    (3, 4, 5, 5, 4, 0), (3, 4, 6, 5, 4, 0), (4, 8, 7, 8, 5, 0), (5, 8, 7, 9, 6, 0),
-]
-TYPED_TEXTS = {
-    "3.25": "double", "7.": "double", ".5": "double", "4096": "long", "9223372036854775807": "long", "000457": "long", "2021-03-04T05:06:07+01:00": "zoned",
-    "Sat, 13 Mar 2021 09:45:10 GMT": "zoned", "4 Jul 2022 18:00:00 GMT": "zoned", "2020-02-29T23:59:59": "datetime", "2020-02-29": "date", "2020-02-29+01:00": "date",
-    "11/05/2004": "date", "grey heron": "string", "Friday, 2004/11/05": "string", "null": "null", "": "null", "?": "null", "NULL": "null", "2020-02-29 23:59:59": "string",
-}
-
+#: Columns of texts over a table, each a mix of types, null tokens and values that do not fit, in SQL that both engines read.
 MIXED = {
-    "number": ["1", "2.5", "x", None, "?"], "whole": ["1", "word", "-7", "null", ""], "word": ["a", "", "b c", "NULL", "d"], "day": ["5", "2011-12-03", "01/28/1997", "2012-02-30", "2012-02-29"],
+    "number": "CASE n_nationkey % 5 WHEN 0 THEN concat(n_regionkey, '') WHEN 1 THEN concat(n_nationkey, '.5') WHEN 2 THEN n_name WHEN 3 THEN NULL ELSE '?' END",
+    "whole": "CASE n_nationkey % 5 WHEN 1 THEN n_name WHEN 2 THEN concat('-', n_nationkey) WHEN 3 THEN 'null' WHEN 4 THEN '' ELSE concat(n_nationkey, '') END",
+    "word": "CASE n_nationkey % 4 WHEN 1 THEN '' WHEN 3 THEN 'NULL' ELSE concat(n_name, ' ', n_regionkey) END",
+    "day": "CASE n_nationkey % 5 WHEN 0 THEN concat(n_nationkey, '') WHEN 2 THEN '01/28/1997' WHEN 3 THEN '2012-02-30' ELSE concat('2011-12-', n_nationkey % 20 + 10) END",
 }
+#: Texts of every type made from a row of a table.
+LINE_TEXT = (
+    "CASE l_orderkey % 12 WHEN 0 THEN concat(l_quantity + 0.25, '') WHEN 1 THEN concat(l_partkey, '') WHEN 2 THEN concat('00', l_suppkey) WHEN 3 THEN concat(CAST(l_shipdate AS date), '') WHEN 4 THEN concat(CAST(l_shipdate AS date), '+01:00') "
+    "WHEN 5 THEN concat(CAST(l_shipdate AS date), 'T23:59:59') WHEN 6 THEN concat(CAST(l_shipdate AS date), 'T05:06:07+01:00') WHEN 7 THEN concat(CAST(l_shipdate AS date), ' 23:59:59') WHEN 8 THEN concat(l_returnflag, ' ', l_linenumber) "
+    "WHEN 9 THEN CASE l_linenumber WHEN 1 THEN '?' WHEN 2 THEN '' WHEN 3 THEN 'NULL' ELSE 'null' END WHEN 10 THEN concat(l_partkey, '.') ELSE l_linestatus END"
+)
+
 
 #: Views over the driver's tables: select list and table, in SQL that both engines read.
 VIEWS = {
-    "fixture": ("A, B, C, D, E, F", "(VALUES " + ", ".join("(" + ", ".join(map(str, r)) + ")" for r in FIXTURE) + ") AS v(A, B, C, D, E, F)"),
+    "fixture": ("year(o_orderdate) - 1990 AS A, floor((year(o_orderdate) * 12 + month(o_orderdate) - 1) / 2) AS B, floor((year(o_orderdate) * 12 + month(o_orderdate) - 1) / 3) AS C, quarter(o_orderdate) AS D, quarter(o_orderdate) * 10 AS E, 0 AS F", "orders"),
     "orders_cal": ("o_orderdate AS od, year(o_orderdate) AS y, quarter(o_orderdate) AS q, month(o_orderdate) AS m, year(o_orderdate) * 100 + month(o_orderdate) AS ym, year(o_orderdate) * 10 + quarter(o_orderdate) AS yq, day(o_orderdate) AS d, 1 AS one", "orders"),
     "order_tier": ("o_totalprice AS price, floor(o_totalprice / 50000) AS tier, floor(o_totalprice / 1000) AS band, o_orderstatus AS status, o_orderdate AS od, year(o_orderdate) AS y", "orders"),
     "line_pricing": ("l_quantity AS qty, floor(l_quantity / 17) AS qty_band, l_discount AS disc, l_tax AS tax, CASE WHEN l_discount >= 0.05 THEN 1 ELSE 0 END AS big, l_shipdate AS ship, year(l_shipdate) AS ship_year", "lineitem"),
@@ -50,8 +50,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     what, source = VIEWS[name]
-    if source.startswith("("):
-        return spark.sql(f"SELECT {what} FROM {source}")
     return spark.read.parquet(f"{sf_dir}/{source}.parquet").selectExpr(*(x.strip() for x in _top_level(what)))
 
 
@@ -163,18 +161,12 @@ def _registered() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]],
         add(f"od_check_{name}", lambda s, d, t=t, x=x, y=y: od_violations(view(s, d, t), x, y), text)
         both = violations_sql(t, [*x, *y], [*y, *x])
         add(f"holds_{name}", lambda s, d, t=t, x=x, y=y: s.createDataFrame([(check_od(v := view(s, d, t), x, y), check_ocd(v, x, y))], "od boolean, ocd boolean"), f"SELECT (SELECT splits + swaps = 0 FROM ({text}) AS v) AS od, (SELECT splits + swaps = 0 FROM ({both}) AS v) AS ocd")
-    firsts = " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y" for a, b in ((a, b) for a in "0123" for b in "0123" if a < b))
-    longer = f"SELECT DISTINCT CASE WHEN side = 0 THEN x || ',' || c ELSE x END AS x, CASE WHEN side = 1 THEN y || ',' || c ELSE y END AS y FROM ({firsts}) AS f, (VALUES ('0'), ('1'), ('2'), ('3')) AS k(c), (VALUES (0), (1)) AS sides(side) WHERE c <> x AND c <> y"
-    lists = lambda c: c.select(F.array_join(F.col("x").cast("array<string>"), ",").alias("x"), F.array_join(F.col("y").cast("array<string>"), ",").alias("y"))
-    add("level1_candidates", lambda s, d: lists(cand.first_candidates(s, range(4))), firsts)
-    add("level2_candidates", lambda s, d: lists(cand.expanded(cand.first_candidates(s, range(4)), range(4), True).unionByName(cand.expanded(cand.first_candidates(s, range(4)), range(4), False)).dropDuplicates()), longer)
-    add("mirrored_candidates", lambda s, d: lists(cand.mirrored(cand.first_candidates(s, range(4)))), f"SELECT y AS x, x AS y FROM ({firsts}) AS f")
     # the candidates that a search of a table's view asks about, by name
-    t, names = "orders_cal", COLUMNS["orders_cal"].split()
-    told = lambda side: f"array_to_string(list_transform({side}, lambda k: [{', '.join(map(repr, names))}][k]), ',')"
-    add("level1_candidates_orders_cal", lambda s, d: _asked(view(s, d, "orders_cal"), 1), f"{tables_sql(t)} SELECT {told('x')} AS x, {told('y')} AS y FROM v1")
-    add("level2_candidates_orders_cal", lambda s, d: _asked(view(s, d, "orders_cal"), 2), f"{tables_sql(t)} SELECT {told('x')} AS x, {told('y')} AS y FROM c2")
-    add("mirrored_candidates_orders_cal", lambda s, d: _asked(view(s, d, "orders_cal"), 2, mirror=True), f"{tables_sql(t)} SELECT {told('y')} AS x, {told('x')} AS y FROM c2")
+    for t, end in (("orders_cal", "_orders_cal"), ("line_pricing", "")):
+        told = lambda side, names=COLUMNS[t].split(): f"array_to_string(list_transform({side}, lambda k: [{', '.join(map(repr, names))}][k]), ',')"
+        add(f"level1_candidates{end}", lambda s, d, t=t: _asked(view(s, d, t), 1), f"{tables_sql(t)} SELECT {told('x')} AS x, {told('y')} AS y FROM v1")
+        add(f"level2_candidates{end}", lambda s, d, t=t: _asked(view(s, d, t), 2), f"{tables_sql(t)} SELECT {told('x')} AS x, {told('y')} AS y FROM c2")
+        add(f"mirrored_candidates{end}", lambda s, d, t=t: _asked(view(s, d, t), 2, mirror=True), f"{tables_sql(t)} SELECT {told('y')} AS x, {told('x')} AS y FROM c2")
     add("discover_fixture", lambda s, d: as_text(discover(view(s, d, "fixture")).results), f"{tables_sql('fixture')} {results_sql(COLUMNS['fixture'].split())}")
     add("discover_fixture_all_ocds", lambda s, d: as_text(discover(view(s, d, "fixture"), comparability=False).results), f"{tables_sql('fixture')} {results_sql(COLUMNS['fixture'].split(), False)}")
     # whole tables, all columns, all levels: `discover_whole_` reports OCDs where no side orders the other, `discover_` all of them
@@ -198,21 +190,21 @@ def _registered() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]],
         add(f"ordered_by_all_{t}", lambda s, d, t=t, key=key, rest=rest: ordered_by_all(view(s, d, t).select(*rest, key), key), f'SELECT row_number() OVER (ORDER BY {order_sql(rest)}, {key}) - 1 AS position, {key} AS "index" FROM {t}')
     for t, a, b in (("events", "event_id", "ts"), ("customer", "c_custkey", "c_name"), ("customer", "c_custkey", "c_acctbal"), ("fixture", "D", "E"), ("fixture", "A", "B")):
         add(f"check_equivalent_{t}_{a}_{b}", lambda s, d, t=t, a=a, b=b: s.createDataFrame([(check_equivalent(view(s, d, t), a, b),)], "equivalent boolean"), f"SELECT od_xy AND od_yx AS equivalent FROM ({verdict_sql(t, [a], [b])}) AS v")
-    texts = ", ".join(f"('{v}')" for v in TYPED_TEXTS)
-    values = lambda s: s.createDataFrame([(v,) for v in TYPED_TEXTS], "value string")
-    add("infer_types", lambda s, d: values(s).select("value", type_name(inferred(F.col("value"))["rank"]).alias("kind")), f"SELECT value, {kind_sql('value')} AS kind FROM (VALUES {texts}) AS t(value)")
-    add("null_tokens", lambda s, d: values(s).select("value", is_null_token(F.col("value")).alias("is_null")), f"SELECT value, (value = '' OR lower(value) = 'null' OR value = '?') AS is_null FROM (VALUES {texts}) AS t(value)")
+    lines = lambda s, d: view(s, d, "lineitem").selectExpr("l_orderkey AS k", "l_linenumber AS n", f"{LINE_TEXT} AS value")
+    line_texts = f"(SELECT l_orderkey AS k, l_linenumber AS n, {LINE_TEXT} AS value FROM lineitem) AS t"
+    add("infer_types", lambda s, d: lines(s, d).select("k", "n", "value", type_name(inferred(F.col("value"))["rank"]).alias("kind")), f"SELECT k, n, value, {kind_sql('value')} AS kind FROM {line_texts}")
+    add("null_tokens", lambda s, d: lines(s, d).select("k", "n", is_null_token(F.col("value")).alias("is_null")), f"SELECT k, n, (value = '' OR lower(value) = 'null' OR value = '?') AS is_null FROM {line_texts}")
     # columns of texts: their types, the values that do not fit, and what is read
-    names, rows = list(MIXED), list(zip(*MIXED.values(), strict=True))
-    mixed = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in r) + ")" for r in rows)
-    source = f"(VALUES {mixed}) AS t({', '.join(names)})"
-    mixed_rows = lambda s: s.createDataFrame([(k, *r) for k, r in enumerate(rows)], "_idx long, " + ", ".join(f"{n} string" for n in names))
+    names = list(MIXED)
+    source = f"(SELECT {', '.join(f'{made} AS {n}' for n, made in MIXED.items())} FROM nation) AS t"
+    mixed_rows = lambda s, d: view(s, d, "nation").selectExpr("CAST(n_nationkey AS long) AS _idx", *(f"{made} AS {n}" for n, made in MIXED.items()))
     kinds = " UNION ALL ".join(f"SELECT '{n}' AS \"column\", arg_max(k, list_position({list(RANKS)}, k)) AS kind FROM (SELECT {kind_sql(n)} AS k FROM {source}) AS u" for n in names)
-    add("column_types_mixed", lambda s, d: s.createDataFrame([(n, kind) for n, (kind, _) in infer_types(mixed_rows(s), names).items()], "column string, kind string"), kinds)
-    unread = {"number": "try_cast(number AS DOUBLE) IS NULL", "whole": "try_cast(whole AS BIGINT) IS NULL", "word": "false"}
+    add("column_types_mixed", lambda s, d: s.createDataFrame([(n, kind) for n, (kind, _) in infer_types(mixed_rows(s, d), names).items()], "column string, kind string"), kinds)
+    day = "CASE WHEN regexp_full_match(day, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN try_cast(day AS DATE) END"
+    unread = {"number": "try_cast(number AS DOUBLE) IS NULL", "whole": "try_cast(whole AS BIGINT) IS NULL", "word": "false", "day": f"({day}) IS NULL"}
     lost = " UNION ALL ".join(f"SELECT '{n}' AS \"column\", count(*) FILTER ({kind_sql(n)} <> 'null' AND {test}) AS lost FROM {source}" for n, test in unread.items())
-    add("lost_values_mixed", lambda s, d: lost_values(mixed_rows(s), infer_types(mixed_rows(s), names)).where(F.col("column").isin(*unread)), lost)
-    add("from_texts_mixed", lambda s, d: from_texts(s, MIXED), f"SELECT try_cast(number AS DOUBLE) AS number, try_cast(whole AS BIGINT) AS whole, CASE WHEN {kind_sql('word')} <> 'null' THEN word END AS word, CASE WHEN regexp_full_match(day, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN try_cast(day AS DATE) END AS day FROM {source}")
+    add("lost_values_mixed", lambda s, d: lost_values(mixed_rows(s, d), infer_types(mixed_rows(s, d), names)), lost)
+    add("from_texts_mixed", lambda s, d: from_texts(s, _listed(mixed_rows(s, d))), f"SELECT try_cast(number AS DOUBLE) AS number, try_cast(whole AS BIGINT) AS whole, CASE WHEN {kind_sql('word')} <> 'null' THEN word END AS word, {day} AS day FROM {source}")
     # tables by way of CSV files: with and without a header, several delimiters, quotes
     for t, options, read in (("nation", {"header": True}, {"header": True}), ("supplier", {"sep": ";", "header": True, "quoteAll": True}, {"header": True}), ("part", {"sep": "|", "header": True}, {"header": True}), ("customer", {"sep": "\t"}, {})):
         columns = COLUMNS[t].split()
@@ -266,6 +258,12 @@ def _through_csv(spark: SparkSession, df: DataFrame, written: dict, read: dict)
     return read_csv(spark, path, **read)
 
 
+def _listed(texts: DataFrame) -> dict[str, list[str | None]]:
+    """Columns as lists on the driver, the form that `from_texts` takes: of a table of nations alone, which does not grow."""
+    rows = texts.orderBy("_idx").collect()
+    return {n: [r[n] for r in rows] for n in texts.columns if n != "_idx"}
+
+
 def _asked(df: DataFrame, level: int, mirror: bool = False) -> DataFrame:
     """x, y as texts: the candidates of the first or second level of the search over the reduced columns."""
     columns = list(reduction(df)[1])

@@ -13,11 +13,22 @@ from monotrace import cli, discover, metrics, read_csv, result_lines, search
 from monotrace.functions.inference import inferred, parsed, type_name
 from monotrace.plans import discovery
 from monotrace.plans.verdicts import Checker
-from monotrace.queries import FIXTURE, ORACLES, QUERIES, TYPED_TEXTS, view
+from monotrace.queries import ORACLES, QUERIES, view
 from monotrace.sources.csv import find_delimiter, find_quote, from_texts, infer_types, lost_values, synthetic_names
 from monotrace.sources.records import after_line, lines_of, open_splits
 from pyspark.sql import functions as F
 
+# The nine rows of the end-to-end fixture, and what texts of every type look like.
+FIXTURE = [
+    (1, 2, 1, 2, 1, 0), (1, 2, 2, 3, 2, 0), (1, 2, 3, 4, 3, 0), (2, 3, 4, 5, 4, 0), (2, 3, 6, 5, 4, 0),
+    (3, 4, 5, 5, 4, 0), (3, 4, 6, 5, 4, 0), (4, 8, 7, 8, 5, 0), (5, 8, 7, 9, 6, 0),
+]
+TYPED_TEXTS = {
+    "3.25": "double", "7.": "double", ".5": "double", "4096": "long", "9223372036854775807": "long", "000457": "long", "2021-03-04T05:06:07+01:00": "zoned",
+    "Sat, 13 Mar 2021 09:45:10 GMT": "zoned", "4 Jul 2022 18:00:00 GMT": "zoned", "2020-02-29T23:59:59": "datetime", "2020-02-29": "date", "2020-02-29+01:00": "date",
+    "11/05/2004": "date", "grey heron": "string", "Friday, 2004/11/05": "string", "null": "null", "": "null", "?": "null", "NULL": "null", "2020-02-29 23:59:59": "string",
+}
+
 # What the nine-row fixture holds.
 ODS = "A>B BD>A AC>D DB>A DA>B CA>D BCD>A AC>BD AC>DB ABC>D BAC>D BCA>D CBA>D".split()
 OCDS = "A~D B~D C~D A~BC AB~D BA~D BC~D CB~D AD~BC BC~DA".split()
