@@ -222,28 +222,20 @@ def _cell(bounds: list[int], number: Column, per: int = 256) -> Column:
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """doc_id, text, sigs, next_text, next_sigs: each document beside the next by doc_id, the last beside the first.
 
-    Quantiles of doc_id cut the table into ranges, each a window of its own and all dealt out by range;
-    the last row of a range finds the first of the following range in a table of one row a range.
+    Quantiles of doc_id cut the table into ranges, each a window of its own and all dealt out by range. The
+    first row of a range stands at the end of the range before it as well, a row a range, so that a row finds its
+    next one in its own range and texts are shuffled once.
     """
     known = id_and_text(docs)
     bounds = sorted({int(b) for b in known.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.25 / parts)})
-    placed = known.withColumn("cell", _cell(bounds, F.col("doc_id")))
-    signed = with_signatures(placed.repartitionByRange(parts, "cell"), "text", "sigs")
-    order = Window.partitionBy("cell").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    follower = signed.withColumn("next", F.lead(F.struct("text", "sigs")).over(order))
-    # the first row of each range, at the range before it
+    placed = known.select("doc_id", "text", _cell(bounds, F.col("doc_id")).alias("cell"), F.lit(False).alias("is_head"))
     heads = placed.groupBy("cell").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("k"), F.col("text"))).alias("head"))
     heads = heads.select(F.lag("cell").over(Window.orderBy("cell")).alias("before"), F.max("cell").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("last"), "head")
-    heads = with_signatures(heads.select(F.coalesce("before", "last").alias("cell"), F.col("head.text").alias("head_text")), "head_text", "head_sigs")
-    joined = follower.join(heads, "cell", "left")
-    at_end = F.col("next").isNull()
-    return joined.select(
-        "doc_id",
-        "text",
-        "sigs",
-        F.when(at_end, F.col("head_text")).otherwise(F.col("next.text")).alias("next_text"),
-        F.when(at_end, F.col("head_sigs")).otherwise(F.col("next.sigs")).alias("next_sigs"),
-    )
+    heads = heads.select(F.lit(None).cast("long").alias("doc_id"), F.col("head.text").alias("text"), F.coalesce("before", "last").alias("cell"), F.lit(True).alias("is_head"))
+    signed = with_signatures(placed.unionByName(heads).repartitionByRange(parts, "cell"), "text", "sigs")
+    order = Window.partitionBy("cell").orderBy("is_head", F.col("doc_id").asc_nulls_first(), "text")
+    follower = signed.withColumn("next", F.lead(F.struct("text", "sigs")).over(order)).where("NOT is_head")
+    return follower.select("doc_id", "text", "sigs", F.col("next.text").alias("next_text"), F.col("next.sigs").alias("next_sigs"))
 
 
 def edited_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:

@@ -192,6 +192,17 @@ def test_fingerprints_against_plain_sets(spark, odd, odd_rows, small_docs, small
     assert spotsigs.edited_fingerprints(empty).count() == 0
 
 
+def test_texts_meet_the_next_ones_in_one_shuffle(spark, small_docs):
+    """However little may be broadcast, no join shuffles the texts again: one exchange carries them, another a row a range."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = spotsigs.with_next(small_docs, 3)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
+
+
 def rows_and_seconds(df) -> tuple[list, float]:
     began = time.perf_counter()
     return df.collect(), time.perf_counter() - began
