@@ -13,11 +13,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, id_and_text, stored
-from .components import components
+from .components import Forest, components
 
 # Common words that serve as anchors, by language.
 ANCHORS = {
@@ -122,21 +124,191 @@ def gathered(sets: DataFrame, radius: float = RADIUS) -> DataFrame:
     each round, however many there are. A set that finds no representative stays alone, which costs time only.
     """
     # a set of fewer signatures than 1 / radius has no other set so near
-    left = sets.where(F.size("sigs") >= max(1 / radius, ENDS)).select("id", "sigs", F.lit(False).alias("head"))
-    placed = sets.sparkSession.createDataFrame([], "id long, rep long, apart double")
+    large = sets.where(F.size("sigs") >= max(1 / radius, ENDS)).select("id", "sigs")
+    placed, left = None, large.withColumn("head", F.lit(False))
     for key in (F.slice("sigs", 1, ENDS), F.slice("sigs", -ENDS, ENDS)):
         keyed = left.select("id", "head", key.alias("ends"))
         one = keyed.groupBy("ends").agg(F.min(F.struct(~F.col("head"), "id"))["id"].alias("rep"), F.count("*").alias("n")).where("n > 1").select("ends", "rep")
-        others = keyed.where("NOT head").join(one, "ends").where("id <> rep").select("id", "rep")
-        of_rep = left.select(F.col("id").alias("rep"), F.col("sigs").alias("rep_sigs")).join(one.select("rep"), "rep", "left_semi")
+        # stored, so that where they are few no set is shuffled to find them
+        others = stored(keyed.where("NOT head").join(one, "ends").where("id <> rep").select("id", "rep"), "spot-beside")
+        of_rep = only(large, others, "rep").select(F.col("id").alias("rep"), F.col("sigs").alias("rep_sigs"))
         apart = 1 - likeness(F.col("sigs"), F.col("rep_sigs"))
-        near = others.join(left.select("id", "sigs"), "id").join(of_rep, "rep").select("id", "rep", apart.alias("apart")).where(F.col("apart") <= radius)
-        placed = placed.unionByName(stored(near, "spot-gathered"))
+        near = others.join(large, "id").join(of_rep, "rep").select("id", "rep", apart.alias("apart")).where(F.col("apart") <= radius)
+        found = stored(near, "spot-gathered")
+        placed = found if placed is None else placed.unionByName(found)
         heads = placed.select(F.col("rep").alias("id")).distinct().withColumn("is_head", F.lit(True))
-        left = left.join(placed.select("id"), "id", "left_anti").join(heads, "id", "left").select("id", "sigs", F.coalesce("is_head", F.lit(False)).alias("head"))
+        left = large.join(placed.select("id"), "id", "left_anti").join(heads, "id", "left").select("id", "sigs", F.coalesce("is_head", F.lit(False)).alias("head"))
     return placed
 
 
+def only(sets: DataFrame, wanted: DataFrame, name: str = "id") -> DataFrame:
+    """The sets whose id stands in a stored table's column: where that is small it goes to every task, and no other set is shuffled later."""
+    return sets.join(wanted.select(F.col(name).alias("id")), "id", "left_semi")
+
+
+#: Sets and signatures that one block holds, and columns of signatures that are multiplied at once.
+BLOCK_SETS, BLOCK_SIGNATURES, COLUMNS = 512, 250_000, 4_096
+
+#: What a task returns about a block: kind 0: n links of a; 1: a and b are linked; 2: a, of group n, may hold sets near some of group b.
+FOUND = "kind int, a long, b long, n long"
+
+
+def leading(heads: DataFrame, radii: DataFrame, threshold: float, lowest: float) -> DataFrame:
+    """id, n, radius, at, wide, sig: the leading signatures of each set, of those that other sets hold as well.
+
+    Of a set's n signatures the first n - ceil(lowest * n) + 1 lead, the rarest first. The most frequent are looked up and stand
+    last; all others meet once by signature, where those that one set alone holds are left out: no other set can share
+    them, yet they take the first places. `wide` are those beyond the leading ones at the threshold itself.
+    """
+    slack, frequent = 1e-9, F.lit(frequent_signatures(heads)).cast("array<bigint>")
+    first = lambda t: (F.col("n") - F.ceil(F.lit(t) * F.col("n") - slack) + 1).cast("int")
+    rest = heads.select("id", F.explode(F.array_except("sigs", frequent)).alias("sig"))
+    rest = rest.withColumn("held", F.count("*").over(Window.partitionBy("sig"))).where("held > 1")
+    rest = rest.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("held", "sig")))["sig"].alias("rest"))
+    each = heads.select("id", F.size("sigs").alias("n"), F.array_intersect(frequent, F.col("sigs")).alias("often")).join(rest, "id", "left").join(radii, "id")
+    each = each.select("id", "n", "radius", F.concat(F.coalesce("rest", F.array().cast("array<bigint>")), "often").alias("shared")).withColumn("lone", F.col("n") - F.size("shared"))
+    each = each.where(first(lowest) > F.col("lone")).select("id", "n", "radius", "lone", F.posexplode(F.slice("shared", 1, first(lowest) - F.col("lone"))).alias("place", "sig"))
+    return each.withColumn("at", F.col("lone") + F.col("place")).withColumn("wide", F.col("at") >= first(threshold)).select("id", "n", "radius", "at", "wide", "sig")
+
+
+def meetings(lead: DataFrame, threshold: float) -> DataFrame:
+    """id, n, label, other: each set with the groups in which a leading signature, sizes and places leave room for near sets.
+
+    The group of a set is the smallest id that stands with it under a leading signature, so that copies of a text share one. Under a signature
+    a set meets the groups there, not their sets: a row a group it may have links to, however large that is.
+    """
+    slack = 1e-9
+    lowest = lead.groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("held")).where("held > 1").select("sig", "least")
+    lead = stored(lead.join(lowest, "sig"), "spot-lead")
+    led = lead.drop("least").join(lead.groupBy("id").agg(F.min("least").alias("label")), "id")
+    groups = led.groupBy("sig", F.col("label").alias("other")).agg(
+        F.count("*").alias("held"), F.min("n").alias("n_least"), F.max("n").alias("n_most"), F.max(F.col("n") - F.col("at")).alias("reach"), F.max("radius").alias("radius_other"), F.min("wide").alias("all_wide")
+    )
+    like = F.lit(threshold) - F.col("radius") - F.col("radius_other")
+    # what the set and one of the group can share at most, from the common signature on
+    reach = F.least(F.col("n") - F.col("at"), F.col("reach"))
+    room = (F.col("n_most") >= like * F.col("n") - slack) & (F.col("n") >= like * F.col("n_least") - slack) & (reach * (1 + like) >= like * (F.col("n") + F.col("n_least")) - slack)
+    # beyond its leading signatures at the threshold itself, a set of its own meets such that stand for others only
+    meant = (F.col("radius") + F.col("radius_other") > 0) | ~(F.col("wide") | F.col("all_wide"))
+    return led.join(groups, "sig").where(room & meant).where("label <> other OR held > 1").select("id", "n", "label", "other").distinct()
+
+
+def in_blocks(meeting: DataFrame) -> DataFrame:
+    """id and the two blocks that each of its meetings brings together: low, low_part, high, high_part, and whether it is of the second.
+
+    A group is cut into blocks of about BLOCK_SETS sets or BLOCK_SIGNATURES signatures by hash, and each two blocks
+    of groups that meet are a task. A set goes once to each block it meets, not to each of the sets there.
+    """
+    parts = meeting.select("id", "n", "label").distinct().groupBy("label").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SIGNATURES)).cast("int").alias("parts"))
+    met = meeting.join(parts, "label").join(parts.select(F.col("label").alias("other"), F.col("parts").alias("other_parts")), "other")
+    own = F.struct(F.col("label"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    met = met.select("id", own.alias("own"), "other", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)).alias("part")).withColumn("that", F.struct(F.col("other").alias("label"), "part"))
+    low, high = F.least("own", "that"), F.greatest("own", "that")
+    return met.select("id", low["label"].alias("low"), low["part"].alias("low_part"), high["label"].alias("high"), high["part"].alias("high_part"), (F.col("own") > F.col("that")).alias("second"))
+
+
+BLOCKS = ("low", "low_part", "high", "high_part")
+
+
+def _likeness_of_all(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """Jaccard likeness of each set with each of the others: products of 0/1 matrices over the signatures that both sides hold."""
+    sizes, other_sizes = (np.array([len(x) for x in side], np.int64) for side in (sets, others))
+    held, number = np.unique(np.concatenate((*sets, *others)), return_inverse=True)
+    row, split = np.repeat(np.arange(len(sets) + len(others)), np.concatenate((sizes, other_sizes))), int(sizes.sum())
+    both = np.zeros(len(held), np.int8)
+    both[number[:split]] |= 1
+    both[number[split:]] |= 2
+    place = np.where(both == 3, np.cumsum(both == 3) - 1, -1)[number]
+    order = np.argsort(place, kind="stable")
+    place, row = place[order], row[order]
+    common = np.zeros((len(sets), len(others)), np.int64)
+    for begin in range(0, int(place.max(initial=-1)) + 1, COLUMNS):
+        these = slice(*np.searchsorted(place, (begin, begin + COLUMNS)))
+        ones = np.zeros((len(sets) + len(others), min(COLUMNS, int(place.max()) + 1 - begin)), np.float32)
+        ones[row[these], place[these] - begin] = 1
+        common += (ones[: len(sets)] @ ones[len(sets) :].T).astype(np.int64)
+    return common / (sizes[:, None] + other_sizes - common)
+
+
+def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
+    parts = [x for chunk in column.chunks for x in np.split(chunk.flatten().to_numpy(zero_copy_only=False), np.cumsum(chunk.value_lengths().to_numpy(zero_copy_only=False))[:-1]) if len(chunk)]
+    return parts
+
+
+def _found(kind: int, a, b, n) -> pa.Table:
+    a, b, n = (np.asarray(x, np.int64) for x in np.broadcast_arrays(a, b, n))
+    return pa.table({"kind": pa.array(np.full(len(a), kind, np.int32)), "a": pa.array(a), "b": pa.array(b), "n": pa.array(n)})
+
+
+def _linked(vertex: np.ndarray, other: np.ndarray, near: np.ndarray) -> pa.Table:
+    """Of all links between two lists of vertices, as many as connect the same ones."""
+    i, j = np.nonzero(near)
+    names, number = np.unique(np.concatenate((vertex, other)), return_inverse=True)
+    x, y = number[: len(vertex)][i], number[len(vertex) :][j]
+    new = Forest(len(names)).added(x, y)
+    return _found(1, names[x[new]], names[y[new]], 0)
+
+
+def _counted(ids: np.ndarray, weights: np.ndarray, other_ids: np.ndarray, other_weights: np.ndarray, near: np.ndarray) -> list[pa.Table]:
+    sums = [(ids, near @ other_weights), (other_ids, near.T @ weights)]
+    return [_found(0, who[n > 0], 0, n[n > 0]) for who, n in sums]
+
+
+def _of_cores(threshold: float, slack: float, like: np.ndarray, radius: np.ndarray, other_radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the sets of two representatives are all near one another, and where some may be, told by the likeness of the two and their radii."""
+    radii = radius[:, None] + other_radius
+    alone = radii == 0
+    sure = np.where(alone, like >= threshold, 1 - like + radii <= 1 - threshold - slack)
+    return sure, ~alone & ~sure & (like >= threshold - radii - slack)
+
+
+def block_links(threshold: float, slack: float):
+    """For two blocks of representatives: links whose sets are near for sure, counted, and meetings of groups where sets must be compared."""
+
+    def run(table: pa.Table) -> pa.Table:
+        second = table["second"].to_numpy()
+        a, b = (~second).nonzero()[0], second.nonzero()[0]
+        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        same = low == high and table["low_part"][0] == table["high_part"][0]
+        b = a if same else b
+        out = [_found(0, [], [], [])]
+        if len(a) and len(b):
+            ids, weight, radius, sets = (table["id"].to_numpy(), table["weight"].to_numpy(), table["radius"].to_numpy(), _sets(table["sigs"]))
+            sure, may = _of_cores(threshold, slack, _likeness_of_all([sets[k] for k in a], [sets[k] for k in b]), radius[a], radius[b])
+            if same:  # a pair once, and no set with itself
+                sure, may = (x & (ids[a][:, None] < ids[b]) for x in (sure, may))
+            out += [*_counted(ids[a], weight[a], ids[b], weight[b], sure), _linked(ids[a], ids[b], sure)]
+            out += [_found(2, ids[a][may.any(1)], high, low), _found(2, ids[b][may.any(0)], low, high)]
+        return pa.concat_tables(out)
+
+    return run
+
+
+def block_single_links(threshold: float, slack: float):
+    """For two blocks of sets beside representatives: near ones, where the representatives leave it open."""
+
+    def run(table: pa.Table) -> pa.Table:
+        second = table["second"].to_numpy()
+        a, b = (~second).nonzero()[0], second.nonzero()[0]
+        same = table["low"][0] == table["high"][0] and table["low_part"][0] == table["high_part"][0]
+        b = a if same else b
+        out = [_found(0, [], [], [])]
+        if len(a) and len(b):
+            ids, rep, copies, radius, sets, rep_sets = (table["id"].to_numpy(), table["rep"].to_numpy(), table["copies"].to_numpy(), table["radius"].to_numpy(), _sets(table["sigs"]), _sets(table["rep_sigs"]))
+            (_, first_a, rep_a), (_, first_b, rep_b) = (np.unique(rep[x], return_index=True, return_inverse=True) for x in (a, b))
+            first_a, first_b = a[first_a], b[first_b]
+            _, may = _of_cores(threshold, slack, _likeness_of_all([rep_sets[k] for k in first_a], [rep_sets[k] for k in first_b]), radius[first_a], radius[first_b])
+            may = (may & (rep[first_a][:, None] != rep[first_b]))[rep_a][:, rep_b]
+            if same:
+                may &= ids[a][:, None] < ids[b]
+            if may.any():
+                near = may & (_likeness_of_all([sets[k] for k in a], [sets[k] for k in b]) >= threshold)
+                out += [*_counted(ids[a], copies[a], ids[b], copies[b], near), _linked(rep[a], rep[b], near)]
+        return pa.concat_tables(out)
+
+    return run
+
+
 def near_groups(docs: DataFrame, threshold: float = 0.8, radius: float = RADIUS) -> DataFrame:
     """doc_id, class_id, n_links: a row for each row of `docs`.
 
@@ -148,14 +320,13 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, radius: float = RADIUS)
 
     Equal sets are one vertex. Sets within `radius` of one representative are near one another, for Jaccard distance
     keeps to the triangle inequality, so that they are counted and not paired; representatives and sets of their own then meet by
-    their leading signatures: of a set's n in a fixed
+    their leading signatures (`leading`): of a set's n in a fixed
     order, the first n - ceil(t * n) + 1 must hold one that the other's leading ones hold too, where t is
     `threshold`, lowered by both radii where a representative stands for others.
-    Frequent signatures stand last in that order, so that a passage of many documents leads few sets.
-    Only sets of the same or the next length class meet, and of these only such whose sizes and whose
-    places of the common signature leave room for the likeness; the sets themselves are compared last.
+    Sets that share leading ones are groups; a set is sent to the groups that it may have links to, in blocks, and a
+    task counts the links between two blocks and hands on a sum for each set and as many links as connect them. No table holds a row a pair.
     Where the distance of two representatives and the radii tell that all of their sets are near, links are sums; only
-    where they leave it open are the sets compared one by one. Any order and any choice of representatives is exact, so
+    where they leave it open are the sets compared one by one, in blocks as well. Any order and any choice of representatives is exact, so
     frequent signatures may be counted approximately. Links to copies are sums.
     """
     slack, radius = 1e-9, min(radius, threshold / 4, (1 - threshold) / 4)
@@ -163,50 +334,29 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, radius: float = RADIUS)
     known = stored(signed.select("doc_id", F.md5(fingerprint(F.col("sigs"))).alias("key"), "sigs"), "spots")
     sets = stored(known.where("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.first("sigs").alias("sigs")).withColumn("id", F.monotonically_increasing_id()), "spot-sets")
     placed = gathered(sets, radius)
-    member = sets.select("key", "id", "low", "copies").join(placed, "id", "left").select("key", "id", "low", "copies", F.coalesce("rep", "id").alias("rep"), F.coalesce("apart", F.lit(0.0)).alias("apart"))
+    member = sets.select("key", "id", "low", "copies", F.size("sigs").alias("n")).join(placed, "id", "left").select("key", "id", "low", "copies", "n", F.coalesce("rep", "id").alias("rep"), F.coalesce("apart", F.lit(0.0)).alias("apart"))
     member = stored(member, "spot-members")
     cores = stored(member.groupBy("rep").agg(F.sum("copies").alias("weight"), F.max("apart").alias("radius"), F.min("low").alias("low")), "spot-cores")
-    heads = stored(sets.select("id", "sigs").join(cores, F.col("id") == F.col("rep")).drop("rep", "low"), "spot-heads")
+    heads = sets.join(placed.select("id"), "id", "left_anti").select("id", "sigs")
+    core = cores.select(F.col("rep").alias("id"), "weight", "radius")
 
     # representatives and sets of their own that may hold near sets
-    lowest = threshold - 2 * radius
-    frequent = F.lit(frequent_signatures(heads)).cast("array<bigint>")
-    n = F.size("sigs")
-    ordered = F.concat(F.array_except("sigs", frequent), F.array_intersect(frequent, F.col("sigs")))
-    first = lambda t: (n - F.ceil(t * n - slack) + 1).cast("int")
-    lead = heads.select("id", n.alias("n"), "radius", length_class(F.col("sigs"), lowest).alias("class"), first(F.lit(threshold)).alias("led"), F.posexplode(F.slice(ordered, 1, first(F.lit(lowest)))).alias("at", "sig"))
-    # beyond its leading signatures at the threshold itself, a set of its own meets such that stand for others only
-    lead = lead.withColumn("wide", F.col("at") >= F.col("led"))
-    left = lead.select(*(F.col(c).alias(f"{c}_a") for c in ("id", "n", "class", "at", "radius", "wide")), "sig", F.explode(F.array("class", F.col("class") + 1)).alias("class"))
-    met = left.join(lead, ["sig", "class"]).where("class_a < class OR id_a < id").where("radius_a + radius > 0 OR NOT (wide_a OR wide)")
-    # what the two can share at most, from the common signature on
-    reach = F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at"))
-    least_like = F.lit(threshold) - F.col("radius_a") - F.col("radius")
-    room = (F.least("n_a", "n") >= least_like * F.greatest("n_a", "n") - slack) & (reach * (1 + least_like) >= least_like * (F.col("n_a") + F.col("n")) - slack)
-    pairs = met.where(room).select(F.least("id_a", "id").alias("a"), F.greatest("id_a", "id").alias("b")).distinct()
-    side = lambda name: heads.select(F.col("id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("sigs", "weight", "radius")))
-    alone, both_radii, far = F.expr("radius_a + radius_b = 0"), F.col("radius_a") + F.col("radius_b"), F.lit(1 - threshold)
-    like = likeness(F.col("sigs_a"), F.col("sigs_b"))
-    close = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("like", like).where(F.col("like") >= F.lit(threshold) - both_radii - F.when(alone, 0.0).otherwise(slack))
-    close = stored(close.select("a", "b", "weight_a", "weight_b", "like", (alone | (1 - F.col("like") + both_radii <= far - slack)).alias("sure")), "spot-links")
-
-    # where that is open, sets of the two sides: near by their own distances, or compared
-    part = lambda name: member.select(F.col("rep").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("id", "copies", "apart")))
-    open_pairs = close.where("NOT sure").select("a", "b", "like").join(part("a"), "a").join(part("b"), "b")
-    between, own_radii = 1 - F.col("like"), F.col("apart_a") + F.col("apart_b")
-    open_pairs = open_pairs.where(between - own_radii <= far + slack).withColumn("sure", between + own_radii <= far - slack)
-    open_pairs = stored(open_pairs.select("a", "b", "id_a", "id_b", "copies_a", "copies_b", "sure"), "spot-open")
-    sigs = lambda name: sets.select(F.col("id").alias(f"id_{name}"), F.col("sigs").alias(f"sigs_{name}"))
-    compared = open_pairs.where("NOT sure").join(sigs("a"), "id_a").join(sigs("b"), "id_b").where(like >= threshold).drop("sigs_a", "sigs_b")
-    singly = stored(open_pairs.where("sure").unionByName(compared), "spot-single-links")
-
-    both_ways = lambda df, a, b, n_a, n_b: df.select(F.explode(F.array(F.struct(F.col(a).alias("at"), F.col(n_b).alias("n")), F.struct(F.col(b).alias("at"), F.col(n_a).alias("n")))).alias("x")).groupBy("x.at").agg(F.sum("x.n").alias("n"))
-    of_cores = both_ways(close.where("sure"), "a", "b", "weight_a", "weight_b").select(F.col("at").alias("rep"), F.col("n").alias("n_core"))
-    of_sets = both_ways(singly, "id_a", "id_b", "copies_a", "copies_b").select(F.col("at").alias("id"), F.col("n").alias("n_set"))
-    roots = components(close.where("sure").select("a", "b").unionByName(singly.select("a", "b")))
-    vertices = cores.join(of_cores, "rep", "left").join(roots, F.col("rep") == F.col("vertex"), "left").select("rep", F.coalesce("root", "rep").alias("root"), "low", (F.col("weight") + F.coalesce("n_core", F.lit(0))).alias("reached"))
+    meeting = stored(meetings(leading(heads, core.select("id", "radius"), threshold, threshold - 2 * radius), threshold), "spot-meetings")
+    blocks = in_blocks(meeting).join(only(core, meeting), "id").join(only(heads, meeting), "id")
+    close = stored(blocks.groupBy(*BLOCKS).applyInArrow(block_links(threshold, slack), FOUND), "spot-links")
+
+    # where that is open, sets of the two sides
+    may = stored(close.where("kind = 2").select(F.col("a").alias("rep"), F.col("n").alias("label"), F.col("b").alias("other")).distinct(), "spot-may")
+    meeting = stored(member.select("id", "rep", "copies", "n").join(may, "rep"), "spot-open")
+    of_rep = only(core, may, "rep").join(only(heads, may, "rep"), "id").select(F.col("id").alias("rep"), "radius", F.col("sigs").alias("rep_sigs"))
+    single = in_blocks(meeting).join(meeting.select("id", "rep", "copies").distinct(), "id").join(only(sets.select("id", "sigs"), meeting), "id").join(of_rep, "rep")
+    singly = stored(single.groupBy(*BLOCKS).applyInArrow(block_single_links(threshold, slack), FOUND), "spot-single-links")
+
+    sums = lambda df, name, n: df.where("kind = 0").groupBy(F.col("a").alias(name)).agg(F.sum("n").alias(n))
+    roots = components(close.unionByName(singly).where("kind = 1").select("a", "b"))
+    vertices = cores.join(sums(close, "rep", "n_core"), "rep", "left").join(roots, F.col("rep") == F.col("vertex"), "left").select("rep", F.coalesce("root", "rep").alias("root"), "low", (F.col("weight") + F.coalesce("n_core", F.lit(0))).alias("reached"))
     vertices = vertices.join(vertices.groupBy("root").agg(F.min("low").alias("class_id")), "root").select("rep", "class_id", "reached")
-    named = member.select("key", "id", "rep").join(vertices, "rep").join(of_sets, "id", "left").select("key", "class_id", (F.col("reached") + F.coalesce("n_set", F.lit(0))).alias("reached"))
+    named = member.select("key", "id", "rep").join(vertices, "rep").join(sums(singly, "id", "n_set"), "id", "left").select("key", "class_id", (F.col("reached") + F.coalesce("n_set", F.lit(0))).alias("reached"))
     own = F.when(F.col("doc_id").isNull(), 0).otherwise(1)
     return known.select("doc_id", "key").join(named, "key", "left").select("doc_id", "class_id", (F.coalesce("reached", F.lit(0)) - own).cast("long").alias("n_links"))
 

@@ -324,6 +324,43 @@ def test_near_groups_of_a_shared_passage_make_no_pairs(spark, monkeypatch):
     assert seconds < 60
 
 
+def test_near_copies_of_short_texts_make_no_pairs(spark, monkeypatch):
+    """Texts too short to stand beside a representative, most of them near one another: tables of a few rows a set, none of a row a pair; in several blocks."""
+    seeded = random.Random(8)
+    chain = lambda: f"the {seeded.getrandbits(40):x} {seeded.getrandbits(40):x}"
+    base, rows, made = [chain() for _ in range(40)], [], {}
+    for k in range(300):
+        own = list(base)
+        for at in seeded.sample(range(40), seeded.choice((1, 2, 2, 3))):
+            own[at] = chain()
+        rows.append((k, " ".join(own)))
+    rows += [(300 + k, " ".join([chain() for _ in range(39)] + base[:1])) for k in range(20)]  # one signature in common
+    keep = spotsigs.stored
+
+    def counted(df, name):
+        out = keep(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(spotsigs, "stored", counted)
+    monkeypatch.setattr(spotsigs, "BLOCK_SETS", 64, raising=False)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(map(tuple, spotsigs.near_groups(docs).collect()), key=str)
+    assert got == plain_near_groups(rows)
+    assert sum(n for _, _, n in got) / 2 > 20_000 and max(made.values()) < 12_000, made
+
+
+@pytest.mark.parametrize("columns", [1, 3, 4_096])
+def test_likeness_of_blocks(columns, monkeypatch):
+    monkeypatch.setattr(spotsigs, "COLUMNS", columns)
+    seeded = np.random.default_rng(9)
+    sets = [np.unique(seeded.integers(0, 30, 1 + k)) for k in range(12)]
+    a, b = sets[:5] + sets[:1], sets
+    want = [[jaccard(set(x.tolist()), set(y.tolist())) for y in b] for x in a]
+    assert spotsigs._likeness_of_all(a, b).tolist() == want
+    assert spotsigs._likeness_of_all([np.array([1])], [np.array([2])]).tolist() == [[0.0]]
+
+
 # quality
 
 
