@@ -2,11 +2,12 @@
 
 A spot signature is a chain: a common word (the anchor) and the two content words that follow it,
 common words between them left out. Boilerplate and lists hold few common words, so signatures sit
-in running prose. The set of a text's signatures is its fingerprint. Sets are put into classes by
-their size so that two sets whose sizes alone rule a likeness out never meet, and within that the
-likeness of a pair is computed only where its bound allows.
+in running prose. The set of a text's signatures is its fingerprint. Sets whose sizes alone rule a
+likeness out need not meet (`length_class` tells it for single sets, the search compares sizes), and
+groups of sets meet only where the bound on their likeness allows.
 
-All of it is DataFrame functions: a look-ahead finds overlapping chains in one pass of a text.
+Signatures are DataFrame functions: a look-ahead finds overlapping chains in one pass of a text. The
+search joins and groups them; the links between two blocks of sets are counted in a task with numpy.
 """
 
 from __future__ import annotations
