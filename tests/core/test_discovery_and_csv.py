@@ -256,3 +256,19 @@ def test_whole_search_of_a_view_against_brute_force(spark, tmp_path):
     assert max(len(x) + len(y) for _, x, y in expected) > 3
     assert {(r["kind"], tuple(r["lhs"].split(",")), tuple(r["rhs"].split(","))) for r in QUERIES["discover_whole_orders_cal"](spark, str(tmp_path)).collect()} == expected
     assert set(QUERIES) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["level1_candidates_orders_cal"])
+def test_orders_that_repeat_do_not_reach_the_driver(spark, tmp_path, monkeypatch, name):
+    """Thirty orders a thousand times over: the driver collects thirty rows at most, and finds what one of each shows."""
+    from monotrace.plans import verdicts
+
+    for copies in (1, 1_000):
+        (tmp_path / str(copies)).mkdir()
+        one = "SELECT * FROM '/root/testdata/sf0.001/orders.parquet' ORDER BY o_orderkey LIMIT 30"
+        duckdb.sql(f"SELECT o.* REPLACE (o_orderkey + 1500 * i AS o_orderkey) FROM ({one}) AS o, range({copies}) AS c(i)").write_parquet(str(tmp_path / str(copies) / "orders.parquet"))
+    expected = sorted(map(tuple, QUERIES[name](spark, str(tmp_path / "1")).collect()))
+    collected, encode = [], verdicts.encode
+    monkeypatch.setattr(verdicts, "encode", lambda rows, columns: collected.append(rows.count()) or encode(rows, columns))
+    assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path / "1000")).collect())) == expected
+    assert collected and max(collected) <= 30
