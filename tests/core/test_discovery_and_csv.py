@@ -258,7 +258,7 @@ def test_whole_search_of_a_view_against_brute_force(spark, tmp_path):
     assert set(QUERIES) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["level1_candidates_orders_cal", "level2_candidates_orders_cal", "mirrored_candidates_orders_cal", "pair_verdicts_fixture", "metrics_counts_orders_cal", "discover_orders_cal", "discover_whole_orders_cal", "result_lines_orders_cal", "reduced_columns_fixture", "equiv_classes_fixture", "discover_fixture"])
+@pytest.mark.parametrize("name", ["level1_candidates_orders_cal", "level2_candidates_orders_cal", "mirrored_candidates_orders_cal", "pair_verdicts_fixture", "metrics_counts_orders_cal", "discover_orders_cal", "discover_whole_orders_cal", "result_lines_orders_cal", "reduced_columns_fixture", "equiv_classes_fixture", "discover_fixture", "discover_fixture_all_ocds"])
 def test_orders_that_repeat_do_not_reach_the_driver(spark, tmp_path, monkeypatch, name):
     """Thirty orders a thousand times over: the driver collects thirty rows at most, and finds what one of each shows."""
     from monotrace.plans import verdicts
